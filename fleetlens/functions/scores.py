@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.versions import bind, strip
+from fleetlens.functions.versions import _stripped, apply_sql, bind, let, strip
 
 # The base-metric weights of the published CVSS v3.1 specification (table 8.4) and the label orders.
 CVSS_WEIGHTS = {
@@ -52,31 +52,29 @@ def parse_osv_timestamp(text: Column) -> Column:
     return F.when(bare.rlike(iso), full.try_cast("timestamp"))
 
 
-def parse_cvss_v3(vector: Column) -> Column:
-    """Metric map of a CVSS v3.0/3.1 vector; null on a wrong prefix, duplicate, missing or unknown metric."""
-    body = F.upper(strip(F.substring(strip(vector), 10, 10_000)))
-    parts = F.filter(F.split(body, "/"), lambda p: p != "")
-    pairs = F.transform(
-        parts,
-        lambda p: F.struct(
-            strip(F.substring_index(p, ":", 1)).alias("key"), strip(F.regexp_replace(p, "^[^:]*:?", "")).alias("value")
-        ),
+def _parse_cvss_sql() -> str:
+    pairs = (
+        f"transform(filter(split(upper(_b), '/'), _x -> _x <> ''), _x -> named_struct("
+        f"'key', {_stripped('substring_index(_x, ":", 1)')}, 'value', {_stripped("regexp_replace(_x, '^[^:]*:?', '')")}))"
+    )
+    known = " AND ".join(
+        f"exists(_q, _m -> _m.key = '{metric}' AND _m.value IN ({', '.join(repr(v) for v in weights)}))"
+        for metric, weights in CVSS_WEIGHTS.items()
     )
+    sound = (
+        f"NOT exists(_q, _m -> _m.key = '' OR _m.value = '') AND {known} "
+        "AND size(array_distinct(transform(_q, _m -> _m.key))) = size(_q)"
+    )
+    parsed = let("_b", "substring(_v, 10)", let("_q", pairs, f"CASE WHEN {sound} THEN map_from_entries(_q) END"))
+    return let("_v", _stripped(":v"), f"CASE WHEN _v RLIKE r'(?i)^CVSS:3\\.[01]/' THEN {parsed} END")
 
-    def checked(ps: Column) -> Column:
-        known = F.lit(True)
-        for metric, weights in CVSS_WEIGHTS.items():
-            allowed = list(weights)
-            known = known & F.exists(ps, lambda s: (s["key"] == metric) & s["value"].isin(*allowed))  # noqa: B023
-        keys = F.transform(ps, lambda s: s["key"])
-        sound = (
-            ~F.exists(ps, lambda s: (s["key"] == "") | (s["value"] == ""))
-            & (F.size(F.array_distinct(keys)) == F.size(keys))
-            & known
-        )
-        return F.when(sound, F.map_from_entries(ps))
 
-    return F.when(strip(vector).rlike(r"(?i)^CVSS:3\.[01]/"), bind(pairs, checked))
+CVSS_METRICS = _parse_cvss_sql()
+
+
+def parse_cvss_v3(vector: Column) -> Column:
+    """Metric map of a CVSS v3.0/3.1 vector; null on a wrong prefix, duplicate, missing or unknown metric."""
+    return apply_sql(CVSS_METRICS, v=vector)
 
 
 def cvss_roundup(value: Column) -> Column:
@@ -85,24 +83,33 @@ def cvss_roundup(value: Column) -> Column:
     return F.when(whole % 10000 == 0, whole / 100000.0).otherwise((F.floor(whole / 10000) + 1) / 10.0)
 
 
-def cvss_v3_base_score(vector: Column) -> Column:
-    """C11: CVSS v3 base score, null for an invalid vector."""
+def _base_score_sql() -> str:
+    def weight(metric: str, table: dict | None = None) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {w}D" for k, w in (table or CVSS_WEIGHTS[metric]).items())
+        return f"CASE _m['{metric}'] {cases} END"
 
-    def weight(m: Column, metric: str) -> Column:
-        return lookup(CVSS_WEIGHTS[metric], F.element_at(m, metric))
+    def roundup(x: str) -> str:
+        whole = f"cast(bround({x} * 100000, 0) AS bigint)"
+        return let("_w", whole, "CASE WHEN _w % 10000 = 0 THEN _w / 100000.0D ELSE (floor(_w / 10000) + 1) / 10.0D END")
+
+    changed = "_m['S'] = 'C'"
+    privileges = f"CASE WHEN {changed} THEN {weight('PR', CVSS_PRIVILEGES_SCOPE_CHANGED)} ELSE {weight('PR')} END"
+    iss = f"1.0D - (1.0D - {weight('C')}) * (1.0D - {weight('I')}) * (1.0D - {weight('A')})"
+    impact = let(
+        "_s", iss, f"CASE WHEN {changed} THEN 7.52D * (_s - 0.029D) - 3.25D * pow(_s - 0.02D, 15.0D) ELSE 6.42D * _s END"
+    )
+    exploit = f"8.22D * {weight('AV')} * {weight('AC')} * ({privileges}) * {weight('UI')}"
+    total = f"CASE WHEN {changed} THEN 1.08D * (_i + {exploit}) ELSE _i + {exploit} END"
+    score = let("_i", impact, f"CASE WHEN _i <= 0 THEN 0.0D ELSE {roundup(f'least({total}, 10.0D)')} END")
+    return let("_m", CVSS_METRICS, f"CASE WHEN _m IS NOT NULL THEN {score} END")
 
-    def score(m: Column) -> Column:
-        changed = F.element_at(m, "S") == "C"
-        privileges = F.when(changed, lookup(CVSS_PRIVILEGES_SCOPE_CHANGED, F.element_at(m, "PR"))).otherwise(
-            weight(m, "PR")
-        )
-        iss = 1.0 - (1.0 - weight(m, "C")) * (1.0 - weight(m, "I")) * (1.0 - weight(m, "A"))
-        impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-        exploitability = 8.22 * weight(m, "AV") * weight(m, "AC") * privileges * weight(m, "UI")
-        total = F.when(changed, 1.08 * (impact + exploitability)).otherwise(impact + exploitability)
-        return F.when(impact <= 0, F.lit(0.0)).otherwise(cvss_roundup(F.least(total, F.lit(10.0))))
 
-    return bind(parse_cvss_v3(vector), lambda m: F.when(m.isNotNull(), score(m)))
+BASE_SCORE = _base_score_sql()
+
+
+def cvss_v3_base_score(vector: Column) -> Column:
+    """C11: CVSS v3 base score, null for an invalid vector."""
+    return apply_sql(BASE_SCORE, v=vector)
 
 
 def severity_from_score(score: Column) -> Column:

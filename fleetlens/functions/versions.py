@@ -35,12 +35,16 @@ UNRESOLVABLE_PREFIXES = [
 ]
 GITHUB_SHORTHAND = r"(?U)^[A-Za-z0-9][\w.-]*/[\w.-]+(#.*)?$"
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# every white-space character of Unicode, what "strip" means for manifest text
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Both ends without any white space (``trim`` only knows the blank)."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def bind(value: Column, body) -> Column:
@@ -48,10 +52,31 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _number(digits: Column) -> Column:
+# The long expressions below are SQL text: one parse instead of hundreds of calls from Python to the JVM, and the
+# same text is the body of the SQL functions of ``functions.sqlfuncs``.
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL text that evaluates ``value`` once under ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def apply_sql(body: str, **arguments: Column) -> Column:
+    """A Column of SQL text over named arguments."""
+    packed = F.array(F.struct(*[column.alias(name) for name, column in arguments.items()]))
+    for name in arguments:
+        body = body.replace(f":{name}", f"_a.{name}")
+    return F.element_at(F.call_function("transform", packed, F.expr(f"_a -> {body}")), 1)
+
+
+def _number(digits: str) -> str:
     """Order-preserving text of a non-negative integer; '' counts as 0."""
-    plain = F.regexp_replace(F.when(digits == "", F.lit("0")).otherwise(digits), r"^0+(?=\d)", "")
-    return F.concat(F.lpad(F.length(plain).cast("string"), 3, "0"), plain)
+    plain = f"coalesce(nullif(trim(LEADING '0' FROM {digits}), ''), '0')"
+    return let("_d", plain, "concat(lpad(cast(length(_d) AS string), 3, '0'), _d)")
+
+
+def _stripped(text: str) -> str:
+    return f"trim(BOTH '{WHITE_SPACE}' FROM {text})"
 
 
 def normalize_package_name(name: Column, ecosystem: Column) -> Column:
@@ -62,105 +87,86 @@ def normalize_package_name(name: Column, ecosystem: Column) -> Column:
 # ---------------------------------------------------------------- SemVer
 
 
-def _semver_fields(version: Column) -> Column:
+def _semver_fields(version: str) -> str:
     """[major, minor, patch, prerelease] as text, null when invalid."""
-    text = strip(version)
-    return F.when(text.rlike(SEMVER), F.split(F.regexp_replace(text, SEMVER, r"$1|$2|$3|$4"), r"\|")).when(
-        text.rlike(SEMVER_LOOSE), F.split(F.regexp_replace(text, SEMVER_LOOSE, r"$1|$2|$3|"), r"\|")
+    return let(
+        "_t",
+        _stripped(version),
+        f"CASE WHEN _t RLIKE r'{SEMVER}' THEN split(regexp_replace(_t, r'{SEMVER}', '$1|$2|$3|$4'), r'\\|') "
+        f"WHEN _t RLIKE r'{SEMVER_LOOSE}' THEN split(regexp_replace(_t, r'{SEMVER_LOOSE}', '$1|$2|$3|'), r'\\|') END",
     )
 
 
+def _semver_key(version: str) -> str:
+    # numeric identifiers before alphanumeric ones; "!" sorts below every identifier character
+    identifier = f"CASE WHEN _i RLIKE r'^[0-9]+$' THEN concat('0', {_number('_i')}, '!') ELSE concat('1', _i, '!') END"
+    pre = f"CASE WHEN _p[3] = '' THEN '~' ELSE concat('-', array_join(transform(split(_p[3], r'\\.'), _i -> {identifier}), '')) END"
+    key = f"concat({_number('_p[0]')}, {_number('_p[1]')}, {_number('_p[2]')}, {pre})"
+    return let("_p", _semver_fields(version), f"CASE WHEN _p IS NOT NULL THEN {key} END")
+
+
 def semver_parse(version: Column) -> Column:
     """B2: struct(major, minor, patch, pre[]); strict form first, then ``4`` and ``4.17``."""
+    number = "cast(coalesce(nullif({}, ''), '0') AS decimal(38,0))"
+    fields = ", ".join(f"'{n}', {number.format(f'_p[{i}]')}" for i, n in enumerate(["major", "minor", "patch"]))
+    pre = "CASE WHEN _p[3] = '' THEN cast(array() AS array<string>) ELSE split(_p[3], r'\\.') END"
+    body = f"CASE WHEN _p IS NOT NULL THEN named_struct({fields}, 'pre', {pre}) END"
+    return apply_sql(let("_p", _semver_fields(":v"), body), v=version)
 
-    def number(part: Column) -> Column:
-        return F.when(part == "", F.lit(0)).otherwise(part).cast("decimal(38,0)")
-
-    return bind(
-        _semver_fields(version),
-        lambda p: F.when(
-            p.isNotNull(),
-            F.struct(
-                number(p[0]).alias("major"),
-                number(p[1]).alias("minor"),
-                number(p[2]).alias("patch"),
-                F.when(p[3] == "", F.array().cast("array<string>")).otherwise(F.split(p[3], r"\.")).alias("pre"),
-            ),
-        ),
-    )
 
-
-def _semver_identifier(part: Column) -> Column:
-    # numeric before alphanumeric; "!" sorts below every identifier character
-    return F.when(part.rlike(r"^\d+$"), F.concat(F.lit("0"), _number(part), F.lit("!"))).otherwise(
-        F.concat(F.lit("1"), part, F.lit("!"))
-    )
+SEMVER_KEY = _semver_key(":v")
 
 
 def semver_key(version: Column) -> Column:
     """Order key; a release sorts after its prereleases, build metadata does not count."""
-    return bind(
-        _semver_fields(version),
-        lambda p: F.when(
-            p.isNotNull(),
-            F.concat(
-                _number(p[0]),
-                _number(p[1]),
-                _number(p[2]),
-                F.when(p[3] == "", F.lit("~")).otherwise(
-                    F.concat(F.lit("-"), F.array_join(F.transform(F.split(p[3], r"\."), _semver_identifier), ""))
-                ),
-            ),
-        ),
-    )
+    return apply_sql(SEMVER_KEY, v=version)
 
 
 # ---------------------------------------------------------------- PEP 440
 
 
-def _pep440_fields(version: Column) -> Column:
+def _pep440_fields(version: str) -> str:
     """[epoch, release, pre letter, pre n, "-", post n, post word, post n, dev, dev n, local] as lower-case text."""
-    text = strip(version)
     order = "|".join(f"${i}" for i in range(1, 12))
-    return F.when(text.rlike(PEP440), F.split(F.lower(F.regexp_replace(text, PEP440, order)), r"\|"))
+    return let(
+        "_t",
+        _stripped(version),
+        f"CASE WHEN _t RLIKE r'{PEP440}' THEN split(lower(regexp_replace(_t, r'{PEP440}', '{order}')), r'\\|') END",
+    )
 
 
-def _local_part(part: Column) -> Column:
-    return F.when(part.rlike(r"^\d+$"), F.concat(F.lit("11"), _number(part))).otherwise(
-        F.concat(F.lit("10"), part, F.lit("!"))
+def _pep440_key(version: str) -> str:
+    release = "regexp_replace(_p[1], r'(?:\\.0+)+$', '')"
+    segments = f"array_join(transform(split({release}, r'\\.'), _s -> concat('1', {_number('_s')})), '')"
+    pre = (
+        "CASE WHEN _p[2] IN ('a', 'alpha') THEN '1' WHEN _p[2] IN ('b', 'beta') THEN '2' WHEN _p[2] <> '' THEN '3' "
+        "WHEN _p[4] = '' AND _p[6] = '' AND _p[8] <> '' THEN '0' ELSE '4' END"
     )
+    post = f"CASE WHEN _p[4] <> '' OR _p[6] <> '' THEN concat('1', {_number('concat(_p[5], _p[7])')}) ELSE '0' END"
+    dev = f"CASE WHEN _p[8] <> '' THEN concat('0', {_number('_p[9]')}) ELSE '1' END"
+    part = f"CASE WHEN _l RLIKE r'^[0-9]+$' THEN concat('11', {_number('_l')}) ELSE concat('10', _l, '!') END"
+    local = f"CASE WHEN _p[10] = '' THEN '' ELSE array_join(transform(split(_p[10], r'[-_.]'), _l -> {part}), '') END"
+    key = f"concat({_number('_p[0]')}, {segments}, '0', {pre}, {_number('_p[3]')}, {post}, {dev}, {local})"
+    return let("_p", _pep440_fields(version), f"CASE WHEN _p IS NOT NULL THEN {key} END")
+
+
+PEP440_KEY = _pep440_key(":v")
 
 
 def pep440_key(version: Column) -> Column:
     """Order key of epoch, release without trailing zeros, pre, post, dev and local parts."""
+    return apply_sql(PEP440_KEY, v=version)
 
-    def build(p: Column) -> Column:
-        release = F.regexp_replace(p[1], r"(?:\.0+)+$", "")
-        has_pre, has_post, has_dev = p[2] != "", (p[4] != "") | (p[6] != ""), p[8] != ""
-        pre = (
-            F.when(has_pre & p[2].isin("a", "alpha"), F.lit("1"))
-            .when(has_pre & p[2].isin("b", "beta"), F.lit("2"))
-            .when(has_pre, F.lit("3"))
-            .when(~has_post & has_dev, F.lit("0"))
-            .otherwise(F.lit("4"))
-        )
-        post = F.when(has_post, F.concat(F.lit("1"), _number(F.concat(p[5], p[7])))).otherwise(F.lit("0"))
-        dev = F.when(has_dev, F.concat(F.lit("0"), _number(p[9]))).otherwise(F.lit("1"))
-        local = F.when(p[10] == "", F.lit("")).otherwise(
-            F.array_join(F.transform(F.split(p[10], r"[-_.]"), _local_part), "")
-        )
-        segments = F.array_join(F.transform(F.split(release, r"\."), lambda s: F.concat(F.lit("1"), _number(s))), "")
-        return F.concat(_number(p[0]), segments, F.lit("0"), pre, _number(p[3]), post, dev, local)
 
-    return bind(_pep440_fields(version), lambda p: F.when(p.isNotNull(), build(p)))
+# ---------------------------------------------------------------- both ecosystems
 
 
-# ---------------------------------------------------------------- both ecosystems
+VERSION_KEY = f"CASE :e WHEN '{PYPI}' THEN {PEP440_KEY} WHEN '{NPM}' THEN {SEMVER_KEY} END"
 
 
 def version_key(version: Column, ecosystem: Column) -> Column:
     """Order key under the ecosystem's rule; null when the version does not parse."""
-    return F.when(ecosystem == PYPI, pep440_key(version)).when(ecosystem == NPM, semver_key(version))
+    return apply_sql(VERSION_KEY, v=version, e=ecosystem)
 
 
 def is_valid_version(version: Column, ecosystem: Column) -> Column:
@@ -182,18 +188,24 @@ def compare_versions(a: Column, b: Column, ecosystem: Column) -> Column:
     )
 
 
+PRERELEASE = (
+    "CASE :e WHEN '" + PYPI + "' THEN " + let("_p", _pep440_fields(":v"), "_p[2] <> '' OR _p[8] <> ''")
+    + " WHEN '" + NPM + "' THEN " + let("_p", _semver_fields(":v"), "_p[3] <> ''") + " END"
+)
+MAJOR = (
+    "cast(CASE :e WHEN '" + PYPI + "' THEN " + let("_p", _pep440_fields(":v"), "split(_p[1], r'\\.')[0]")
+    + " WHEN '" + NPM + "' THEN " + let("_p", _semver_fields(":v"), "_p[0]") + " END AS decimal(38,0))"
+)
+
+
 def is_prerelease(version: Column, ecosystem: Column) -> Column:
     """Null when unparsable; PEP 440 counts development releases too."""
-    pypi = bind(_pep440_fields(version), lambda p: (p[2] != "") | (p[8] != ""))
-    npm = bind(_semver_fields(version), lambda p: p[3] != "")
-    return F.when(ecosystem == PYPI, pypi).when(ecosystem == NPM, npm)
+    return apply_sql(PRERELEASE, v=version, e=ecosystem)
 
 
 def major_of(version: Column, ecosystem: Column) -> Column:
     """First release number as decimal, null when unparsable."""
-    pypi = bind(_pep440_fields(version), lambda p: F.split(p[1], r"\.")[0])
-    npm = bind(_semver_fields(version), lambda p: p[0])
-    return F.when(ecosystem == PYPI, pypi).when(ecosystem == NPM, npm).cast("decimal(38,0)")
+    return apply_sql(MAJOR, v=version, e=ecosystem)
 
 
 def _keyed(versions: Column, ecosystem: Column) -> Column:

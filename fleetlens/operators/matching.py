@@ -30,12 +30,10 @@ def distinct_lookups(deps: DataFrame) -> DataFrame:
     The aggregate combines on the map side, so a package used by a third of the fleet shuffles one row per input
     partition. The version key is computed on the survivors only.
     """
-    return (
-        deps.filter(V.is_valid_version(F.col("version"), F.col("ecosystem")))
-        .groupBy(*LOOKUP)
-        .agg(F.count("*").alias("n_dependencies"))
-        .withColumn("version_key", V.version_key(F.col("version"), F.col("ecosystem")))
-    )
+    counted = deps.groupBy(*LOOKUP).agg(F.count("*").alias("n_dependencies"))
+    key = V.version_key(F.col("version"), F.col("ecosystem"))
+    # explode of null-or-one element: computes the key once and drops the invalid versions with it
+    return counted.select("*", F.explode(F.array_compact(F.array(key))).alias("version_key"))
 
 
 def advisory_match(lookups: DataFrame, ranges: DataFrame, listed: DataFrame | None = None) -> DataFrame:

@@ -83,6 +83,7 @@ def parse_advisories(raw: DataFrame, text: str = "value", source: str = "osv") -
         F.col("_ref.urls").alias("references"),
         F.coalesce(F.transform(named, package), F.expr("array()")).alias("affected"),
         F.when(bad, F.col("_text")).alias("_corrupt_record"),
+        F.when(F.col("r._corrupt_record").isNotNull(), "malformed record").when(bad, "record without an id").alias("_reason"),
     )
 
 
@@ -93,10 +94,10 @@ def scan_advisories(spark: SparkSession, path: str, one_per_file: bool = False)
 
 def split_malformed(advisories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A5: (usable advisories, rejected documents); one bad record never costs another one."""
-    good = advisories.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    good = advisories.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_reason")
     bad = advisories.filter(F.col("_corrupt_record").isNotNull()).select(
         "identifier",
-        F.when(F.col("identifier").isNull(), "record without an id").otherwise("malformed record").alias("reason"),
+        F.col("_reason").alias("reason"),
         F.col("_corrupt_record").alias("document"),
     )
     return good, bad

@@ -23,6 +23,9 @@ def connect(sf_dir: str):
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def _plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value)
@@ -38,8 +41,10 @@ def rows_of(columns, rows):
 
 def compare(spark, con, sf_dir: str, name: str):
     """(rows, problem or None)"""
+    start = time.time()
     df = all_queries()[name](spark, sf_dir)
     got = rows_of(df.columns, df.collect())
+    TIMES[name] = time.time() - start
     sql = all_oracles().get(name)
     if sql is None:
         return len(got), None
@@ -75,5 +80,5 @@ if __name__ == "__main__":
             rows, problem = -1, str(error)[:900]
         failed += problem is not None
         kind = "sql" if name in all_oracles() else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {name:32} {kind} rows={rows} {time.time() - start:.1f}s {problem or ''}")
+        print(f"{'FAIL' if problem else 'ok  '} {name:32} {kind} rows={rows} spark {TIMES.get(name, -1):.1f}s all {time.time() - start:.1f}s {problem or ''}")
     print("failed", failed)

@@ -110,7 +110,36 @@ SELECT l_orderkey AS repository_id, 'package-lock.json' AS lock_path,
  CASE WHEN l_linenumber <= 4 THEN 'node_modules/p' || CAST(l_partkey % 10 AS STRING) WHEN l_linenumber <= 6 THEN 'node_modules/p' || CAST(l_suppkey % 10 AS STRING) || '/node_modules/p' || CAST(l_partkey % 10 AS STRING)
   ELSE 'node_modules/p' || CAST(l_suppkey % 10 AS STRING) || '/node_modules/p' || CAST(l_suppkey % 7 AS STRING) || '/node_modules/@s/p' || CAST(l_partkey % 10 AS STRING) END AS lock_key,
  min({_VERSION}) AS version, 'p' || CAST(min(l_suppkey % 10) AS STRING) AS dep_a, 'p' || CAST(max(l_partkey % 7) AS STRING) AS dep_b, bool_and(l_returnflag = 'R') AS dev
- FROM lineitem GROUP BY 1, 2, 3""",
+ FROM lineitem GROUP BY 1, 2, 3""",    # one requirement file per line item, every kind of line in it
+    "fx_requirement_files": f"""
+SELECT l_orderkey AS repository_id, 'svc/requirements-' || CAST(l_linenumber AS STRING) || '.txt' AS path, {_PKG} AS pkg, {_VERSION} AS version,
+ '# deps' || chr(10) || {_PKG} || '[extra1]' || coalesce('==' || {_VERSION}, '') || ' \\' || chr(10) || '    --hash=sha256:abc  # pinned' || chr(10) || '-r ../common/base.txt' || chr(10) || 'git+https://git.example/acme.git#egg=egg_' || CAST(l_partkey AS STRING) || chr(10)
+ || 'https://files.example/x.whl' || chr(10) || 'Other.' || CAST(l_partkey AS STRING) || ' >=1.0,<2 ; python_version > "3.8"' || chr(10) || '!!garbage line' || chr(10) || '-e ./local' AS content
+ FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "fx_package_json": """
+SELECT l_orderkey AS repository_id, l_linenumber AS line_no, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'packages/a' WHEN 2 THEN 'packages/b' ELSE 'examples/x' END AS directory,
+ min(l_partkey) AS part, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'packages/a/' WHEN 2 THEN 'packages/b/' ELSE 'examples/x/' END || 'package.json' AS path,
+ '{"name": "app", "dependencies": {"p' || CAST(min(l_partkey) AS STRING) || '": "^1.2.3", "shared": "1.0.0"}, "devDependencies": {"d' || CAST(min(l_partkey) AS STRING) || '": " ~2 ", "shared": "2.0.0"}, "peerDependencies": {"q": "*"}}' AS content
+ FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "fx_direct": """
+SELECT DISTINCT l_orderkey AS repository_id, 'p' || CAST(l_suppkey % 10 AS STRING) AS package_name, CASE l_partkey % 4 WHEN 0 THEN '^1.0.0' WHEN 1 THEN '2.' || CAST(l_linenumber AS STRING) || '.0' WHEN 2 THEN 'file:../x' ELSE 'latest' END AS version_spec FROM lineitem""",
+    "fx_dep_ids": f"""
+SELECT l_orderkey AS analysis_id, {_ECO} AS ecosystem, {_PKG} AS norm_name, {_VERSION} AS version, l_partkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS dependency_id
+ FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "fx_named_relations": """
+SELECT a.analysis_id, a.ecosystem, a.norm_name AS parent_name, a.version AS parent_version, b.norm_name AS child_name, CASE WHEN b.dependency_id % 10 = 0 THEN '99.0.0' ELSE b.version END AS child_version
+ FROM fx_dep_ids a JOIN fx_dep_ids b ON a.analysis_id = b.analysis_id AND a.ecosystem = b.ecosystem AND a.dependency_id < b.dependency_id""",
+    "fx_js_lines": f"""
+SELECT o_custkey AS repository_id, 'web/f' || CAST(l_orderkey AS STRING) || '.ts' AS path, l_linenumber AS line_no,
+ CASE l_linenumber % 6 WHEN 0 THEN 'const a = require("' || {_PKG} || '/lib/x")' WHEN 1 THEN 'import y from ' || chr(39) || '@acme/' || {_PKG} || chr(39) WHEN 2 THEN '// import z from "' || {_PKG} || '"' WHEN 3 THEN 'await import(`' || {_PKG} || '`)' WHEN 4 THEN 'import "' || {_PKG} || '-es"' ELSE 'export * from "./' || {_PKG} || '"' END AS text, {_PKG} AS pkg
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
+    "fx_token_manifests": f"""
+SELECT l_orderkey AS repository_id, {_PKG} AS pkg, CASE l_linenumber % 3 WHEN 0 THEN 'toml' WHEN 1 THEN 'py' ELSE 'cfg' END AS kind,
+ CAST(l_linenumber AS STRING) || '/' || CAST(p_partkey AS STRING) || '/' || CASE l_linenumber % 3 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'setup.py' ELSE 'setup.cfg' END AS path,
+ CASE l_linenumber % 3 WHEN 0 THEN '[project]' || chr(10) || 'name = "' || {_PKG} || '"' || chr(10) || 'dependencies = [' || chr(10) || '  "' || {_PKG} || '>=1.0",' || chr(10) || '  "other[x]; python_version<3",' || chr(10) || ']' || chr(10) || 'keywords = ["' || {_PKG} || '"]' || chr(10) || '[tool.poetry.dependencies]' || chr(10) || replace({_PKG}, '-', '_') || ' = "^1"' || chr(10) || '[tool.mypy]' || chr(10) || {_PKG} || ' = "x"'
+ WHEN 1 THEN 'setup(' || chr(10) || '    name="' || {_PKG} || '",' || chr(10) || '    install_requires=["' || {_PKG} || '>=1", "zzz"],' || chr(10) || '    extras_require={{' || chr(10) || '        "dev": ["' || upper({_PKG}) || '"],' || chr(10) || '    }},' || chr(10) || '    keywords="' || {_PKG} || '",' || chr(10) || ')'
+ ELSE '[options]' || chr(10) || 'install_requires =' || chr(10) || '    ' || {_PKG} || '>=1' || chr(10) || '    zzz' || chr(10) || 'description = ' || {_PKG} || chr(10) || '[options.extras_require]' || chr(10) || 'dev = zzz; ' || {_PKG} || '==2' END AS content
+ FROM (SELECT DISTINCT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey) s""",
 }
 
 _NEEDS = {name: [t for t in (*TABLES, *VIEWS) if t != name and re.search(rf"\b{t}\b", sql)] for name, sql in VIEWS.items()}
@@ -122,7 +151,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A binding as DataFrame; the source tables are passed as query arguments, no temporary views."""
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
     frames = {}
     for source in _NEEDS[name]:
         frames[source] = fixture(spark, sf_dir, source) if source in VIEWS else table(spark, sf_dir, source)

@@ -71,7 +71,7 @@ def _scan_advisories(spark, d):
 @query(
     "reject_malformed_advisories",
     ctes("fx_advisories")
-    + f" SELECT CASE WHEN p % 19 = 18 THEN 'record without an id' ELSE 'malformed record' END AS reason, count(*) AS n FROM (SELECT {_P} AS p FROM fx_advisories) s WHERE p % 17 = 16 OR p % 19 = 18 GROUP BY 1",
+    + f" SELECT CASE WHEN p % 17 = 16 THEN 'malformed record' ELSE 'record without an id' END AS reason, count(*) AS n FROM (SELECT {_P} AS p FROM fx_advisories) s WHERE p % 17 = 16 OR p % 19 = 18 GROUP BY 1",
 )
 def _rejected(spark, d):
     _, bad = feeds.split_malformed(feeds.parse_advisories(_documents(spark, d)))

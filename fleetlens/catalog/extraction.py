@@ -71,7 +71,7 @@ _JSON = ctes("fx_package_json")
 
 
 @query(
-    "extract_manifest",
+    "extract_manifest_direct",
     _JSON
     + """ SELECT repository_id, path, package_name, spec AS version_spec, dev, count(*) AS n FROM (SELECT repository_id, path, 'p' || part AS package_name, '^1.2.3' AS spec, false AS dev FROM fx_package_json UNION SELECT repository_id, path, 'd' || part, '~2', true FROM fx_package_json
  UNION SELECT repository_id, path, 'shared', '1.0.0', false FROM fx_package_json UNION SELECT repository_id, path, 'q', '*', false FROM fx_package_json) u GROUP BY 1, 2, 3, 4, 5""",
@@ -91,7 +91,7 @@ def _lock_files(spark, d):
 
 
 @query(
-    "explode_lock",
+    "explode_lock_v2",
     ctes("fx_lock_entries") + " SELECT repository_id, lock_path, lock_key, version, CAST(dev AS VARCHAR) AS dev, dep_a AS dependency FROM fx_lock_entries",
 )
 def _explode_lock(spark, d):

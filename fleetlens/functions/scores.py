@@ -27,11 +27,8 @@ RISK_VIEW_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3, "NONE": 4, "U
 
 
 def lookup(table: dict, key: Column) -> Column:
-    """Value of a small fixed table as one ``CASE`` (stays inside generated code)."""
-    chain = None
-    for name, value in table.items():
-        chain = F.when(key == name, F.lit(value)) if chain is None else chain.when(key == name, F.lit(value))
-    return chain
+    """Value of a small fixed table, null for other keys (a constant map, one evaluation of the key)."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
 def parse_osv_timestamp(text: Column) -> Column:
@@ -172,10 +169,8 @@ def pick_reference_url(references: Column) -> Column:
 
 def normalise_severity(label: Column) -> Column:
     """C17: any spelling of a severity; unknown words are UNKNOWN."""
-    text = F.upper(strip(label))
-    return F.coalesce(
-        F.when(text.isin(*SEVERITY_RANK), text), lookup(SEVERITY_ALIASES, text), F.lit("UNKNOWN")
-    )
+    cases = {**{name: name for name in SEVERITY_RANK}, **SEVERITY_ALIASES}
+    return bind(F.upper(strip(label)), lambda text: F.coalesce(lookup(cases, text), F.lit("UNKNOWN")))
 
 
 def severity_rank(label: Column) -> Column:
@@ -185,8 +180,7 @@ def severity_rank(label: Column) -> Column:
 
 def normalise_risk_level(label: Column) -> Column:
     """Stored risk text; unknown words are UNKNOWN."""
-    text = F.upper(strip(label))
-    return F.when(text.isin(*RISK_RANK), text).otherwise("UNKNOWN")
+    return bind(F.upper(strip(label)), lambda text: F.when(text.isin(*RISK_RANK), text).otherwise("UNKNOWN"))
 
 
 def risk_rank(label: Column) -> Column:

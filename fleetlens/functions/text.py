@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.versions import bind, strip
+from fleetlens.functions.versions import WHITE_SPACE, bind, strip
 
 REDACTED = "***"
 
@@ -119,28 +119,26 @@ def logical_lines(files: DataFrame, content: str = "content") -> DataFrame:
     again, so no file is ever collected by a window and nothing is shuffled. ``line_no`` is the first physical line.
     """
     rest = [c for c in files.columns if c != content]
-    right_edge = r"(?U)[\s\x1c-\x1f]+$"
+    edge = F.lit(WHITE_SPACE)
 
     def tag(line: Column, i: Column) -> Column:
-        cut = F.regexp_replace(line, right_edge, "")
-        joined = cut.endswith("\\") & ~F.regexp_replace(cut, r"(?U)^\s+", "").startswith("#")
-        return F.concat(
-            (i + 1).cast("string"),
-            F.lit(_NUMBER_END),
-            F.when(joined, F.concat(F.expr("''"), F.regexp_replace(cut, r"\\$", ""), F.lit(_JOINED))).otherwise(
-                F.concat(cut, F.lit("\n"))
-            ),
+        cut = F.rtrim(line, edge)
+        joined = cut.endswith("\\") & ~F.ltrim(cut, edge).startswith("#")
+        end = F.when(joined, F.concat(F.substring(cut, F.lit(1), F.length(cut) - 1), F.lit(_JOINED))).otherwise(
+            F.concat(cut, F.lit("\n"))
         )
+        return F.concat((i + 1).cast("string"), F.lit(_NUMBER_END), end)
 
     chunks = F.split(F.array_join(F.transform(F.split(F.col(content), WIDE_LINE_BREAK), tag), ""), "\n")
     exploded = files.select(*rest, F.explode(chunks).alias("_chunk"))
-    body = F.regexp_replace(F.col("_chunk"), rf"(?:^|{_JOINED})\d+{_NUMBER_END}", "")
-    body = F.regexp_replace(body, _JOINED, "")  # continuation at the end of the file
-    return exploded.select(
-        *rest,
-        F.regexp_extract(F.col("_chunk"), rf"^(\d+){_NUMBER_END}", 1).cast("int").alias("line_no"),
-        strip(F.regexp_replace(body, r"(?U)(^|\s)#.*$", "")).alias("text"),
-    ).filter("text <> ''")
+    chunk = F.col("_chunk")
+    number = F.substring_index(chunk, _NUMBER_END, 1)
+    body = F.substring(chunk, F.length(number) + 2, F.length(chunk))
+    # inner line numbers of a joined line, and the mark of a continuation at the end of the file
+    body = F.when(body.contains(_JOINED), F.regexp_replace(body, rf"{_JOINED}(?:\d+{_NUMBER_END})?", "")).otherwise(body)
+    body = F.when(body.contains("#"), F.regexp_replace(body, r"(?U)(^|\s)#.*$", "")).otherwise(body)
+    numbered = exploded.filter(chunk != "").select(*rest, number.try_cast("int").alias("line_no"), strip(body).alias("text"))
+    return numbered.filter("text <> ''")
 
 
 def normalise_path(base: Column, argument: Column) -> Column:

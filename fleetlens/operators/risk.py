@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import scores as S
+from fleetlens.functions.versions import bind
 from fleetlens.skew import top_per_key
 
 
@@ -16,14 +17,21 @@ def level_of_rank(rank: Column) -> Column:
 
 def floor_risk_level(judged: Column, provisional: Column) -> Column:
     """A judgement raises the severity level or leaves it; UNKNOWN keeps it."""
-    j, p = S.normalise_risk_level(judged), S.normalise_risk_level(provisional)
-    return F.when((j == "UNKNOWN") | (S.risk_rank(judged) < S.risk_rank(provisional)), p).otherwise(j)
+    levels = F.struct(S.normalise_risk_level(judged).alias("j"), S.normalise_risk_level(provisional).alias("p"))
+    return bind(levels, lambda x: _floor(x["j"], x["p"]))
+
+
+def _floor(j: Column, p: Column) -> Column:
+    """The floor of two levels that are already normalised."""
+    lower = S.lookup(S.RISK_RANK, j) < S.lookup(S.RISK_RANK, p)
+    return F.when((j == "UNKNOWN") | lower, p).otherwise(j)
 
 
 def effective_risk_level(stored: Column, severity: Column) -> Column:
     """The stored level, floored by the severity on read."""
-    provisional = S.normalise_severity(severity)
-    return F.when(F.coalesce(stored, F.lit("")) == "", provisional).otherwise(floor_risk_level(stored, provisional))
+    levels = F.struct(S.normalise_risk_level(stored).alias("j"), S.normalise_severity(severity).alias("p"))
+    # a missing stored level normalises to UNKNOWN, which keeps the severity level
+    return bind(levels, lambda x: _floor(x["j"], x["p"]))
 
 
 def aggregate_overall_risk(analyses: DataFrame, findings: DataFrame) -> DataFrame:
@@ -31,7 +39,7 @@ def aggregate_overall_risk(analyses: DataFrame, findings: DataFrame) -> DataFram
 
     ``analyses`` carries ``check_complete``; ``findings`` carries risk_level and severity.
     """
-    rank = S.risk_rank(effective_risk_level(F.col("risk_level"), F.col("severity")))
+    rank = S.lookup(S.RISK_RANK, effective_risk_level(F.col("risk_level"), F.col("severity")))
     worst = findings.groupBy("analysis_id").agg(F.max(rank).alias("_worst"))
     fallback = F.when(F.col("check_complete"), "NONE").otherwise("UNKNOWN")
     return (
@@ -77,9 +85,12 @@ def apply_judgements(findings: DataFrame, verdicts: DataFrame, keys: list[str])
     ``verdicts`` carries judged_impact and judged_risk. A finding without a verdict is unchanged.
     """
     rows = findings.join(verdicts, keys, "left")
-    provisional = S.normalise_severity(F.col("severity"))
-    judged = S.normalise_risk_level(F.col("judged_risk"))
-    stored = floor_risk_level(judged, provisional)
+    levels = bind(
+        F.struct(S.normalise_risk_level(F.col("judged_risk")).alias("j"), S.normalise_severity(F.col("severity")).alias("p")),
+        lambda x: F.struct(x["j"].alias("judged"), _floor(x["j"], x["p"]).alias("stored")),
+    )
+    rows = rows.withColumn("_levels", levels)
+    judged, stored = F.col("_levels.judged"), F.col("_levels.stored")
     real = F.col("judged_risk").isNotNull() & (judged != "UNKNOWN")
     impact_guard = F.when(
         F.col("judged_impact") == "NONE", F.lit("Impact guard: judged NONE, stored as UNKNOWN")
@@ -96,7 +107,7 @@ def apply_judgements(findings: DataFrame, verdicts: DataFrame, keys: list[str])
             ),
             "guard_notes": F.concat_ws("; ", impact_guard, risk_guard),
         }
-    )
+    ).drop("_levels")
 
 
 def risk_origin(judged: Column, stored: Column) -> Column:

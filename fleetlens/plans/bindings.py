@@ -142,6 +142,11 @@ SELECT l_orderkey AS repository_id, {_PKG} AS pkg, CASE l_linenumber % 3 WHEN 0
  FROM (SELECT DISTINCT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey) s""",
 }
 
+#: bindings whose consumers parse text: worth spreading when the source is a single small file
+TEXT_BOUND = {
+    "fx_requirement_files", "fx_token_manifests", "fx_package_json", "fx_texts", "fx_manifest_texts", "fx_lines", "fx_js_lines",
+}
+
 _NEEDS = {name: [t for t in (*TABLES, *VIEWS) if t != name and re.search(rf"\b{t}\b", sql)] for name, sql in VIEWS.items()}
 
 
@@ -157,7 +162,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         frames[source] = fixture(spark, sf_dir, source) if source in VIEWS else table(spark, sf_dir, source)
         sql = re.sub(rf"(FROM|JOIN) {source}\b", rf"\1 {{{source}}}", sql)
     # Spark string literals know escapes, the portable text means one backslash
-    return spark.sql(sql.replace("\\", "\\\\"), **frames)
+    rows = spark.sql(sql.replace("\\", "\\\\"), **frames)
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_BOUND and all(len(f.inputFiles()) < cores for f in frames.values()):
+        return rows.repartition(cores)  # a table of many files already has a task per split
+    return rows
 
 
 def ctes(*names: str) -> str:

@@ -56,8 +56,7 @@ def decode_text(content: Column) -> Column:
 
     return (
         F.when(mark.startswith("EFBBBF"), _utf8(F.substring(content, F.lit(4), F.length(content))))
-        .when(mark == "FFFE0000", after(4, "UTF-32LE"))
-        .when(mark == "0000FEFF", after(4, "UTF-32BE"))
+        .when(mark.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32"))  # this charset reads the mark itself
         .when(mark.startswith("FFFE"), after(2, "UTF-16LE"))
         .when(mark.startswith("FEFF"), after(2, "UTF-16BE"))
         .otherwise(_utf8(content))

@@ -11,6 +11,7 @@ from fleetlens.operators import risk as R
 from fleetlens.operators.advisories import with_range_keys
 from fleetlens.functions import versions as V
 from fleetlens.plans.bindings import fixture
+from fleetlens.session import cut_lineage
 
 
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +46,10 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
-    found = M.lookup_status(lookups(spark, d), M.advisory_match(lookups(spark, d), ranges(spark, d)))
-    return M.classify_dependencies(dependencies(spark, d), found)
+    # one row per distinct version: written once, read by the hot-key count and by the join
+    asked = cut_lineage(lookups(spark, d))
+    statuses = cut_lineage(M.lookup_status(asked, M.advisory_match(asked, ranges(spark, d))))
+    return M.classify_dependencies(dependencies(spark, d), statuses)
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    """One temporary folder per local application, only for runs on a single machine."""
+    return tempfile.mkdtemp(prefix=f"fleetlens-{application}-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def parse_registry(raw: DataFrame, text: str = "value") -> DataFrame:
 def scan_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry documents stored as ``<path>/<ecosystem>/<package>.json``."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("_file", F.input_file_name())
-    parts = F.split("_file", "/")
+    parts = F.split(F.url_decode("_file"), "/")  # Spark escapes file names once more
     return parse_registry(
         raw.select(
             F.element_at(parts, -2).alias("ecosystem"),

@@ -62,8 +62,7 @@ def _reason(spark, d):
  FROM classified c LEFT JOIN (SELECT analysis_id, count(DISTINCT identifier) AS n FROM hits GROUP BY 1) t ON t.analysis_id = c.analysis_id GROUP BY 1""",
 )
 def _summary(spark, d):
-    hits = M.advisory_match(fleet.lookups(spark, d), fleet.ranges(spark, d))
-    return M.check_summary(fleet.classified(spark, d), hits)
+    return M.check_summary(*fleet.classified_with_hits(spark, d))
 
 
 def _unanswered(spark, d):

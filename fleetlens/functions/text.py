@@ -129,15 +129,24 @@ def logical_lines(files: DataFrame, content: str = "content") -> DataFrame:
         return F.concat((i + 1).cast("string"), F.lit(_NUMBER_END), end)
 
     chunks = F.split(F.array_join(F.transform(F.split(F.col(content), WIDE_LINE_BREAK), tag), ""), "\n")
-    exploded = files.select(*rest, F.explode(chunks).alias("_chunk"))
-    chunk = F.col("_chunk")
-    number = F.substring_index(chunk, _NUMBER_END, 1)
-    body = F.substring(chunk, F.length(number) + 2, F.length(chunk))
-    # inner line numbers of a joined line, and the mark of a continuation at the end of the file
-    body = F.when(body.contains(_JOINED), F.regexp_replace(body, rf"{_JOINED}(?:\d+{_NUMBER_END})?", "")).otherwise(body)
-    body = F.when(body.contains("#"), F.regexp_replace(body, r"(?U)(^|\s)#.*$", "")).otherwise(body)
-    numbered = exploded.filter(chunk != "").select(*rest, number.try_cast("int").alias("line_no"), strip(body).alias("text"))
-    return numbered.filter("text <> ''")
+
+    def cleaned(body: Column) -> Column:
+        # inner line numbers of a joined line, and the mark of a continuation at the end of the file
+        whole = F.when(body.contains(_JOINED), F.regexp_replace(body, rf"{_JOINED}(?:\d+{_NUMBER_END})?", "")).otherwise(body)
+        return bind(whole, lambda w: strip(F.when(w.contains("#"), F.regexp_replace(w, r"(?U)(^|\s)#.*$", "")).otherwise(w)))
+
+    def line(chunk: Column) -> Column:
+        return bind(
+            F.substring_index(chunk, _NUMBER_END, 1),
+            lambda n: F.struct(
+                n.try_cast("int").alias("line_no"),
+                cleaned(F.substring(chunk, F.length(n) + 2, F.length(chunk))).alias("text"),
+            ),
+        )
+
+    # the lines leave the generator finished: a filter on ``text`` then reads a column and repeats none of the work
+    lines = F.filter(F.transform(chunks, line), lambda x: x["text"] != "")
+    return files.select(*rest, F.inline(lines))
 
 
 def normalise_path(base: Column, argument: Column) -> Column:

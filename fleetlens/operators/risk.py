@@ -120,11 +120,13 @@ def risk_origin(judged: Column, stored: Column) -> Column:
     )
 
 
-def sort_by_risk_view(findings: DataFrame, tie: str = "finding_id") -> DataFrame:
+def risk_view_order(tie: str = "finding_id") -> list[Column]:
     """I8: display order: risk, then severity, then newest; UNKNOWN after NONE."""
-    return findings.orderBy(
-        S.risk_view_rank(F.col("risk_level")).asc(), S.risk_view_rank(F.col("severity")).asc(), F.col(tie).desc()
-    )
+    return [S.risk_view_rank(F.col("risk_level")).asc(), S.risk_view_rank(F.col("severity")).asc(), F.col(tie).desc()]
+
+
+def sort_by_risk_view(findings: DataFrame, tie: str = "finding_id") -> DataFrame:
+    return findings.orderBy(*risk_view_order(tie))
 
 
 def run_counters(findings: DataFrame) -> DataFrame:

@@ -52,6 +52,14 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
     return M.classify_dependencies(dependencies(spark, d), statuses)
 
 
+def classified_with_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(classified dependencies, hits) from one matching run."""
+    asked = cut_lineage(lookups(spark, d))
+    found = cut_lineage(M.advisory_match(asked, ranges(spark, d)))
+    statuses = cut_lineage(M.lookup_status(asked, found))
+    return M.classify_dependencies(dependencies(spark, d), statuses), found
+
+
 def findings(spark: SparkSession, d: str) -> DataFrame:
     return M.create_findings(dependencies(spark, d), hits(spark, d))
 

@@ -105,8 +105,11 @@ class _Batch:
 
     def __init__(self, table: pa.Table, n_buckets: int, length: int, gram: int):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
-        ids = table.column("doc_id").to_pylist()
-        self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)
+        ids = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
+        # a fixed order, so that every round sees the same buffer however the shuffle delivered the rows
+        order = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k]))
+        self.table, texts = table.take(order), [texts[k] for k in order]
+        self.ids = np.array(ids, np.int64)[order]
         self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -264,6 +267,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         if not table.num_rows:
             return out_schema.empty_table()
         b = _Batch(table, n, length, gram)
+        table = b.table
         code = b.spread(answers(said, "codes"), np.uint8)
         mask, sent_mask = np.zeros(len(b.head), np.uint64), answers(said, "masks")
         for bucket, c in b.per_bucket(code):

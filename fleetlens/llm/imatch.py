@@ -32,10 +32,10 @@ def _in_level(term: Column, level: Column) -> Column:
 
 
 def common_terms(docs: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
-    """(term): the terms of more than ``share`` of all documents; counted over all, combined before the shuffle."""
+    """(term): the terms of more than ``share`` of all documents, of two at least; counted over all, combined before the shuffle."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return counts.filter(F.col("n") > share * n).select("term")
+    return counts.filter((F.col("n") > share * n) & (F.col("n") > 1)).select("term")
 
 
 def _subset_hashes(kept: Column) -> Column:

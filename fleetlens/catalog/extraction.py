@@ -280,11 +280,22 @@ def _lock_only(spark, d):
  UNION SELECT DISTINCT repository_id, path || ':8: cannot parse ''!!garbage line''' FROM fx_requirement_files
  UNION SELECT DISTINCT repository_id, path || ':2: cannot parse ''' || pkg || '[extra1]==not-a-version     --hash=sha256:abc''' FROM fx_requirement_files WHERE version = 'not-a-version'
  UNION SELECT DISTINCT repository_id, path || ':6: URL/path requirement ''https://files.example/x.whl'' skipped (no package name)' FROM fx_requirement_files
- UNION SELECT DISTINCT repository_id, path || ':5: ''' || regexp_extract(content, '#egg=(egg_\\d+)', 1) || ''' is installed from a URL (git+https://git.example/acme.git#egg=' || regexp_extract(content, '#egg=(egg_\\d+)', 1) || '); version cannot be determined' FROM fx_requirement_files""",
+ UNION SELECT DISTINCT repository_id, path || ':5: ''' || regexp_extract(content, '#egg=(egg_\\d+)', 1) || ''' is installed from a URL (git+https://git.example/acme.git#egg=' || regexp_extract(content, '#egg=(egg_\\d+)', 1) || '); version cannot be determined' FROM fx_requirement_files
+ UNION SELECT DISTINCT repository_id, path || '/package.json: malformed JSON; file skipped' FROM fx_requirement_files
+ UNION SELECT DISTINCT repository_id, path || '/yarn.lock: lock files of this kind are not parsed; transitive dependencies are unavailable' FROM fx_requirement_files
+ UNION SELECT DISTINCT repository_id, path || '/package-lock.json: file was not read; what it declares is unknown' FROM fx_requirement_files""",
 )
 def _warnings(spark, d):
-    _, warnings = P.extract_python(fixture(spark, d, "fx_requirement_files"))
-    return D.extraction_warnings(warnings)
+    files = fixture(spark, d, "fx_requirement_files")
+    _, warnings = P.extract_python(files)
+    broken = F.array(F.lit("/package.json"), F.lit("/yarn.lock"), F.lit("/package-lock.json"))
+    # the same repositories with a cut manifest, a lock of another kind and a file that was not read
+    other = files.select("repository_id", "path", "content", F.explode(broken).alias("name")).select(
+        "repository_id",
+        F.concat("path", "name").alias("path"),
+        F.when(F.col("name") != "/package-lock.json", F.concat(F.lit("{"), "content")).alias("content"),
+    )
+    return D.extraction_warnings(warnings, D.json_warnings(other.filter("content IS NOT NULL")), D.unread_warnings(other))
 
 
 _DEPS = ctes("fx_dependencies")

@@ -173,7 +173,7 @@ _EV = ctes("fx_lines", "fx_dependencies", "fx_analyses", "fx_components") + f"""
  coalesce(string_agg(DISTINCT p.component, ',' ORDER BY p.component), '') AS components, coalesce(min(r.path), '') AS first_file FROM wanted w LEFT JOIN refs r ON r.repository_id = w.repository_id AND r.package_name = w.package_name LEFT JOIN pairs p ON p.repository_id = r.repository_id AND p.path = r.path WHERE w.ecosystem = 'PyPI' GROUP BY 1, 2)"""
 
 
-@query("usage_evidence", _EV + " SELECT *, n_references > 100 OR total_files > 200 AS truncated FROM ev")
+@query("usage_evidence", _EV + " SELECT *, false AS truncated FROM ev")
 def _usage_evidence(spark, d):
     return _evidence(spark, d).select(
         "repository_id", "package_name", "n_references", "total_files", F.array_join("components", ",").alias("components"),
@@ -188,7 +188,7 @@ def _files(spark, d):
 @query(
     "skipped_files",
     ctes("fx_paths")
-    + """ SELECT repository_id, count(*) AS skipped_files_total, string_agg(path, ',' ORDER BY path) FILTER (rn <= 20) AS skipped_files FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS rn FROM (SELECT DISTINCT repository_id, path FROM fx_paths WHERE file_id % 5 = 0) s) t GROUP BY 1""",
+    + """ SELECT repository_id, count(*) AS skipped_files_total, string_agg(path, ',' ORDER BY path) AS skipped_files FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS rn FROM (SELECT DISTINCT repository_id, path FROM fx_paths WHERE file_id % 5 = 0) s) t GROUP BY 1""",
 )
 def _skipped(spark, d):
     rows = U.skipped_files(_files(spark, d))

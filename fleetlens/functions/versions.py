@@ -106,8 +106,8 @@ def _semver_key(version: str) -> str:
 
 
 def semver_parse(version: Column) -> Column:
-    """B2: struct(major, minor, patch, pre[]); strict form first, then ``4`` and ``4.17``."""
-    number = "cast(coalesce(nullif({}, ''), '0') AS decimal(38,0))"
+    """B2: struct(major, minor, patch, pre[]); strict form first, then ``4`` and ``4.17``; a number above 38 digits is null."""
+    number = "try_cast(coalesce(nullif({}, ''), '0') AS decimal(38,0))"
     fields = ", ".join(f"'{n}', {number.format(f'_p[{i}]')}" for i, n in enumerate(["major", "minor", "patch"]))
     pre = "CASE WHEN _p[3] = '' THEN cast(array() AS array<string>) ELSE split(_p[3], r'\\.') END"
     body = f"CASE WHEN _p IS NOT NULL THEN named_struct({fields}, 'pre', {pre}) END"
@@ -193,7 +193,7 @@ PRERELEASE = (
     + " WHEN '" + NPM + "' THEN " + let("_p", _semver_fields(":v"), "_p[3] <> ''") + " END"
 )
 MAJOR = (
-    "cast(CASE :e WHEN '" + PYPI + "' THEN " + let("_p", _pep440_fields(":v"), "split(_p[1], r'\\.')[0]")
+    "try_cast(CASE :e WHEN '" + PYPI + "' THEN " + let("_p", _pep440_fields(":v"), "split(_p[1], r'\\.')[0]")
     + " WHEN '" + NPM + "' THEN " + let("_p", _semver_fields(":v"), "_p[0]") + " END AS decimal(38,0))"
 )
 
@@ -204,7 +204,7 @@ def is_prerelease(version: Column, ecosystem: Column) -> Column:
 
 
 def major_of(version: Column, ecosystem: Column) -> Column:
-    """First release number as decimal, null when unparsable."""
+    """First release number as decimal; null when unparsable or above 38 digits (the order keys have no such bound)."""
     return apply_sql(MAJOR, v=version, e=ecosystem)
 
 

@@ -132,7 +132,7 @@ def _tokens(records: DataFrame) -> DataFrame:
     return records.select("identifier", F.explode(ids).alias("token")).distinct()
 
 
-def alias_groups(records: DataFrame, max_rounds: int = 40) -> DataFrame:
+def alias_groups(records: DataFrame) -> DataFrame:
     """(identifier, group_id) of records (identifier, aliases[]) that describe one issue.
 
     Records naming different CVE sets are never merged. Two records with the same non-empty CVE set share a CVE
@@ -151,7 +151,7 @@ def alias_groups(records: DataFrame, max_rounds: int = 40) -> DataFrame:
     marked = cut_lineage(tokens.join(signature, "identifier"))
     free = marked.filter("cves IS NULL").select("identifier", "token")
     labels = cut_lineage(free.select("identifier").distinct().withColumn("label", F.col("identifier")))
-    for _ in range(max_rounds):
+    while True:
         by_token = free.join(labels, "identifier").groupBy("token").agg(F.min("label").alias("label"))
         spread = free.join(by_token, "token").groupBy("identifier").agg(F.min("label").alias("label"))
         jump = spread.select(F.col("identifier").alias("label"), F.col("label").alias("further"))
@@ -164,8 +164,6 @@ def alias_groups(records: DataFrame, max_rounds: int = 40) -> DataFrame:
         labels = changed.select("identifier", "label")
         if changed.filter("changed").isEmpty():
             break
-    else:
-        raise RuntimeError(f"alias components did not settle in {max_rounds} rounds")
     reached = (
         free.join(labels, "identifier")
         .join(marked.filter("cves IS NOT NULL").select("token", F.col("cves").alias("touched")).distinct(), "token")

@@ -92,11 +92,11 @@ def explode_lock(files: DataFrame) -> DataFrame:
     return entries.filter("e IS NOT NULL").select("repository_id", "lock_path", "lock_key", *[f"e.{c}" for c in ENTRY_COLUMNS])
 
 
-def flatten_lock_v1(files: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_lock_v1(files: DataFrame) -> DataFrame:
     """The nested v1 tree as the same entry rows with ``node_modules/…`` keys.
 
-    One ``variant_explode`` per nesting level over all lock files at once; the loop ends when no entry has
-    children. Deeper trees than ``max_depth`` are an error, never a silent cut.
+    One ``variant_explode`` per nesting level over all lock files at once; the loop ends when no entry has children,
+    whatever the depth.
     """
     rows = files.filter(X.base_name(F.col("path")).isin(*LOCK_FILES)).select(
         "repository_id", F.col("path").alias("lock_path"), F.try_parse_json("content").alias("v")
@@ -106,7 +106,7 @@ def flatten_lock_v1(files: DataFrame, max_depth: int = 64) -> DataFrame:
         "repository_id", "lock_path", F.lit("").alias("prefix"), F.expr("try_variant_get(v, '$.dependencies')").alias("tree")
     )
     done: DataFrame | None = None
-    for _ in range(max_depth):
+    while True:
         level = level.filter("tree IS NOT NULL AND schema_of_variant(tree) LIKE 'OBJECT%'")
         entries = level.lateralJoin(_children()).select("repository_id", "lock_path", "prefix", "name", "entry")
         entries = entries.filter("schema_of_variant(entry) LIKE 'OBJECT%'").withColumn(
@@ -131,8 +131,6 @@ def flatten_lock_v1(files: DataFrame, max_depth: int = 64) -> DataFrame:
         level = entries.select(
             "repository_id", "lock_path", F.col("lock_key").alias("prefix"), F.expr("try_variant_get(entry, '$.dependencies')").alias("tree")
         )
-    else:
-        raise ValueError(f"lock tree nested deeper than {max_depth}")
     if done is None:
         return files.sparkSession.createDataFrame([], T.StructType([T.StructField("repository_id", files.schema["repository_id"].dataType), T.StructField("lock_path", T.StringType()), T.StructField("lock_key", T.StringType())] + _ENTRY.fields))
     return done
@@ -212,7 +210,7 @@ def direct_version(direct: DataFrame, entries: DataFrame) -> DataFrame:
     spec = F.coalesce("version_spec", F.lit(""))
     inside = F.when(F.col("lock_dir") == "", F.col("directory")).when(
         F.col("directory") == F.col("lock_dir"), F.lit("")
-    ).otherwise(F.substring(F.col("directory"), F.length("lock_dir") + 2, F.lit(4096)))
+    ).otherwise(F.substring(F.col("directory"), F.length("lock_dir") + 2, F.length("directory")))
     rows = direct.withColumns({"base_key": inside, "dependency": F.col("package_name")})
     resolved = resolve_lock_key(rows, entries, keys)
     installed = entries.select(

@@ -230,7 +230,9 @@ def dependency_paths(edges: DataFrame, targets: DataFrame, max_depth: int = 4, l
     hops = edges.filter(F.col("type").isin("CONTAINS", "USES", "DEPENDS_ON")).select("repository_id", F.col("src").alias("_prev"), F.col("dst").alias("_head"))
     frontier = targets.select("repository_id", "node_id").distinct().select("*", F.col("node_id").alias("_head"), F.array("node_id").alias("path"))
     found: DataFrame | None = None
-    for length in range(1, max(1, min(max_depth, MAX_DEPTH)) + 1):
+    if not 1 <= max_depth <= MAX_DEPTH:
+        raise ValueError(f"paths are searched to a depth of 1 to {MAX_DEPTH}")
+    for length in range(1, max_depth + 1):
         step = frontier.join(hops, ["repository_id", "_head"]).filter(~F.array_contains("path", F.col("_prev")))
         step = step.select("repository_id", "node_id", F.col("_prev").alias("_head"), F.concat(F.array("_prev"), F.col("path")).alias("path"))
         step = cut_lineage(step) if length > 1 else step

@@ -36,11 +36,20 @@ def distinct_lookups(deps: DataFrame) -> DataFrame:
     return counted.select("*", F.explode(F.array_compact(F.array(key))).alias("version_key"))
 
 
-def advisory_match(lookups: DataFrame, ranges: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+def canonical_hits(hits: DataFrame, canonical: DataFrame) -> DataFrame:
+    """E8 on hits: aliases of one issue (identifier -> canonical) count once per lookup; unknown identifiers stay."""
+    named = hits.join(canonical, "identifier", "left").withColumn("identifier", F.coalesce("canonical", "identifier"))
+    return named.select(*LOOKUP, "identifier").distinct()
+
+
+def advisory_match(
+    lookups: DataFrame, ranges: DataFrame, listed: DataFrame | None = None, canonical: DataFrame | None = None
+) -> DataFrame:
     """(lookup, identifier) for every advisory interval or explicit version list that covers the version.
 
     Equality on the package carries the join, the interval is its residual predicate. ``introduced`` "0" and a
-    missing lower bound are minus infinity; GIT intervals and unparsable bounds never match.
+    missing lower bound are minus infinity; GIT intervals and unparsable bounds never match. With ``canonical`` (rows of
+    ``canonical_map``) the aliases of one issue are one hit.
     """
     usable = (
         ranges.filter("range_type <> 'GIT'")
@@ -66,7 +75,7 @@ def advisory_match(lookups: DataFrame, ranges: DataFrame, listed: DataFrame | No
     if listed is not None:
         exact = listed.select("ecosystem", "norm_name", "identifier", F.explode("versions").alias("version"))
         hits = hits.unionByName(lookups.join(exact, LOOKUP).select(*LOOKUP, "identifier"))
-    return hits.distinct()
+    return hits.distinct() if canonical is None else canonical_hits(hits, canonical)
 
 
 def status_reason(count: Column, identifiers: Column) -> Column:
@@ -159,7 +168,10 @@ def create_findings(deps: DataFrame, hits: DataFrame, existing: DataFrame | None
     """
     identity = ["analysis_id", "ecosystem", "norm_name", "version", "source_file", "identifier"]
     rows = deps.select("analysis_id", *LOOKUP, "source_file", "scope").join(hits, LOOKUP)
-    fresh = rows.dropDuplicates(identity).withColumn("risk_level", provisional_risk(F.col("severity")))
+    # the smallest of equal identities stays, in a stated order and combined before the shuffle
+    others = [c for c in rows.columns if c not in identity]
+    least = rows.groupBy(*identity).agg(F.min(F.struct(*others)).alias("_row"))
+    fresh = least.select(*identity, "_row.*").select(*rows.columns).withColumn("risk_level", provisional_risk(F.col("severity")))
     if existing is None:
         return fresh
     new = fresh.join(existing.select(*identity), identity, "left_anti")

@@ -16,7 +16,6 @@ from fleetlens.operators import matching as M
 from fleetlens.session import cut_lineage
 
 # Verification rounds, the confidence of an automatic choice, and the npm range styles kept on rewriting.
-MAX_ROUNDS = 5
 CONFIDENCE = 0.5
 SIMPLE_SPEC = (
     r"^(\^|~|>=|=v|=|v)?\s*((?:0|[1-9]\d*)\.(?:0|[1-9]\d*)\.(?:0|[1-9]\d*)(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?)$"
@@ -120,11 +119,12 @@ def next_fixed_version(candidates: DataFrame, hits: DataFrame, fixes: DataFrame)
     return _floor(rows, fixes, keys, "candidate_key")
 
 
-def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFrame) -> DataFrame:
     """K6: (package, start, candidate, verified, remaining[]) of distinct start versions.
 
     Each round checks the still open candidates of all packages at once and moves the vulnerable ones to their next
-    fix. true = no advisory left, false = still affected without a further fix or given up after the last round.
+    fix. true = no advisory left, false = still affected without a further fix. A move strictly rises through the finite
+    list of fixes and releases, so the rounds end by themselves when no row is open.
     """
     fixes = fix_rows(ranges)
     keys = [*PACKAGE, "candidate"]
@@ -133,7 +133,7 @@ def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFra
         F.array().cast("array<string>").alias("remaining"),
     ).distinct()
     done: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         open_rows = cut_lineage(open_rows)
         if open_rows.isEmpty():
             break
@@ -142,7 +142,7 @@ def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFra
         floors = next_fixed_version(open_rows, hits, fixes)
         snapped = snap_to_release(floors, installable)
         step = floors.join(snapped, [*PACKAGE, "floor"]).select(*keys, "snapped", "snapped_key")
-        rows = open_rows.join(left, keys, "left").join(step, keys, "left")
+        rows = cut_lineage(open_rows.join(left, keys, "left").join(step, keys, "left"))  # both branches read it
         closed = rows.filter("found IS NULL OR snapped IS NULL").select(
             *PACKAGE, "start", "candidate", "candidate_key", F.col("found").isNull().alias("verified"),
             F.coalesce("found", F.array().cast("array<string>")).alias("remaining"),
@@ -151,8 +151,8 @@ def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFra
         open_rows = rows.filter("found IS NOT NULL AND snapped IS NOT NULL").select(
             *PACKAGE, "start", F.col("snapped").alias("candidate"), F.col("snapped_key").alias("candidate_key"), F.col("found").alias("remaining")
         )
-    given_up = open_rows.select(*PACKAGE, "start", "candidate", "candidate_key", F.lit(False).alias("verified"), "remaining")
-    return given_up if done is None else done.unionByName(given_up)
+    none = open_rows.select(*PACKAGE, "start", "candidate", "candidate_key", F.lit(False).alias("verified"), "remaining")
+    return none if done is None else done
 
 
 def select_candidates(hits: DataFrame, ranges: DataFrame, installable: DataFrame) -> DataFrame:

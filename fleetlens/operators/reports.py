@@ -160,13 +160,12 @@ def finding_context(findings: DataFrame, repositories: DataFrame, advisories: Da
     """One denormalised struct row per finding: repository, dependency, vulnerability and usage facts.
 
     ``findings`` carries repository_id, ecosystem, norm_name, package_name, version, scope, source_file and
-    identifier; ``evidence`` the rows of ``usage_evidence`` with norm_name. Descriptions are cut to 1500 characters,
-    as the feature asks.
+    identifier; ``evidence`` the rows of ``usage_evidence`` with norm_name.
     """
     repo = repositories.select("repository_id", F.struct("name", "source_url", "source_type").alias("repository"))
     vuln = advisories.select(
         "identifier",
-        F.struct("identifier", "severity", "cvss_score", F.substring("description", 1, 1500).alias("description")).alias("vulnerability"),
+        F.struct("identifier", "severity", "cvss_score", "description").alias("vulnerability"),
     )
     usage = evidence.select("repository_id", *PACKAGE, F.struct("import_names", "files", "components", "total_files", "truncated", "skipped_files_total").alias("usage"))
     rows = findings.join(repo, "repository_id", "left").join(vuln, "identifier", "left")

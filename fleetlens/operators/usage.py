@@ -15,9 +15,7 @@ from fleetlens.functions.importnames import PYTHON_IMPORT_NAMES
 from fleetlens.functions.versions import bind, strip
 from fleetlens.skew import top_per_key
 
-# Scan limits, file kinds and the words that mark dependency tables and keys.
-MAX_FILES, MAX_REFERENCES, MAX_REPORTED_FILES, MAX_SKIPPED = 5000, 100, 200, 20
-SNIPPET_LENGTH = 200
+# File kinds and the words that mark dependency tables and keys.
 PYTHON_SUFFIX = r"\.py$"
 JS_SUFFIX = r"\.(js|jsx|ts|tsx|mjs|cjs|vue)$"
 TOKEN_MANIFESTS = ["pyproject.toml", "setup.cfg", "setup.py", "Pipfile"]
@@ -81,7 +79,7 @@ def drop_comment_lines(lines: DataFrame, ecosystem: str) -> DataFrame:
 
 
 def _snippet() -> Column:
-    return F.substring(strip(F.col("text")), 1, SNIPPET_LENGTH).alias("snippet")
+    return strip(F.col("text")).alias("snippet")
 
 
 def _references(tokens: DataFrame, names: DataFrame, kind: str) -> DataFrame:
@@ -284,16 +282,16 @@ def eligible_files(files: DataFrame) -> DataFrame:
     return T.prune_paths(files.filter(source | manifest), T.SCANNER_IGNORED)
 
 
-def skipped_files(files: DataFrame) -> DataFrame:
-    """Per repository the first skipped files and how many there are (``is_too_large`` marks them)."""
+def skipped_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per repository the skipped files in path order, the first ``limit`` if one is given, and how many there are (``is_too_large`` marks them)."""
     skipped = files.filter("is_too_large").select("repository_id", "path").distinct()
     total = skipped.groupBy("repository_id").agg(F.count("*").alias("skipped_files_total"))
-    first = top_per_key(skipped, ["repository_id"], [F.col("path")], MAX_SKIPPED)
+    first = skipped if limit is None else top_per_key(skipped, ["repository_id"], [F.col("path")], limit)
     listed = first.groupBy("repository_id").agg(F.array_sort(F.collect_list("path")).alias("skipped_files"))
     return total.join(listed, "repository_id")
 
 
-def file_cap(files: DataFrame, n: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
+def file_cap(files: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(the first n files of each repository in path order, repositories that have more)."""
     kept = top_per_key(files, ["repository_id"], [F.col("path")], n, "position").drop("position")
     over = files.groupBy("repository_id").agg(F.count("*").alias("files")).withColumn("is_capped", F.col("files") > n)
@@ -301,20 +299,30 @@ def file_cap(files: DataFrame, n: int = MAX_FILES) -> tuple[DataFrame, DataFrame
 
 
 def usage_evidence(
-    wanted: DataFrame, references: DataFrame, pairs: DataFrame, scans: DataFrame | None = None
+    wanted: DataFrame,
+    references: DataFrame,
+    pairs: DataFrame,
+    scans: DataFrame | None = None,
+    max_references: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
     """One evidence row per wanted (repository_id, ecosystem, package_name).
 
     ``references`` are the rows of the matchers, ``pairs`` those of ``map_components``, ``scans`` optional
     per-repository (scanned_files, is_capped, skipped_files, skipped_files_total). Imports come before config
-    lines; lists are capped after ranking inside the partitions, totals are exact.
+    lines. Lists are whole unless the caller gives ``max_references`` or ``max_files``; then the first ones stay, ranked
+    inside the partitions, and ``truncated`` says so. Totals are always exact.
     """
     keys = ["repository_id", "ecosystem", "package_name"]
     order = [F.when(F.col("kind") == "import", 0).otherwise(1), F.col("path"), F.col("line_no")]
     counts = references.groupBy(*keys).agg(
         F.count("*").alias("n_references"), F.array_sort(F.collect_set("import_name")).alias("observed")
     )
-    capped = top_per_key(references, keys, order, MAX_REFERENCES, "rank").groupBy(*keys).agg(
+    if max_references is None:
+        ranked = references.withColumn("rank", F.struct(*order))
+    else:
+        ranked = top_per_key(references, keys, order, max_references, "rank")
+    capped = ranked.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", F.struct(F.col("path").alias("file"), F.col("line_no").alias("line"), "snippet", "kind").alias("r")))),
             lambda s: s["r"],
@@ -322,7 +330,8 @@ def usage_evidence(
     )
     importing = references.filter("kind = 'import'").select(*keys, "path").distinct()
     n_files = importing.groupBy(*keys).agg(F.count("*").alias("total_files"))
-    files = top_per_key(importing, keys, [F.col("path")], MAX_REPORTED_FILES).groupBy(*keys).agg(
+    reported = importing if max_files is None else top_per_key(importing, keys, [F.col("path")], max_files)
+    files = reported.groupBy(*keys).agg(
         F.array_sort(F.collect_list("path")).alias("files")
     )
     parts = (
@@ -343,6 +352,11 @@ def usage_evidence(
     none = F.array().cast("array<string>")
     total, found = F.coalesce("total_files", F.lit(0)), F.coalesce("n_references", F.lit(0))
     skipped = F.coalesce(F.col("skipped_files_total"), F.lit(0))
+    cut = F.lit(False)
+    if max_references is not None:
+        cut = cut | (found > max_references)
+    if max_files is not None:
+        cut = cut | (total > max_files)
     return rows.select(
         *keys,
         F.when(F.size("observed") > 0, F.col("observed")).otherwise(F.col("searched")).alias("import_names"),
@@ -354,28 +368,28 @@ def usage_evidence(
         F.coalesce("scanned_files", F.lit(0)).alias("scanned_files"),
         F.coalesce("skipped_files", none).alias("skipped_files"),
         skipped.alias("skipped_files_total"),
-        (F.coalesce("is_capped", F.lit(False)) | (found > MAX_REFERENCES) | (total > MAX_REPORTED_FILES) | (skipped > 0)).alias("truncated"),
+        (F.coalesce("is_capped", F.lit(False)) | cut | (skipped > 0)).alias("truncated"),
     )
 
 
 def usage_verdict(total_files: Column, truncated: Column, skipped: Column, scope: Column, analysed: Column) -> Column:
     """struct(kind, message) of what the evidence, or its absence, means; never a bare "not used"."""
     bare = F.lower(strip(F.coalesce(scope, F.lit("unknown"))))
-    partial = F.when(truncated, F.lit(" (scan incomplete: more files may import it)")).otherwise("")
-    detail = F.when(skipped > 0, F.concat(skipped.cast("string"), F.lit(" eligible file(s) were not scanned"))).otherwise(
-        "a scan limit was reached or part of the tree could not be read"
+    partial = F.when(truncated, F.lit(" (others may exist: not every file was read)")).otherwise("")
+    detail = F.when(skipped > 0, F.concat(skipped.cast("string"), F.lit(" source file(s) could not be read"))).otherwise(
+        "the caller's limits left files out"
     )
 
     def verdict(kind: str, *message) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message]).alias("message"))
 
     return (
-        F.when(~analysed, verdict("not-analysed", "No source-usage evidence was recorded for this finding."))
-        .when(total_files > 0, verdict("used", "Direct import found in ", total_files.cast("string"), " source file(s)", partial, "."))
-        .when(bare == "transitive", verdict("beyond-depth", "Beyond analysis depth: the dependency is transitive; its use through the parent package was not analysed."))
-        .when(truncated, verdict("scan-incomplete", "Scan incomplete: no direct import was found, but ", detail, "; absence of evidence is not evidence of non-use."))
-        .when(bare != "direct", verdict("unknown-scope", "No direct import found; the manifest cannot tell whether the dependency is direct or transitive."))
-        .otherwise(verdict("no-direct-import", "No direct import found in a complete scan of a direct dependency."))
+        F.when(~analysed, verdict("not-analysed", "The sources of this repository have not been searched."))
+        .when(total_files > 0, verdict("used", "Imported by ", total_files.cast("string"), " source file(s)", partial, "."))
+        .when(bare == "transitive", verdict("beyond-depth", "A package in between pulls this dependency in; whether that package calls it was not examined."))
+        .when(truncated, verdict("scan-incomplete", "No import seen so far, yet ", detail, "; it may still be in use."))
+        .when(bare != "direct", verdict("unknown-scope", "No import seen; its manifest does not say who asked for the package, so another package may use it."))
+        .otherwise(verdict("no-direct-import", "Every source file was read and none imports this declared dependency."))
     )
 
 

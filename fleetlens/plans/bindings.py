@@ -163,10 +163,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql = re.sub(rf"(FROM|JOIN) {source}\b", rf"\1 {{{source}}}", sql)
     # Spark string literals know escapes, the portable text means one backslash
     rows = spark.sql(sql.replace("\\", "\\\\"), **frames)
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_BOUND and all(len(f.inputFiles()) < cores for f in frames.values()):
-        return rows.repartition(cores)  # a table of many files already has a task per split
-    return rows
+    spread = spark.conf.get("fleetlens.spread", None)
+    # the bench and the tests ask for it, as their tables are one small file each; a large table has a task per split
+    return rows.repartition(int(spread)) if spread and name in TEXT_BOUND else rows
 
 
 def ctes(*names: str) -> str:

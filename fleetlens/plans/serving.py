@@ -86,7 +86,7 @@ def list_findings(
         rows = rows.filter(F.col("analysis_id") == analysis_id)
     if risk_level:
         rows = rows.filter(F.col("risk_level") == risk_level.upper())
-    return rows.orderBy(*order).limit(min(max(limit, 1), 1000))
+    return rows.orderBy(*order).limit(limit)
 
 
 def repository_dependencies(analyses: DataFrame, deps: DataFrame, status: str | None = None) -> DataFrame:

@@ -20,6 +20,8 @@ def local_session(app: str = "fleetlens", cores: str = "*", **conf: str) -> Spar
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("fleetlens.spread", "8")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import EXTRACTOR_IGNORED, decode_text, parent_dir, prune_paths
 
-MAX_BYTES = 1024 * 1024
-
 
 def scan_files(
     spark: SparkSession,
     root: str,
     max_depth: int | None = None,
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
     ignored: list[str] = EXTRACTOR_IGNORED,
     glob: str | None = None,
     keep_hidden: list[str] | None = None,
@@ -22,7 +20,8 @@ def scan_files(
 ) -> DataFrame:
     """A1: files below ``root`` as (path, length, is_too_large, content), ignored directories and deep paths removed.
 
-    ``content`` is null for files above ``max_bytes``; a job that does not select it never reads file bodies, and
+    Without ``max_bytes`` every file is read; with it ``content`` is null for larger ones, which ``is_too_large`` marks and
+    ``operators.dependencies.unread_warnings`` reports, so none is left out in silence. A job that does not select it never reads file bodies, and
     the name pattern is applied while listing. With ``repository_level`` the first directory below ``root`` is the
     repository id and ``path`` starts below it. Hidden and symbolic files follow the file system's listing rules.
     """
@@ -43,7 +42,7 @@ def scan_files(
         directory = parent_dir(F.col("path"))
         files = files.filter(F.when(directory == "", 0).otherwise(F.size(F.split(directory, "/"))) <= max_depth)
     files = prune_paths(files, ignored, keep_hidden=keep_hidden)
-    too_large = F.col("length") > max_bytes
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     return files.withColumn("is_too_large", too_large).withColumn("content", F.when(~too_large, F.col("content")))
 
 

@@ -119,7 +119,7 @@ def duration_windows(analyses: DataFrame, window: str = "1 day") -> DataFrame:
             F.count("*").alias("analyses"),
             F.avg("duration_s").alias("mean_s"),
             F.max("duration_s").alias("longest_s"),
-            F.percentile_approx("duration_s", 0.5, 10000).alias("median_s"),
+            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_s)").cast(analyses.schema["duration_s"].dataType).alias("median_s"),
         )
         .select(F.col("w.start").alias("window_start"), "analyses", "mean_s", "longest_s", "median_s")
     )

@@ -179,3 +179,42 @@ def test_skew_helpers_keep_every_row(spark):
     expected = rows.groupBy("k").agg(F.least(F.count("*"), F.lit(1500)).alias("n")).agg(F.sum("n")).first()[0]
     assert top.count() == expected
     assert first_per_key(rows, ["k"], [F.col("v")]).count() == counts.count()
+
+
+def test_aliases_of_one_issue_are_one_hit(spark):
+    from fleetlens.operators import advisories as A
+    from fleetlens.operators import matching as M
+
+    records = spark.createDataFrame([("GHSA-1", ["CVE-1"], "HIGH"), ("CVE-1", [], "LOW"), ("GHSA-2", ["CVE-2"], "LOW")], "identifier string, aliases array<string>, severity string")
+    groups = A.alias_groups(records).join(records, "identifier").select("identifier", "group_id")
+    names = groups.groupBy("group_id").agg(F.min("identifier").alias("canonical")).join(groups, "group_id").select("identifier", "canonical")
+    hits = spark.createDataFrame([("npm", "p", "1.0.0", i) for i in ("GHSA-1", "CVE-1", "GHSA-2", "X-9")], "ecosystem string, norm_name string, version string, identifier string")
+    assert sorted(r.identifier for r in M.canonical_hits(hits, names).collect()) == ["CVE-1", "GHSA-2", "X-9"]
+
+
+def test_long_numbers_do_not_stop_a_job(spark):
+    from fleetlens.functions import versions as V
+
+    rows = [("npm", "9" * 45 + ".0.1"), ("npm", "1." + "7" * 400 + ".0"), ("PyPI", "8" * 45 + ".2"), ("npm", "2.0.0")]
+    df = spark.createDataFrame(rows, "e string, v string")
+    got = df.select("v", V.major_of(F.col("v"), F.col("e")).alias("m"), V.semver_parse(F.col("v")).alias("p"), V.version_key(F.col("v"), F.col("e")).alias("k")).collect()
+    assert [None if r.m is None else int(r.m) for r in got] == [None, 1, None, 2]
+    npm = [r.k for r in got if r.v[0] in "912"]
+    assert npm[1] < npm[2] < npm[0]
+
+
+def test_a_deep_v1_lock_and_long_names(spark):
+    import json
+
+    from fleetlens.operators import dependencies as D
+    from fleetlens.operators import extract_npm as N
+
+    tree = {"version": "1.0.0"}
+    for k in range(70):
+        tree = {"version": "1.0.0", "dependencies": {f"d{k}": tree}}
+    lock = json.dumps({"dependencies": {"top": tree}})
+    rows = N.flatten_lock_v1(spark.createDataFrame([(1, "package-lock.json", lock)], "repository_id int, path string, content string"))
+    assert rows.count() == 71
+    long = [(1, "PyPI", "n" * 300 + t, "1", "f") for t in "ab"]
+    deps = spark.createDataFrame(long, "analysis_id int, ecosystem string, package_name string, version string, source_file string")
+    assert D.dependency_identity_dedupe(deps, [F.col("package_name")]).count() == 2

@@ -48,3 +48,26 @@ def test_snapshot_is_idempotent(spark, tmp_path):
         write_snapshot(deps, str(tmp_path / "t"), key, 4)
     write_snapshot(deps.withColumn("version", F.lit("9.9.9")), str(tmp_path / "t"), key, 4)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+
+
+def test_large_files_are_read_unless_a_limit_is_given(spark, tmp_path):
+    from fleetlens.operators.dependencies import unread_warnings
+    from fleetlens.sources.files import read_text_files
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "package-lock.json").write_text("{}" + " " * 3_000_000)
+    whole = read_text_files(scan_files(spark, str(tmp_path), repository_level=True))
+    assert whole.filter("content IS NULL OR is_too_large").count() == 0 and unread_warnings(whole).count() == 0
+    cut = read_text_files(scan_files(spark, str(tmp_path), repository_level=True, max_bytes=100))
+    assert [r.message for r in unread_warnings(cut).collect()] == ["package-lock.json: file was not read; what it declares is unknown"]
+
+
+def test_snapshot_keeps_the_smallest_of_equal_identities_once(spark, tmp_path):
+    from fleetlens.sources.tables import read_snapshot, write_snapshot
+
+    path = str(tmp_path / "snap")
+    rows = spark.createDataFrame([(1, "a", None, "dev"), (1, "a", None, "main"), (2, "b", "1", "main")], "analysis_id int, name string, version string, scope string")
+    for _ in range(2):
+        write_snapshot(rows, path, ["analysis_id", "name", "version"])
+    got = read_snapshot(spark, path).select("analysis_id", "name", "version", "scope").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a", None, "dev"), (2, "b", "1", "main")]

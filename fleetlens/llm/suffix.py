@@ -33,7 +33,7 @@ from fleetlens.llm.common import parts_for
 LENGTH = 50
 GRAM = 28
 #: Text bytes of a batch, and the text bytes whose anchors one bucket gets.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LAST = np.iinfo(np.int64).max

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,8 +15,9 @@ def sample_ids(labels: DataFrame, label: str, learn: Column, per_class: int) ->
     spark = labels.sparkSession
     known = labels.filter(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label)).cast("int").alias("_y"))
     totals = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    place = Window.partitionBy("_y").orderBy(F.xxhash64("_id", F.lit("sample")), "_id")
-    rows = known.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= per_class).select("_id", "_y").collect()
+    # a top-k per class keeps at most ``per_class`` rows of every input partition
+    picks = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id", F.lit("sample")), "_id").limit(per_class) for y in totals]
+    rows = [r for pick in picks for r in pick.collect()]
     taken = {y: sum(r["_y"] == y for r in rows) for y in totals}
     frame = spark.createDataFrame([(r["_id"], r["_y"]) for r in rows], "_id long, _y int")
     return frame, {y: totals[y] / taken[y] for y in totals}

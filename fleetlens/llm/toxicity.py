@@ -134,7 +134,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     """All columns of ``docs`` with score (0 to 1) and predicted (1 from ``THRESHOLD``), learned from labels where ``learn`` holds.
 
     The lexicon and the weights of the grammar's paths come from a sample of at most ``per_class`` documents per class;
-    every text is then scored whole, also null (as empty) and empty ones. Without any label all scores are 0. Labels of
+    every text is then scored whole, also null (as empty) and empty ones. Without any labelled text all scores are 0. Labels of
     null ids or other values than 0 and 1 are not used; new columns replace columns of the same name.
     """
     docs = docs.drop("score", "predicted")
@@ -153,7 +153,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
         got = sample.select(F.col("_y").alias("y"), "text").mapInArrow(measure, "y int, x array<double>").collect()
         got.sort(key=lambda r: (r.y, r.x))
         y = np.array([r.y for r in got], float)
-        coef = fit_logistic(np.array([r.x for r in got]), y, np.array([share[int(v)] for v in y]))
+        if got:
+            coef = fit_logistic(np.array([r.x for r in got]), y, np.array([share[int(v)] for v in y]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}

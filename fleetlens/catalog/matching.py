@@ -16,7 +16,18 @@ query = GROUP.query
 _BASE = ctes("fx_dependencies", "fx_advisories")
 _LOOKUP_HITS = f"{HITS}, lh AS (SELECT DISTINCT ecosystem, norm_name, version, identifier FROM hits)"
 _DEPS = f"deps AS (SELECT *, {norm()} AS norm_name, {valid()} AS ok FROM fx_dependencies)"
-_STATUS = f"""{_LOOKUP_HITS}, {_DEPS}, found AS (SELECT ecosystem, norm_name, version, count(*) AS n, string_agg(identifier, ', ' ORDER BY identifier) AS ids FROM lh GROUP BY 1, 2, 3),
+
+
+def _canon(name: str) -> str:
+    """Advisories with the canonical one of their issue: CVE ids stand alone, others share their alias."""
+    key = "PARTITION BY CASE WHEN identifier LIKE 'CVE-%' THEN identifier ELSE alias END"
+    tier = "CASE split_part(identifier, '-', 1) WHEN 'GHSA' THEN 0 WHEN 'CVE' THEN 1 ELSE 2 END"
+    return f"""{name} AS (SELECT identifier, canonical, {band('cvss_score')} AS severity, cvss_score FROM (SELECT identifier, max(score) OVER ({key}) AS cvss_score,
+ first_value(identifier) OVER ({key} ORDER BY {tier}, score IS NULL, identifier) AS canonical FROM (SELECT identifier, alias, {cvss()} AS score FROM fx_advisories) r) m)"""
+
+
+_CANON_HITS = f"{HITS}, {_canon('canon')}, lh AS (SELECT DISTINCT h.ecosystem, h.norm_name, h.version, c.canonical AS identifier FROM hits h JOIN canon c ON c.identifier = h.identifier)"
+_STATUS = f"""{_CANON_HITS}, {_DEPS}, found AS (SELECT ecosystem, norm_name, version, count(*) AS n, string_agg(identifier, ', ' ORDER BY identifier) AS ids FROM lh GROUP BY 1, 2, 3),
  classified AS (SELECT d.*, f.n, CASE WHEN f.n IS NOT NULL THEN 'VULNERABLE' WHEN d.ok THEN 'SAFE' ELSE 'UNKNOWN' END AS vulnerability_status,
    CASE WHEN f.n = 1 THEN '1 known vulnerability (' || f.ids || ')' WHEN f.n > 1 THEN f.n || ' known vulnerabilities (' || f.ids || ')' WHEN d.version IS NULL THEN '{M.UNPINNED}'
    WHEN NOT d.ok THEN 'Version "' || d.version || '" is not a valid ' || d.ecosystem || ' version; it cannot be checked' END AS status_reason
@@ -50,7 +61,8 @@ def _classify(spark, d):
     _BASE + f", {_STATUS} SELECT DISTINCT ecosystem, norm_name, version, status_reason FROM classified WHERE n IS NOT NULL",
 )
 def _reason(spark, d):
-    found = M.lookup_status(fleet.lookups(spark, d), M.advisory_match(fleet.lookups(spark, d), fleet.ranges(spark, d)))
+    asked = fleet.lookups(spark, d)
+    found = M.lookup_status(asked, M.advisory_match(asked, fleet.ranges(spark, d), canonical=fleet.canonical(spark, d)[0]))
     return found.filter("n_advisories > 0").select(*M.LOOKUP, "status_reason")
 
 
@@ -59,7 +71,7 @@ def _reason(spark, d):
     _BASE
     + f""", {_STATUS} SELECT c.analysis_id, count(*) AS checked, count(*) FILTER (version IS NOT NULL) AS queried, count(*) FILTER (vulnerability_status = 'SAFE') AS safe, count(*) FILTER (vulnerability_status = 'VULNERABLE') AS vulnerable,
  count(*) FILTER (vulnerability_status = 'UNKNOWN') AS unknown, count(*) FILTER (version IS NULL) AS unpinned, coalesce(max(t.n), 0) AS vulnerabilities_total
- FROM classified c LEFT JOIN (SELECT analysis_id, count(DISTINCT identifier) AS n FROM hits GROUP BY 1) t ON t.analysis_id = c.analysis_id GROUP BY 1""",
+ FROM classified c LEFT JOIN (SELECT analysis_id, count(DISTINCT canonical) AS n FROM hits h JOIN canon c ON c.identifier = h.identifier GROUP BY 1) t ON t.analysis_id = c.analysis_id GROUP BY 1""",
 )
 def _summary(spark, d):
     return M.check_summary(*fleet.classified_with_hits(spark, d))
@@ -84,8 +96,8 @@ def _stage(spark, d):
     return counts.withColumn("stage_status", M.stage_status(F.col("errors"), F.col("lookups")))
 
 
-_FINDINGS = f"""sev AS (SELECT identifier, {band(cvss())} AS severity, {cvss()} AS cvss_score FROM fx_advisories),
- findings AS (SELECT DISTINCT h.analysis_id, h.ecosystem, h.norm_name, h.version, h.source_file, h.identifier, s.severity, s.cvss_score, s.severity AS risk_level FROM hits h JOIN sev s ON s.identifier = h.identifier)"""
+_FINDINGS = f"""{_canon('sev')},
+ findings AS (SELECT DISTINCT h.analysis_id, h.ecosystem, h.norm_name, h.version, h.source_file, s.canonical AS identifier, s.severity, s.cvss_score, s.severity AS risk_level FROM hits h JOIN sev s ON s.identifier = h.identifier)"""
 
 
 @query("create_findings", _BASE + f", {HITS}, {_FINDINGS} SELECT * FROM findings")
@@ -96,13 +108,13 @@ def _findings(spark, d):
 @query(
     "check_package",
     ctes("fx_releases", "fx_advisories")
-    + f""", d AS (SELECT DISTINCT ecosystem, package_name, version FROM fx_releases)
- SELECT d.ecosystem, d.package_name, d.version, CASE WHEN count(a.identifier) > 0 THEN 'VULNERABLE' ELSE 'SAFE' END AS vulnerability_status, count(a.identifier) AS n
- FROM d LEFT JOIN fx_advisories a ON d.ecosystem = a.ecosystem AND d.package_name = a.package_name AND {vkey('d.version')} >= {vkey('a.introduced')} AND (a.fixed IS NULL OR {vkey('d.version')} < {vkey('a.fixed')}) GROUP BY 1, 2, 3""",
+    + f""", {_canon('canon')}, d AS (SELECT DISTINCT ecosystem, package_name, version FROM fx_releases)
+ SELECT d.ecosystem, d.package_name, d.version, CASE WHEN count(a.identifier) > 0 THEN 'VULNERABLE' ELSE 'SAFE' END AS vulnerability_status, count(DISTINCT c.canonical) AS n
+ FROM d LEFT JOIN fx_advisories a ON d.ecosystem = a.ecosystem AND d.package_name = a.package_name AND {vkey('d.version')} >= {vkey('a.introduced')} AND (a.fixed IS NULL OR {vkey('d.version')} < {vkey('a.fixed')}) LEFT JOIN canon c ON c.identifier = a.identifier GROUP BY 1, 2, 3""",
 )
 def _check_package(spark, d):
     packages = fixture(spark, d, "fx_releases").select("ecosystem", "package_name", "version").distinct()
-    rows = M.check_package(packages, fleet.ranges(spark, d))
+    rows = M.check_package(packages, fleet.ranges(spark, d), fleet.canonical(spark, d)[0])
     return rows.select(
         "ecosystem", "package_name", "version", "vulnerability_status", F.coalesce("n_advisories", F.lit(0)).cast("bigint").alias("n")
     )
@@ -139,7 +151,7 @@ def _recheck(spark, d):
     return M.recheck_statuses(stale, fleet.classified(spark, d), keys).select(*keys, "vulnerability_status", "status_reason")
 
 
-FLEET_SQL = f""", {HITS}, {_FINDINGS}, f AS (SELECT d.analysis_id, count(DISTINCT d.id) AS dependencies, count(DISTINCT CASE WHEN h.identifier IS NOT NULL THEN d.id END) AS vulnerable, count(h.identifier) AS findings, max(CASE WHEN s.severity IS NOT NULL THEN {RISK_RANK.format('s.severity')} END) AS worst
+FLEET_SQL = f""", {HITS}, {_FINDINGS}, f AS (SELECT d.analysis_id, count(DISTINCT d.id) AS dependencies, count(DISTINCT CASE WHEN h.identifier IS NOT NULL THEN d.id END) AS vulnerable, count(DISTINCT CASE WHEN s.canonical IS NOT NULL THEN (d.id, s.canonical) END) AS findings, max(CASE WHEN s.severity IS NOT NULL THEN {RISK_RANK.format('s.severity')} END) AS worst
  FROM (SELECT *, row_number() OVER () AS id FROM fx_dependencies) d LEFT JOIN hits h ON h.analysis_id = d.analysis_id AND h.ecosystem = d.ecosystem AND h.package_name = d.package_name AND h.version = d.version AND h.source_file = d.source_file AND h.scope = d.scope LEFT JOIN sev s ON s.identifier = h.identifier GROUP BY 1)
  SELECT a.analysis_id, a.repository_id, coalesce(dependencies, 0) AS dependencies, coalesce(vulnerable, 0) AS vulnerable, coalesce(findings, 0) AS findings, CASE WHEN worst IS NULL THEN 'NONE' ELSE CASE worst WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 1 THEN 'UNKNOWN' END END AS overall_risk
  FROM fx_analyses a LEFT JOIN f ON f.analysis_id = a.analysis_id"""

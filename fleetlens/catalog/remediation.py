@@ -40,7 +40,7 @@ _SNAP = f"""{_FLOORS}, {_REL}, snapped AS (SELECT f.ecosystem, f.norm_name, f.fl
 
 
 def _hits(spark, d):
-    return fleet.hits(spark, d).select(*M.LOOKUP, "identifier")
+    return fleet.raw_hits(spark, d)
 
 
 def _installable(spark, d):

@@ -182,9 +182,7 @@ def check_package(packages: DataFrame, ranges: DataFrame, canonical: DataFrame |
     """F8: status of a list of (ecosystem, package_name, version), aliases merged; never SAFE with records."""
     asked = with_lookup_key(packages)
     lookups = distinct_lookups(asked)
-    hits = advisory_match(lookups, ranges)
-    if canonical is not None:
-        hits = hits.join(canonical, "identifier").select(*LOOKUP, F.col("canonical").alias("identifier")).distinct()
+    hits = advisory_match(lookups, ranges, canonical=canonical)
     return classify_dependencies(asked, lookup_status(lookups, hits), salt_hot=False)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import scores as S
 from fleetlens.operators import matching as M
 from fleetlens.operators import risk as R
+from fleetlens.operators import advisories as A
 from fleetlens.operators.advisories import with_range_keys
 from fleetlens.functions import versions as V
 from fleetlens.plans.bindings import fixture
@@ -39,23 +40,41 @@ def lookups(spark: SparkSession, d: str) -> DataFrame:
     return M.distinct_lookups(dependencies(spark, d))
 
 
+def raw_hits(spark: SparkSession, d: str) -> DataFrame:
+    """(ecosystem, norm_name, version, identifier): every advisory record that matches, aliases apart."""
+    return M.advisory_match(lookups(spark, d), ranges(spark, d))
+
+
+def canonical(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(identifier -> canonical, canonical identifier with merged severity and score): aliases merged once, E4-E8."""
+    records = scored_advisories(spark, d).select(
+        "identifier",
+        F.array_compact(F.array("alias")).alias("aliases"),
+        "severity",
+        "cvss_score",
+        "cvss_vector",
+        F.lit(None).cast("timestamp").alias("published_at"),
+    )
+    groups = A.alias_groups(records.select("identifier", "aliases"))
+    merged = A.merge_group(records, groups).select("identifier", "severity", "cvss_score")
+    return cut_lineage(A.canonical_map(records, groups)), merged
+
+
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    """(ecosystem, norm_name, version, identifier, severity, cvss_score)"""
-    severity = scored_advisories(spark, d).select("identifier", "severity", "cvss_score")
-    return M.advisory_match(lookups(spark, d), ranges(spark, d)).join(severity, "identifier")
+    """(ecosystem, norm_name, version, identifier, severity, cvss_score), one row per issue whatever its names."""
+    names, merged = canonical(spark, d)
+    return M.canonical_hits(raw_hits(spark, d), names).join(merged, "identifier")
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
-    # one row per distinct version: written once, read by the hot-key count and by the join
-    asked = cut_lineage(lookups(spark, d))
-    statuses = cut_lineage(M.lookup_status(asked, M.advisory_match(asked, ranges(spark, d))))
-    return M.classify_dependencies(dependencies(spark, d), statuses)
+    return classified_with_hits(spark, d)[0]
 
 
 def classified_with_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(classified dependencies, hits) from one matching run."""
+    """(classified dependencies, canonical hits) from one matching run."""
+    # one row per distinct version: written once, read by the hot-key count and by the join
     asked = cut_lineage(lookups(spark, d))
-    found = cut_lineage(M.advisory_match(asked, ranges(spark, d)))
+    found = cut_lineage(M.advisory_match(asked, ranges(spark, d), canonical=canonical(spark, d)[0]))
     statuses = cut_lineage(M.lookup_status(asked, found))
     return M.classify_dependencies(dependencies(spark, d), statuses), found
 

@@ -96,11 +96,11 @@ def _stage(spark, d):
     return counts.withColumn("stage_status", M.stage_status(F.col("errors"), F.col("lookups")))
 
 
-_FINDINGS = f"""{_canon('sev')},
+FINDINGS = f"""{_canon('sev')},
  findings AS (SELECT DISTINCT h.analysis_id, h.ecosystem, h.norm_name, h.version, h.source_file, s.canonical AS identifier, s.severity, s.cvss_score, s.severity AS risk_level FROM hits h JOIN sev s ON s.identifier = h.identifier)"""
 
 
-@query("create_findings", _BASE + f", {HITS}, {_FINDINGS} SELECT * FROM findings")
+@query("create_findings", _BASE + f", {HITS}, {FINDINGS} SELECT * FROM findings")
 def _findings(spark, d):
     return fleet.findings(spark, d).drop("scope")
 
@@ -122,7 +122,7 @@ def _check_package(spark, d):
 
 @query(
     "provisional_risk",
-    _BASE + f", {HITS}, {_FINDINGS} SELECT risk_level, count(*) AS n FROM findings GROUP BY 1",
+    _BASE + f", {HITS}, {FINDINGS} SELECT risk_level, count(*) AS n FROM findings GROUP BY 1",
 )
 def _provisional(spark, d):
     # counted per lookup first: the findings themselves never have to exist
@@ -151,7 +151,7 @@ def _recheck(spark, d):
     return M.recheck_statuses(stale, fleet.classified(spark, d), keys).select(*keys, "vulnerability_status", "status_reason")
 
 
-FLEET_SQL = f""", {HITS}, {_FINDINGS}, f AS (SELECT d.analysis_id, count(DISTINCT d.id) AS dependencies, count(DISTINCT CASE WHEN h.identifier IS NOT NULL THEN d.id END) AS vulnerable, count(DISTINCT CASE WHEN s.canonical IS NOT NULL THEN (d.id, s.canonical) END) AS findings, max(CASE WHEN s.severity IS NOT NULL THEN {RISK_RANK.format('s.severity')} END) AS worst
+FLEET_SQL = f""", {HITS}, {FINDINGS}, f AS (SELECT d.analysis_id, count(DISTINCT d.id) AS dependencies, count(DISTINCT CASE WHEN h.identifier IS NOT NULL THEN d.id END) AS vulnerable, count(DISTINCT CASE WHEN s.canonical IS NOT NULL THEN (d.id, s.canonical) END) AS findings, max(CASE WHEN s.severity IS NOT NULL THEN {RISK_RANK.format('s.severity')} END) AS worst
  FROM (SELECT *, row_number() OVER () AS id FROM fx_dependencies) d LEFT JOIN hits h ON h.analysis_id = d.analysis_id AND h.ecosystem = d.ecosystem AND h.package_name = d.package_name AND h.version = d.version AND h.source_file = d.source_file AND h.scope = d.scope LEFT JOIN sev s ON s.identifier = h.identifier GROUP BY 1)
  SELECT a.analysis_id, a.repository_id, coalesce(dependencies, 0) AS dependencies, coalesce(vulnerable, 0) AS vulnerable, coalesce(findings, 0) AS findings, CASE WHEN worst IS NULL THEN 'NONE' ELSE CASE worst WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 1 THEN 'UNKNOWN' END END AS overall_risk
  FROM fx_analyses a LEFT JOIN f ON f.analysis_id = a.analysis_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import Group
-from fleetlens.catalog.matching import _FINDINGS, _LOOKUP_HITS
+from fleetlens.catalog.matching import FINDINGS, _LOOKUP_HITS
 from fleetlens.catalog.sqlparts import HITS, major, norm, vkey
 from fleetlens.functions import versions as V
 from fleetlens.operators import matching as M
@@ -24,7 +24,7 @@ DEPENDENCY = ["analysis_id", *M.LOOKUP, "source_file"]
 @query(
     "vulnerabilities_of_dependency",
     ctes("fx_dependencies", "fx_advisories")
-    + f""", {HITS}, {_FINDINGS}, g AS (SELECT analysis_id, ecosystem, norm_name, version, source_file, list_sort(list(identifier)) AS l FROM findings GROUP BY 1, 2, 3, 4, 5)
+    + f""", {HITS}, {FINDINGS}, g AS (SELECT analysis_id, ecosystem, norm_name, version, source_file, list_sort(list(identifier)) AS l FROM findings GROUP BY 1, 2, 3, 4, 5)
  SELECT f.analysis_id, f.ecosystem, f.norm_name, f.version, f.source_file, f.identifier, array_to_string(list_prepend(f.identifier, list_filter(g.l, lambda x: x <> f.identifier)), ',') AS identifiers FROM findings f JOIN g ON g.analysis_id = f.analysis_id AND g.ecosystem = f.ecosystem AND g.norm_name = f.norm_name AND g.version = f.version AND g.source_file = f.source_file""",
 )
 def _vulns(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import Group
-from fleetlens.catalog.matching import _FINDINGS, _STATUS
+from fleetlens.catalog.matching import FINDINGS, _STATUS
 from fleetlens.catalog.risk import _FID
 from fleetlens.catalog.sqlparts import HITS, band, cvss
 from fleetlens.plans import fleet
@@ -16,7 +16,7 @@ GROUP = Group()
 query = GROUP.query
 
 _AN = ctes("fx_analyses")
-_ALL = ctes("fx_dependencies", "fx_advisories", "fx_analyses", "fx_repositories") + f", {_STATUS}, {_FINDINGS}"
+_ALL = ctes("fx_dependencies", "fx_advisories", "fx_analyses", "fx_repositories") + f", {_STATUS}, {FINDINGS}"
 _SNAP = "snap AS (SELECT repository_id, analysis_id, status FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY CASE WHEN status = 'COMPLETED' THEN 0 ELSE 1 END, analysis_id DESC) AS rn FROM fx_analyses) s WHERE rn = 1)"
 _LATEST = "latest AS (SELECT repository_id, analysis_id, status FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY analysis_id DESC) AS rn FROM fx_analyses) s WHERE rn = 1)"
 _DC = "dc AS (SELECT analysis_id, count(*) AS dependencies_count, count(*) FILTER (vulnerability_status = 'VULNERABLE') AS vulnerable_count FROM classified GROUP BY 1)"
@@ -80,7 +80,7 @@ def _by_risk(spark, d):
 @query(
     "dashboard_totals",
     ctes("fx_dependencies", "fx_advisories", "fx_analyses", "fx_repositories", "fx_remediations")
-    + f""", {_STATUS}, {_FINDINGS}, {_SNAP}, {_DC} SELECT (SELECT count(*) FROM fx_repositories) AS repositories, (SELECT count(*) FROM fx_analyses) AS analyses, (SELECT count(*) FROM findings) AS findings, (SELECT count(*) FROM fx_remediations) AS remediations,
+    + f""", {_STATUS}, {FINDINGS}, {_SNAP}, {_DC} SELECT (SELECT count(*) FROM fx_repositories) AS repositories, (SELECT count(*) FROM fx_analyses) AS analyses, (SELECT count(*) FROM findings) AS findings, (SELECT count(*) FROM fx_remediations) AS remediations,
  (SELECT sum(dependencies_count) FROM snap s JOIN dc ON dc.analysis_id = s.analysis_id) AS dependencies, (SELECT sum(vulnerable_count) FROM snap s JOIN dc ON dc.analysis_id = s.analysis_id) AS vulnerable_dependencies""",
 )
 def _dashboard(spark, d):
@@ -142,7 +142,7 @@ _IDS = ctes("fx_dep_ids", "fx_named_relations", "fx_dependencies", "fx_advisorie
 @query(
     "dependency_detail",
     _IDS
-    + f""", {HITS}, {_FINDINGS}, ids AS (SELECT analysis_id, ecosystem, norm_name, version, min(dependency_id) AS id FROM fx_dep_ids GROUP BY 1, 2, 3, 4),
+    + f""", {HITS}, {FINDINGS}, ids AS (SELECT analysis_id, ecosystem, norm_name, version, min(dependency_id) AS id FROM fx_dep_ids GROUP BY 1, 2, 3, 4),
  ed AS (SELECT DISTINCT p.analysis_id, p.id AS pid, p.norm_name || '@' || coalesce(p.version, '?') AS pl, c.id AS cid, c.norm_name || '@' || coalesce(c.version, '?') AS cl FROM fx_named_relations r JOIN ids p ON p.analysis_id = r.analysis_id AND p.ecosystem = r.ecosystem AND p.norm_name = r.parent_name AND p.version IS NOT DISTINCT FROM r.parent_version
   JOIN ids c ON c.analysis_id = r.analysis_id AND c.ecosystem = r.ecosystem AND c.norm_name = r.child_name AND c.version IS NOT DISTINCT FROM r.child_version WHERE p.id <> c.id),
  fs AS (SELECT analysis_id, ecosystem, norm_name, version, count(*) AS n, string_agg(DISTINCT identifier, ',' ORDER BY identifier) AS v FROM findings GROUP BY 1, 2, 3, 4)

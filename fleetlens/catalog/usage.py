@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import Group
-
+from fleetlens.catalog.matching import FINDINGS
+from fleetlens.catalog.sqlparts import HITS, norm
 from fleetlens.functions import text as T
-from fleetlens.functions import versions as V
 from fleetlens.operators import usage as U
 from fleetlens.plans import fleet
 from fleetlens.plans.bindings import ctes, fixture
+from fleetlens.session import cut_lineage
 
 GROUP = Group()
 query = GROUP.query
@@ -164,20 +165,33 @@ def _map_components(spark, d):
     return _pairs(spark, d)
 
 
-def _evidence(spark, d):
-    refs = U.match_python_imports(fixture(spark, d, "fx_lines"), _names(spark, d))
-    return U.usage_evidence(_packages(spark, d).filter("ecosystem = 'PyPI'"), refs, _pairs(spark, d))
+def evidence_of(spark, d, wanted):
+    """Evidence of (repository_id, ecosystem, package_name) from the searched files of both ecosystems."""
+    lines = fixture(spark, d, "fx_source_lines")
+    refs = cut_lineage(U.match_usage(lines, wanted))  # parsed once, read by every aggregate
+    pairs = U.map_components(refs, fixture(spark, d, "fx_components"))
+    return U.usage_evidence(wanted, refs, pairs, U.scan_summary(fixture(spark, d, "fx_scan_files")))
 
 
-_EV = ctes("fx_lines", "fx_dependencies", "fx_analyses", "fx_components") + f""", {_PYREFS}, {_PAIRS}, ev AS (SELECT w.repository_id, w.package_name, count(DISTINCT (r.path, r.line_no)) FILTER (r.path IS NOT NULL) AS n_references, count(DISTINCT r.path) AS total_files,
- coalesce(string_agg(DISTINCT p.component, ',' ORDER BY p.component), '') AS components, coalesce(min(r.path), '') AS first_file FROM wanted w LEFT JOIN refs r ON r.repository_id = w.repository_id AND r.package_name = w.package_name LEFT JOIN pairs p ON p.repository_id = r.repository_id AND p.path = r.path WHERE w.ecosystem = 'PyPI' GROUP BY 1, 2)"""
+EVIDENCE_TABLES = ["fx_source_lines", "fx_scan_files", "fx_dependencies", "fx_analyses", "fx_components"]
+#: ``evs``, the evidence of the CTE ``wanted`` (repository_id, ecosystem, package_name)
+EVIDENCE = f"""{_SPELL}, m AS (SELECT DISTINCT repository_id, path, line_no, ecosystem, pkg, replace(pkg, '-', '_') AS module, CASE WHEN line_no = 6 THEN 'config' WHEN line_no % 4 IN (0, 1) THEN 'import' END AS kind FROM fx_source_lines),
+ refs AS (SELECT m.repository_id, m.path, m.line_no, m.kind, 'PyPI' AS ecosystem, s.package_name FROM m JOIN spelled s ON s.repository_id = m.repository_id AND s.n = m.module WHERE m.ecosystem = 'PyPI' AND m.kind = 'import'
+  UNION SELECT m.repository_id, m.path, m.line_no, m.kind, w.ecosystem, w.package_name FROM m JOIN wanted w ON w.repository_id = m.repository_id AND w.ecosystem = m.ecosystem AND w.package_name = m.pkg WHERE m.ecosystem = 'npm' AND m.kind IS NOT NULL
+  UNION SELECT m.repository_id, m.path, m.line_no, m.kind, w.ecosystem, w.package_name FROM m JOIN wanted w ON w.repository_id = m.repository_id AND w.ecosystem = m.ecosystem AND {norm('w.package_name', 'w.ecosystem')} = {norm('m.pkg', 'm.ecosystem')} WHERE m.ecosystem = 'PyPI' AND m.kind = 'config'),
+ {_PAIRS.replace('fx_lines', 'fx_source_lines')},
+ scan AS (SELECT repository_id, count(DISTINCT path) FILTER (ok AND NOT is_too_large) AS scanned_files, count(DISTINCT path) FILTER (ok AND is_too_large) AS skipped FROM (SELECT *, path NOT LIKE 'node_modules/%' AND path NOT LIKE '%.md' AS ok FROM fx_scan_files) s GROUP BY 1),
+ ev AS (SELECT w.repository_id, w.ecosystem, w.package_name, count(DISTINCT (r.path, r.line_no)) FILTER (r.path IS NOT NULL) AS n_references, count(DISTINCT (r.path, r.line_no)) FILTER (r.kind = 'config') AS n_config, count(DISTINCT r.path) FILTER (r.kind = 'import') AS total_files,
+  coalesce(string_agg(DISTINCT p.component, ',' ORDER BY p.component) FILTER (r.kind = 'import'), '') AS components, coalesce(min(r.path) FILTER (r.kind = 'import'), '') AS first_file FROM wanted w LEFT JOIN refs r ON r.repository_id = w.repository_id AND r.ecosystem = w.ecosystem AND r.package_name = w.package_name LEFT JOIN pairs p ON p.repository_id = r.repository_id AND p.path = r.path GROUP BY 1, 2, 3),
+ evs AS (SELECT ev.*, coalesce(s.scanned_files, 0) AS scanned_files, coalesce(s.skipped, 0) AS skipped_files_total, s.repository_id IS NOT NULL AS analysed, s.repository_id IS NULL OR s.skipped > 0 AS truncated FROM ev LEFT JOIN scan s ON s.repository_id = ev.repository_id)"""
+_EV = ctes(*EVIDENCE_TABLES) + f", {_WANTED}, {EVIDENCE}"
 
 
-@query("usage_evidence", _EV + " SELECT *, false AS truncated FROM ev")
+@query("usage_evidence", _EV + " SELECT * FROM evs")
 def _usage_evidence(spark, d):
-    return _evidence(spark, d).select(
-        "repository_id", "package_name", "n_references", "total_files", F.array_join("components", ",").alias("components"),
-        F.coalesce(F.get("files", F.lit(0)), F.lit("")).alias("first_file"), "truncated",
+    return evidence_of(spark, d, _packages(spark, d)).select(
+        "repository_id", "ecosystem", "package_name", "n_references", "n_config", "total_files", F.array_join("components", ",").alias("components"),
+        F.coalesce(F.get("files", F.lit(0)), F.lit("")).alias("first_file"), "scanned_files", "skipped_files_total", "analysed", "truncated",
     )
 
 
@@ -206,34 +220,43 @@ def _file_cap(spark, d):
     return kept.join(over, "repository_id").select("repository_id", "path", "is_capped")
 
 
-_VERDICT = """CASE WHEN total_files > 0 THEN 'used' WHEN scope = 'transitive' THEN 'beyond-depth' WHEN scope <> 'direct' THEN 'unknown-scope' ELSE 'no-direct-import' END"""
+VERDICT = """CASE WHEN total_files > 0 THEN 'used' WHEN NOT analysed THEN 'not-analysed' WHEN scope = 'transitive' THEN 'beyond-depth' WHEN truncated THEN 'scan-incomplete' WHEN scope <> 'direct' THEN 'unknown-scope' ELSE 'no-direct-import' END"""
 
 
 @query(
     "usage_verdict",
     _EV
-    + f""", s AS (SELECT DISTINCT a.repository_id, d.package_name, d.scope FROM fx_dependencies d JOIN fx_analyses a ON a.analysis_id = d.analysis_id)
- SELECT CASE WHEN ev.package_name IS NULL THEN 'not-analysed' ELSE {_VERDICT} END AS kind, count(*) AS n FROM s LEFT JOIN ev ON ev.repository_id = s.repository_id AND ev.package_name = s.package_name GROUP BY 1""",
+    + f""", s AS (SELECT DISTINCT a.repository_id, d.ecosystem, d.package_name, d.scope FROM fx_dependencies d JOIN fx_analyses a ON a.analysis_id = d.analysis_id)
+ SELECT s.ecosystem, {VERDICT} AS kind, count(*) AS n FROM s JOIN evs ON evs.repository_id = s.repository_id AND evs.ecosystem = s.ecosystem AND evs.package_name = s.package_name GROUP BY 1, 2""",
 )
 def _verdict(spark, d):
     deps = fixture(spark, d, "fx_dependencies")
     analyses = fixture(spark, d, "fx_analyses").select("analysis_id", "repository_id")
-    rows = deps.join(analyses, "analysis_id").select("repository_id", "package_name", "scope").distinct()
-    rows = rows.join(_evidence(spark, d), ["repository_id", "package_name"], "left")
+    rows = deps.join(analyses, "analysis_id").select("repository_id", "ecosystem", "package_name", "scope").distinct()
+    rows = rows.join(evidence_of(spark, d, _packages(spark, d)), ["repository_id", "ecosystem", "package_name"], "left")
     verdict = U.usage_verdict(
-        F.col("total_files"), F.col("truncated"), F.col("skipped_files_total"), F.col("scope"), F.col("total_files").isNotNull()
+        F.col("total_files"), F.col("truncated"), F.col("skipped_files_total"), F.col("scope"), F.col("analysed")
     )
-    return rows.groupBy(verdict["kind"].alias("kind")).agg(F.count("*").alias("n"))
+    return rows.groupBy("ecosystem", verdict["kind"].alias("kind")).agg(F.count("*").alias("n"))
+
+
+#: wanted: the packages of the findings under their normalised names
+WANTED_BY_FINDINGS = "wanted AS (SELECT DISTINCT a.repository_id, f.ecosystem, f.norm_name AS package_name FROM findings f JOIN fx_analyses a ON a.analysis_id = f.analysis_id)"
 
 
 @query(
     "attach_usage",
-    _EV
-    + " SELECT repository_id, count(*) AS dependencies_scanned, count(*) FILTER (total_files > 0) AS with_source_references FROM ev GROUP BY 1",
+    ctes(*EVIDENCE_TABLES, "fx_advisories")
+    + f""", {HITS}, {FINDINGS}, {WANTED_BY_FINDINGS}, {EVIDENCE}, counted AS (SELECT repository_id, count(*) FILTER (analysed) AS dependencies_scanned, count(*) FILTER (total_files > 0) AS with_source_references FROM evs GROUP BY 1),
+ used AS (SELECT a.repository_id, count(*) AS findings, count(*) FILTER (e.total_files > 0) AS findings_in_use FROM findings f JOIN fx_analyses a ON a.analysis_id = f.analysis_id JOIN evs e ON e.repository_id = a.repository_id AND e.ecosystem = f.ecosystem AND e.package_name = f.norm_name GROUP BY 1)
+ SELECT counted.*, findings, findings_in_use FROM counted JOIN used ON used.repository_id = counted.repository_id""",
 )
 def _attach(spark, d):
     findings = fleet.findings(spark, d).select("analysis_id", "ecosystem", "norm_name", "identifier")
     analyses = fixture(spark, d, "fx_analyses").select("analysis_id", "repository_id")
-    evidence = _evidence(spark, d).withColumn("norm_name", V.normalize_package_name(F.col("package_name"), F.col("ecosystem")))
-    _, counts = U.attach_usage(findings.join(analyses, "analysis_id"), evidence, ["repository_id", "ecosystem", "norm_name"])
-    return counts
+    rows = cut_lineage(findings.join(analyses, "analysis_id"))
+    wanted = rows.select("repository_id", "ecosystem", F.col("norm_name").alias("package_name")).distinct()
+    evidence = cut_lineage(evidence_of(spark, d, wanted).withColumnRenamed("package_name", "norm_name"))
+    attached, counts = U.attach_usage(rows, evidence, ["repository_id", "ecosystem", "norm_name"])
+    used = attached.groupBy("repository_id").agg(F.count("*").alias("findings"), F.count_if(F.col("total_files") > 0).alias("findings_in_use"))
+    return counts.join(used, "repository_id")

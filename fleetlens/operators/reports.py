@@ -167,11 +167,11 @@ def finding_context(findings: DataFrame, repositories: DataFrame, advisories: Da
         "identifier",
         F.struct("identifier", "severity", "cvss_score", "description").alias("vulnerability"),
     )
-    usage = evidence.select("repository_id", *PACKAGE, F.struct("import_names", "files", "components", "total_files", "truncated", "skipped_files_total").alias("usage"))
+    usage = evidence.select("repository_id", *PACKAGE, F.struct("import_names", "files", "components", "total_files", "n_config", "truncated", "skipped_files_total", "analysed").alias("usage"))
     rows = findings.join(repo, "repository_id", "left").join(vuln, "identifier", "left")
     rows = rows.join(usage, ["repository_id", *PACKAGE], "left")
     verdict = usage_verdict(
-        F.col("usage.total_files"), F.col("usage.truncated"), F.col("usage.skipped_files_total"), F.col("scope"), F.col("usage").isNotNull()
+        F.col("usage.total_files"), F.col("usage.truncated"), F.col("usage.skipped_files_total"), F.col("scope"), F.col("usage.analysed")
     )
     dependency = F.struct("package_name", "ecosystem", "version", "scope", "source_file")
     keys = [c for c in ("finding_id", "analysis_id", "repository_id") if c in findings.columns]

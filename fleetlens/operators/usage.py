@@ -248,10 +248,25 @@ def match_package_json_lines(lines: DataFrame, packages: DataFrame) -> DataFrame
     return (
         declared.join(wanted, ["repository_id", "package_name"])
         .select(*LINE, "ecosystem", "package_name", "snippet")
+        .distinct()
         .withColumns({"import_name": F.lit(None).cast("string"), "kind": F.lit("config")})
     )
 
 
+def match_usage(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """References of both ecosystems, imports and manifest lines, as rows.
+
+    ``wanted`` is (repository_id, ecosystem, package_name). Every matcher takes its own kind of file, so each line is
+    looked at by one of them.
+    """
+    packages = wanted.select("repository_id", "ecosystem", "package_name").distinct()
+    names = name_variants(import_name_candidates(packages))
+    found = match_python_imports(lines, names).unionByName(match_js_imports(lines, names))
+    for matcher in (match_requirement_lines, match_toml_manifest, match_setup_manifests, match_package_json_lines):
+        found = found.unionByName(matcher(lines, packages))
+    return found
+
+
 # ---------------------------------------------------------------- components and evidence
 
 
@@ -291,6 +306,25 @@ def skipped_files(files: DataFrame, limit: int | None = None) -> DataFrame:
     return total.join(listed, "repository_id")
 
 
+def scan_summary(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """What the scan of each listed repository read: scanned_files, is_capped, skipped_files, skipped_files_total.
+
+    ``files`` is the listing (repository_id, path, is_too_large). Only sources and manifests outside ignored directories
+    count; a listed repository without any of them was scanned all the same. ``limit`` bounds the list of skipped files.
+    """
+    eligible = eligible_files(files)
+    seen = eligible.filter(~F.col("is_too_large")).groupBy("repository_id").agg(F.countDistinct("path").alias("scanned_files"))
+    rows = files.select("repository_id").distinct().join(seen, "repository_id", "left")
+    rows = rows.join(skipped_files(eligible, limit), "repository_id", "left")
+    return rows.select(
+        "repository_id",
+        F.coalesce("scanned_files", F.lit(0)).alias("scanned_files"),
+        F.lit(False).alias("is_capped"),
+        F.coalesce("skipped_files", F.array().cast("array<string>")).alias("skipped_files"),
+        F.coalesce("skipped_files_total", F.lit(0)).alias("skipped_files_total"),
+    )
+
+
 def file_cap(files: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(the first n files of each repository in path order, repositories that have more)."""
     kept = top_per_key(files, ["repository_id"], [F.col("path")], n, "position").drop("position")
@@ -308,51 +342,50 @@ def usage_evidence(
 ) -> DataFrame:
     """One evidence row per wanted (repository_id, ecosystem, package_name).
 
-    ``references`` are the rows of the matchers, ``pairs`` those of ``map_components``, ``scans`` optional
-    per-repository (scanned_files, is_capped, skipped_files, skipped_files_total). Imports come before config
-    lines. Lists are whole unless the caller gives ``max_references`` or ``max_files``; then the first ones stay, ranked
-    inside the partitions, and ``truncated`` says so. Totals are always exact.
+    ``references`` are the rows of ``match_usage``, ``pairs`` those of ``map_components``, ``scans`` those of
+    ``scan_summary``. A repository that ``scans`` lacks, or all if there are none, is not ``analysed``: the absence of a
+    reference then says nothing. References stay rows of their own; the first ``max_references`` of a package, imports
+    before config lines, come as a list only if asked for. ``files`` is whole, or the first ``max_files``. Totals are exact.
     """
     keys = ["repository_id", "ecosystem", "package_name"]
     order = [F.when(F.col("kind") == "import", 0).otherwise(1), F.col("path"), F.col("line_no")]
-    counts = references.groupBy(*keys).agg(
-        F.count("*").alias("n_references"), F.array_sort(F.collect_set("import_name")).alias("observed")
-    )
-    if max_references is None:
-        ranked = references.withColumn("rank", F.struct(*order))
-    else:
-        ranked = top_per_key(references, keys, order, max_references, "rank")
-    capped = ranked.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", F.struct(F.col("path").alias("file"), F.col("line_no").alias("line"), "snippet", "kind").alias("r")))),
-            lambda s: s["r"],
-        ).alias("references")
-    )
+    imports = F.when(F.col("kind") == "import", F.col("path"))
+    whole = [F.array_sort(F.collect_set(imports)).alias("files")] if max_files is None else []
+    parts = [
+        references.groupBy(*keys).agg(
+            F.count("*").alias("n_references"),
+            F.count_if(F.col("kind") == "config").alias("n_config"),
+            F.array_sort(F.collect_set("import_name")).alias("observed"),
+            F.countDistinct(imports).alias("total_files"),
+            *whole,
+        )
+    ]
     importing = references.filter("kind = 'import'").select(*keys, "path").distinct()
-    n_files = importing.groupBy(*keys).agg(F.count("*").alias("total_files"))
-    reported = importing if max_files is None else top_per_key(importing, keys, [F.col("path")], max_files)
-    files = reported.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("path")).alias("files")
-    )
-    parts = (
-        importing.join(pairs, ["repository_id", "path"])
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("component")).alias("components"))
-    )
-    searched = import_name_candidates(wanted.select(*keys).distinct()).groupBy(*keys).agg(
+    if max_files is not None:
+        first = top_per_key(importing, keys, [F.col("path")], max_files)
+        parts.append(first.groupBy(*keys).agg(F.array_sort(F.collect_list("path")).alias("files")))
+    if max_references is not None:
+        entry = F.struct(F.col("path").alias("file"), F.col("line_no").alias("line"), "snippet", "kind")
+        ranked = top_per_key(references, keys, order, max_references, "rank").select(*keys, F.struct("rank", entry.alias("r")).alias("s"))
+        parts.append(ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["r"]).alias("references")))
+    placed = importing.join(pairs, ["repository_id", "path"])
+    parts.append(placed.groupBy(*keys).agg(F.array_sort(F.collect_set("component")).alias("components")))
+    rows = import_name_candidates(wanted.select(*keys).distinct()).groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "import_name"))), lambda s: s["import_name"]).alias("searched")
     )
-    rows = searched
-    for part in (counts, capped, n_files, files, parts):
+    for part in parts:
         rows = rows.join(part, keys, "left")
+    none = F.array().cast("array<string>")
     if scans is not None:
-        rows = rows.join(scans, "repository_id", "left")
+        rows = rows.join(scans.withColumn("analysed", F.lit(True)), "repository_id", "left")
     else:
-        rows = rows.withColumns({"is_capped": F.lit(False), "scanned_files": F.lit(0), "skipped_files": F.array().cast("array<string>"), "skipped_files_total": F.lit(0)})
-    none = F.array().cast("array<string>")
+        rows = rows.withColumns(
+            {"analysed": F.lit(False), "is_capped": F.lit(False), "scanned_files": F.lit(0), "skipped_files": none, "skipped_files_total": F.lit(0)}
+        )
+    analysed = F.coalesce("analysed", F.lit(False))
     total, found = F.coalesce("total_files", F.lit(0)), F.coalesce("n_references", F.lit(0))
-    skipped = F.coalesce(F.col("skipped_files_total"), F.lit(0))
-    cut = F.lit(False)
+    skipped = F.coalesce("skipped_files_total", F.lit(0))
+    cut = ~analysed | F.coalesce("is_capped", F.lit(False)) | (skipped > 0)
     if max_references is not None:
         cut = cut | (found > max_references)
     if max_files is not None:
@@ -360,15 +393,17 @@ def usage_evidence(
     return rows.select(
         *keys,
         F.when(F.size("observed") > 0, F.col("observed")).otherwise(F.col("searched")).alias("import_names"),
-        "references",
+        *(["references"] if max_references is not None else []),
         F.coalesce("files", none).alias("files"),
         F.coalesce("components", none).alias("components"),
         total.alias("total_files"),
         found.alias("n_references"),
+        F.coalesce("n_config", F.lit(0)).alias("n_config"),
         F.coalesce("scanned_files", F.lit(0)).alias("scanned_files"),
         F.coalesce("skipped_files", none).alias("skipped_files"),
         skipped.alias("skipped_files_total"),
-        (F.coalesce("is_capped", F.lit(False)) | cut | (skipped > 0)).alias("truncated"),
+        analysed.alias("analysed"),
+        cut.alias("truncated"),
     )
 
 
@@ -384,8 +419,8 @@ def usage_verdict(total_files: Column, truncated: Column, skipped: Column, scope
         return F.struct(F.lit(kind).alias("kind"), F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message]).alias("message"))
 
     return (
-        F.when(~analysed, verdict("not-analysed", "The sources of this repository have not been searched."))
-        .when(total_files > 0, verdict("used", "Imported by ", total_files.cast("string"), " source file(s)", partial, "."))
+        F.when(total_files > 0, verdict("used", "Imported by ", total_files.cast("string"), " source file(s)", partial, "."))
+        .when(~F.coalesce(analysed, F.lit(False)), verdict("not-analysed", "The sources of this repository have not been searched."))
         .when(bare == "transitive", verdict("beyond-depth", "A package in between pulls this dependency in; whether that package calls it was not examined."))
         .when(truncated, verdict("scan-incomplete", "No import seen so far, yet ", detail, "; it may still be in use."))
         .when(bare != "direct", verdict("unknown-scope", "No import seen; its manifest does not say who asked for the package, so another package may use it."))
@@ -394,9 +429,9 @@ def usage_verdict(total_files: Column, truncated: Column, skipped: Column, scope
 
 
 def attach_usage(findings: DataFrame, evidence: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Findings with the evidence of their package, and per repository how many packages were scanned and used."""
+    """Findings with the evidence of their package, and per repository how many packages were analysed and used."""
     rows = findings.join(evidence, keys, "left")
     counts = evidence.groupBy("repository_id").agg(
-        F.count("*").alias("dependencies_scanned"), F.count_if(F.col("total_files") > 0).alias("with_source_references")
+        F.count_if("analysed").alias("dependencies_scanned"), F.count_if(F.col("total_files") > 0).alias("with_source_references")
     )
     return rows, counts

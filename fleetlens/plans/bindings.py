@@ -133,6 +133,19 @@ SELECT a.analysis_id, a.ecosystem, a.norm_name AS parent_name, a.version AS pare
 SELECT o_custkey AS repository_id, 'web/f' || CAST(l_orderkey AS STRING) || '.ts' AS path, l_linenumber AS line_no,
  CASE l_linenumber % 6 WHEN 0 THEN 'const a = require("' || {_PKG} || '/lib/x")' WHEN 1 THEN 'import y from ' || chr(39) || '@acme/' || {_PKG} || chr(39) WHEN 2 THEN '// import z from "' || {_PKG} || '"' WHEN 3 THEN 'await import(`' || {_PKG} || '`)' WHEN 4 THEN 'import "' || {_PKG} || '-es"' ELSE 'export * from "./' || {_PKG} || '"' END AS text, {_PKG} AS pkg
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
+    # the searched files of both ecosystems, one line per line item; every ninth repository was never searched
+    "fx_source_lines": f"""
+SELECT o_custkey AS repository_id, {_ECO} AS ecosystem, {_PKG} AS pkg, l_linenumber AS line_no,
+ CASE WHEN l_linenumber = 6 THEN 'svc' || CAST(l_orderkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN '/requirements.txt' ELSE '/package.json' END
+  ELSE CASE l_orderkey % 3 WHEN 0 THEN 'src/app/f' WHEN 1 THEN 'src/f' ELSE 'f' END || CAST(l_orderkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.ts' END END AS path,
+ CASE WHEN l_linenumber = 6 AND p_partkey % 2 = 0 THEN {_PKG} || '==1.0' WHEN l_linenumber = 6 THEN '  "' || {_PKG} || '": "^1.0",'
+  WHEN p_partkey % 2 = 0 THEN CASE l_linenumber % 4 WHEN 0 THEN 'import ' || replace({_PKG}, '-', '_') || '.core as z' WHEN 1 THEN 'from ' || replace({_PKG}, '-', '_') || ' import x' WHEN 2 THEN '# import ' || replace({_PKG}, '-', '_') ELSE 'x = 1' END
+  ELSE CASE l_linenumber % 4 WHEN 0 THEN 'const a = require("' || {_PKG} || '/lib/x")' WHEN 1 THEN 'import y from "' || {_PKG} || '"' WHEN 2 THEN '// import z from "' || {_PKG} || '"' ELSE 'import "' || {_PKG} || '-es"' END END AS text
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 9 <> 4""",
+    # their listing, with sources nobody could read, ignored directories and other files
+    "fx_scan_files": """
+SELECT DISTINCT repository_id, path, false AS is_too_large FROM fx_source_lines UNION ALL
+SELECT o_custkey, CASE o_orderkey % 50 WHEN 0 THEN 'src/big' || CAST(o_orderkey AS STRING) || '.py' WHEN 1 THEN 'node_modules/x/big' || CAST(o_orderkey AS STRING) || '.js' ELSE 'n' || CAST(o_orderkey AS STRING) || '.md' END, o_orderkey % 50 < 2 FROM orders WHERE o_custkey % 9 <> 4""",
     "fx_token_manifests": f"""
 SELECT l_orderkey AS repository_id, {_PKG} AS pkg, CASE l_linenumber % 3 WHEN 0 THEN 'toml' WHEN 1 THEN 'py' ELSE 'cfg' END AS kind,
  CAST(l_linenumber AS STRING) || '/' || CAST(p_partkey AS STRING) || '/' || CASE l_linenumber % 3 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'setup.py' ELSE 'setup.cfg' END AS path,
@@ -144,7 +157,7 @@ SELECT l_orderkey AS repository_id, {_PKG} AS pkg, CASE l_linenumber % 3 WHEN 0
 
 #: bindings whose consumers parse text: worth spreading when the source is a single small file
 TEXT_BOUND = {
-    "fx_requirement_files", "fx_token_manifests", "fx_package_json", "fx_texts", "fx_manifest_texts", "fx_lines", "fx_js_lines",
+    "fx_requirement_files", "fx_token_manifests", "fx_package_json", "fx_texts", "fx_manifest_texts", "fx_lines", "fx_js_lines", "fx_source_lines",
 }
 
 _NEEDS = {name: [t for t in (*TABLES, *VIEWS) if t != name and re.search(rf"\b{t}\b", sql)] for name, sql in VIEWS.items()}

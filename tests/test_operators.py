@@ -218,3 +218,34 @@ def test_a_deep_v1_lock_and_long_names(spark):
     long = [(1, "PyPI", "n" * 300 + t, "1", "f") for t in "ab"]
     deps = spark.createDataFrame(long, "analysis_id int, ecosystem string, package_name string, version string, source_file string")
     assert D.dependency_identity_dedupe(deps, [F.col("package_name")]).count() == 2
+
+
+def test_usage_of_both_ecosystems_and_what_absence_means(spark):
+    from fleetlens.operators import usage as U
+
+    wanted = spark.createDataFrame(
+        [(1, "npm", "left"), (1, "npm", "right"), (1, "PyPI", "Web_Kit"), (2, "npm", "left"), (3, "PyPI", "gone")],
+        "repository_id int, ecosystem string, package_name string",
+    )
+    rows = [
+        (1, "web/a.ts", 1, "import x from 'left/sub'"), (1, "web/a.ts", 2, "import y from 'left-es'"), (1, "web/b.js", 1, "// require('right')"),
+        (1, "package.json", 3, '  "right": "^1.0",'), (1, "requirements.txt", 1, "web-kit==1"), (1, "app/m.py", 1, "from web_kit.core import z"),
+    ]
+    lines = spark.createDataFrame(rows, "repository_id int, path string, line_no int, text string")
+    listing = [(r, p, False) for r, p in {(r[0], r[1]) for r in rows}] + [(3, "big.py", True), (3, "node_modules/x.js", True)]
+    files = spark.createDataFrame(listing, "repository_id int, path string, is_too_large boolean")
+    refs = U.match_usage(lines, wanted)
+    pairs = U.map_components(lines, spark.createDataFrame([], "repository_id int, path string"))
+    found = U.usage_evidence(wanted, refs, pairs, U.scan_summary(files), max_references=1)
+    verdict = U.usage_verdict(F.col("total_files"), F.col("truncated"), F.col("skipped_files_total"), F.lit("direct"), F.col("analysed"))
+    got = {(r.repository_id, r.package_name): r for r in found.withColumn("kind", verdict["kind"]).collect()}
+    assert {k: r.kind for k, r in got.items()} == {
+        (1, "left"): "used", (1, "right"): "no-direct-import", (1, "Web_Kit"): "used", (2, "left"): "not-analysed", (3, "gone"): "scan-incomplete",
+    }
+    assert (got[1, "left"].files, got[1, "left"].components) == (["web/a.ts"], ["web"])
+    assert (got[1, "right"].n_config, got[1, "right"].total_files, got[1, "right"].references[0].file) == (1, 0, "package.json")
+    kit = got[1, "Web_Kit"]
+    assert (kit.n_references, kit.n_config, kit.truncated, [r.kind for r in kit.references]) == (2, 1, True, ["import"])
+    assert (got[3, "gone"].skipped_files, got[3, "gone"].scanned_files) == (["big.py"], 0)
+    nothing = U.usage_evidence(wanted, refs.limit(0), pairs).select("analysed").distinct().collect()
+    assert [r.analysed for r in nothing] == [False]

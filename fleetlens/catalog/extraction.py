@@ -340,3 +340,26 @@ def _extraction_summary(spark, d):
 )
 def _unsupported(spark, d):
     return D.unsupported_repositories(fixture(spark, d, "fx_repositories").select("repository_id"), fixture(spark, d, "fx_paths"))
+
+
+@query(
+    "extract_npm",
+    ctes("fx_npm_files")
+    + """, g AS (SELECT d.*, directory IN ('', 'packages/a') OR (directory = 'packages/b' AND EXISTS (SELECT 1 FROM fx_npm_dirs r WHERE r.repository_id = d.repository_id AND r.directory = '')) AS governed FROM fx_npm_dirs d),
+ t AS (SELECT repository_id, part, bool_or(governed) AS claimed FROM g GROUP BY 1, 2), r AS (SELECT repository_id, bool_or(governed) AS governed FROM g GROUP BY 1),
+ w AS (SELECT repository_id FROM g UNION ALL SELECT repository_id FROM r WHERE repository_id % 5 = 0)
+ SELECT repository_id, 'dependency' AS kind, path AS source_file, 'p' || part AS package_name, CASE WHEN governed THEN '1.2.' || part END AS version, 'direct' AS scope, false AS dev FROM g
+ UNION ALL SELECT repository_id, 'dependency', path, 'fix', '2.0.0', 'direct', false FROM g UNION ALL SELECT repository_id, 'dependency', path, 'd' || part, NULL, 'direct', true FROM g
+ UNION ALL SELECT repository_id, 'dependency', 'package-lock.json', 'p' || part, '1.2.' || part, 'transitive', false FROM t WHERE NOT claimed UNION ALL SELECT repository_id, 'dependency', 'package-lock.json', 'fix', '2.0.0', 'transitive', false FROM r WHERE NOT governed
+ UNION ALL SELECT repository_id, 'dependency', 'package-lock.json', 'tiny', '0.1.0', 'transitive', true FROM r UNION ALL SELECT repository_id, 'relation', 'package-lock.json', 'p' || part, 'tiny', NULL, NULL FROM t
+ UNION ALL SELECT repository_id, 'warnings', NULL, NULL, CAST(count(*) AS VARCHAR), NULL, NULL FROM w GROUP BY 1""",
+)
+def _extract_npm(spark, d):
+    deps, relations, warnings = N.extract_npm(fixture(spark, d, "fx_npm_files"))
+    null = F.lit(None).cast("string")
+    rows = deps.select("repository_id", F.lit("dependency").alias("kind"), "source_file", "package_name", "version", "scope", "dev")
+    edges = relations.select(
+        "repository_id", F.lit("relation"), "lock_path", "parent_name", "child_name", null, F.lit(None).cast("boolean")
+    )
+    counts = warnings.groupBy("repository_id").agg(F.count("*").cast("string").alias("n"))
+    return rows.union(edges).union(counts.select("repository_id", F.lit("warnings"), null, null, "n", null, F.lit(None).cast("boolean")))

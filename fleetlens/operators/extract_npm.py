@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from fleetlens.functions import text as X
 from fleetlens.functions import versions as V
 from fleetlens.functions.versions import bind
+from fleetlens.operators.dependencies import extraction_warnings, json_warnings, unread_warnings
 from fleetlens.session import cut_lineage
 from fleetlens.skew import first_per_key
 
@@ -403,3 +404,64 @@ def lock_only_workspaces(entries: DataFrame, manifests: DataFrame) -> DataFrame:
     return rows.join(known, ["repository_id", "directory"], "left_anti").select(
         "repository_id", F.col("lock_path").alias("path"), "directory", "lock_path", *SECTIONS
     )
+
+
+# ---------------------------------------------------------------- whole extraction
+
+
+def workspace_members(files: DataFrame, locks: DataFrame, entries: DataFrame) -> DataFrame:
+    """(repository_id, lock_path, directory) of the workspaces of each lock: its own entries, and globs of its manifest."""
+    keys = ["repository_id", "lock_path"]
+
+    def full(part: Column) -> Column:
+        return F.when(F.col("lock_dir") == "", part).otherwise(F.concat("lock_dir", F.lit("/"), part))
+
+    placed = locks.withColumnRenamed("directory", "lock_dir")
+    listed = entries.filter((F.col("lock_key") != "") & ~F.col("lock_key").contains("node_modules/"))
+    own = listed.join(placed, keys).select(*keys, full(F.col("lock_key")).alias("directory"))
+    manifests = files.filter(X.base_name(F.col("path")) == MANIFEST).withColumn("directory", directory_of(F.col("path")))
+    globs = F.expr("coalesce(try_variant_get(v, '$.workspaces', 'array<string>'), try_variant_get(v, '$.workspaces.packages', 'array<string>'))")
+    rules = manifests.select("repository_id", F.col("directory").alias("lock_dir"), F.try_parse_json("content").alias("v"))
+    rules = rules.select("repository_id", "lock_dir", F.explode(globs).alias("pattern")).join(placed, ["repository_id", "lock_dir"])
+    below = manifests.select("repository_id", "directory", F.explode(X.ancestors(F.col("directory"))).alias("lock_dir")).distinct()
+    below = below.filter("directory <> lock_dir").join(placed, ["repository_id", "lock_dir"])
+    cut = F.when(F.col("lock_dir") == "", F.col("directory")).otherwise(F.substring("directory", F.length("lock_dir") + 2, F.length("directory")))
+    matched = workspace_match(below.select(*keys, cut.alias("directory")), rules.select(*keys, "pattern"), keys)
+    return own.unionByName(matched.join(placed, keys).select(*keys, full(F.col("directory")).alias("directory"))).distinct()
+
+
+def extract_npm(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dependencies, relations and warnings of every manifest and lock of (repository_id, path, content).
+
+    Dependencies have the columns of ``extract_python``; relations are (repository_id, lock_path, parent_name,
+    parent_version, child_name, child_version); warnings (repository_id, message). A file that was not read, is no JSON
+    object or has a format that is not parsed gives a warning, never a silent gap.
+    """
+    named = [MANIFEST, *LOCK_FILES, *UNSUPPORTED_LOCKS]
+    files = files.filter(X.base_name(F.col("path")).isin(named)).select("repository_id", "path", "content")
+    manifests = parse_manifests(files)
+    entries = cut_lineage(explode_lock(files).unionByName(flatten_lock_v1(files)))
+    is_lock = X.base_name(F.col("path")).isin(LOCK_FILES) & F.try_parse_json("content").isNotNull()
+    locks = files.filter(is_lock).select("repository_id", F.col("path").alias("lock_path"), directory_of(F.col("path")).alias("directory")).distinct()
+    readable = manifests.filter("NOT is_malformed")
+    governed = governing_lock(readable.select("repository_id", "path", "directory").distinct(), locks, workspace_members(files, locks, entries))
+    governed = cut_lineage(governed)
+    direct = extract_manifest(readable).join(governed.select("repository_id", "path", "lock_path", "lock_dir"), ["repository_id", "path"], "left")
+    lock_only = extract_manifest(lock_only_workspaces(entries, manifests))
+    direct = direct.unionByName(lock_only.withColumns({"lock_path": F.col("path"), "lock_dir": directory_of(F.col("path"))}))
+    found = cut_lineage(direct_version(direct, entries))
+    columns = ["repository_id", "package_name", "source_file", "version", "version_spec", "scope", "dev"]
+    transitive = extract_transitive(entries, found.select("repository_id", "lock_path", "package_name", "version", "claimed_key"))
+    transitive = transitive.withColumnRenamed("lock_path", "source_file").withColumns({"version_spec": F.lit(None).cast("string"), "scope": F.lit("transitive")})
+    deps = found.withColumnRenamed("path", "source_file").withColumn("scope", F.lit("direct")).select(columns).unionByName(transitive.select(columns))
+    deps = deps.withColumns({"ecosystem": F.lit(V.NPM), "line_no": F.lit(None).cast("int")})
+    relations, unresolved = extract_relations(entries, entry_identities(entries, found))
+    gaps = F.concat("lock_path", F.lit(": "), F.col("unresolved").cast("string"), F.lit(" relation(s) lead to no installed package"))
+    warnings = extraction_warnings(
+        found.select("repository_id", F.col("warning").alias("message")),
+        governed.select("repository_id", F.col("warning").alias("message")),
+        unresolved.filter("unresolved > 0").select("repository_id", gaps.alias("message")),
+        json_warnings(files.filter("content IS NOT NULL")),
+        unread_warnings(files),
+    )
+    return deps, relations, warnings

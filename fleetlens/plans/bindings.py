@@ -121,6 +121,13 @@ SELECT l_orderkey AS repository_id, l_linenumber AS line_no, CASE l_linenumber %
  min(l_partkey) AS part, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'packages/a/' WHEN 2 THEN 'packages/b/' ELSE 'examples/x/' END || 'package.json' AS path,
  '{"name": "app", "dependencies": {"p' || CAST(min(l_partkey) AS STRING) || '": "^1.2.3", "shared": "1.0.0"}, "devDependencies": {"d' || CAST(min(l_partkey) AS STRING) || '": " ~2 ", "shared": "2.0.0"}, "peerDependencies": {"q": "*"}}' AS content
  FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    # manifests of nested workspaces and one lock per repository, as files
+    "fx_npm_dirs": """
+SELECT repository_id, directory, path, CAST(min(part) AS STRING) AS part FROM fx_package_json GROUP BY repository_id, directory, path""",
+    "fx_npm_files": """
+SELECT repository_id, path, '{"name": "app", ' || CASE WHEN directory = '' THEN '"workspaces": ["packages/*"], ' ELSE '' END || '"dependencies": {"p' || part || '": "^1.2.3", "fix": "2.0.0"}, "devDependencies": {"d' || part || '": "~2"}}' AS content FROM fx_npm_dirs UNION ALL
+SELECT repository_id, 'package-lock.json', '{"lockfileVersion": 3, "packages": {"": {"name": "app"}, "packages/a": {"version": "1.0.0"}, ' || string_agg(DISTINCT '"node_modules/p' || part || '": {"version": "1.2.' || part || '", "dependencies": {"tiny": "*"}}', ', ') || ', "node_modules/fix": {"version": "2.0.0"}, "node_modules/tiny": {"version": "0.1.0", "dev": true}}}' FROM fx_npm_dirs GROUP BY repository_id UNION ALL
+SELECT repository_id, 'tools/yarn.lock', '# v1' FROM fx_npm_dirs WHERE repository_id % 5 = 0 GROUP BY repository_id""",
     "fx_direct": """
 SELECT DISTINCT l_orderkey AS repository_id, 'p' || CAST(l_suppkey % 10 AS STRING) AS package_name, CASE l_partkey % 4 WHEN 0 THEN '^1.0.0' WHEN 1 THEN '2.' || CAST(l_linenumber AS STRING) || '.0' WHEN 2 THEN 'file:../x' ELSE 'latest' END AS version_spec FROM lineitem""",
     "fx_dep_ids": f"""

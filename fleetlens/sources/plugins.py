@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from fleetlens.operators import advisories as A
+from fleetlens.operators.extract_npm import extract_npm
 from fleetlens.operators.extract_python import DEPENDENCY_COLUMNS, extract_python
 
-EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"python": lambda files: extract_python(files)[0]}
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"python": lambda files: extract_python(files)[0], "npm": lambda files: extract_npm(files)[0]}
 FEEDS: dict[str, Callable[[], DataFrame]] = {}
 
 

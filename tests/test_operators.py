@@ -249,3 +249,20 @@ def test_usage_of_both_ecosystems_and_what_absence_means(spark):
     assert (got[3, "gone"].skipped_files, got[3, "gone"].scanned_files) == (["big.py"], 0)
     nothing = U.usage_evidence(wanted, refs.limit(0), pairs).select("analysed").distinct().collect()
     assert [r.analysed for r in nothing] == [False]
+
+
+def test_npm_files_that_cannot_be_read_are_warnings(spark):
+    from fleetlens.operators import extract_npm as N
+
+    lock = '{"dependencies": {"a": {"version": "1.0.1", "requires": {"b": "1"}}, "b": {"version": "3.0.0"}}}'
+    files = [
+        (1, "package.json", '{"dependencies": {"a": "^1.0.0"}}'), (1, "package-lock.json", lock), (1, "x/package.json", "{broken"),
+        (2, "package.json", None), (3, "package.json", "[1]"), (3, "pnpm-lock.yaml", "x: 1"), (3, "package-lock.json", "nope"),
+    ]
+    deps, relations, warnings = N.extract_npm(spark.createDataFrame(files, "repository_id int, path string, content string"))
+    got = sorted((r.repository_id, r.package_name, r.version, r.scope) for r in deps.collect())
+    assert got == [(1, "a", "1.0.1", "direct"), (1, "b", "3.0.0", "transitive")]
+    assert [(r.parent_name, r.child_name) for r in relations.collect()] == [("a", "b")]
+    assert sorted((r.repository_id, r.message.split(":")[0]) for r in warnings.collect()) == [
+        (1, "x/package.json"), (2, "package.json"), (3, "package-lock.json"), (3, "package.json"), (3, "pnpm-lock.yaml"),
+    ]

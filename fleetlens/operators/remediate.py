@@ -119,15 +119,19 @@ def next_fixed_version(candidates: DataFrame, hits: DataFrame, fixes: DataFrame)
     return _floor(rows, fixes, keys, "candidate_key")
 
 
-def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFrame) -> DataFrame:
+def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFrame, unanswered: DataFrame | None = None) -> DataFrame:
     """K6: (package, start, candidate, verified, remaining[]) of distinct start versions.
 
     Each round checks the still open candidates of all packages at once and moves the vulnerable ones to their next
-    fix. true = no advisory left, false = still affected without a further fix. A move strictly rises through the finite
+    fix. true = no advisory left, false = still affected without a further fix, null = no advisory known, but the lookup
+    of the candidate is among the ``unanswered`` (ecosystem, norm_name, version). A move strictly rises through the finite
     list of fixes and releases, so the rounds end by themselves when no row is open.
     """
     fixes = fix_rows(ranges)
     keys = [*PACKAGE, "candidate"]
+    missing = None
+    if unanswered is not None:
+        missing = unanswered.select(*PACKAGE, F.col("version").alias("candidate")).distinct().withColumn("_missing", F.lit(True))
     open_rows = starts.select(
         *PACKAGE, F.col("snapped").alias("start"), F.col("snapped").alias("candidate"), F.col("snapped_key").alias("candidate_key"),
         F.array().cast("array<string>").alias("remaining"),
@@ -142,9 +146,12 @@ def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFra
         floors = next_fixed_version(open_rows, hits, fixes)
         snapped = snap_to_release(floors, installable)
         step = floors.join(snapped, [*PACKAGE, "floor"]).select(*keys, "snapped", "snapped_key")
-        rows = cut_lineage(open_rows.join(left, keys, "left").join(step, keys, "left"))  # both branches read it
+        rows = open_rows.join(left, keys, "left").join(step, keys, "left")
+        rows = rows.withColumn("_missing", F.lit(None).cast("boolean")) if missing is None else rows.join(missing, keys, "left")
+        rows = cut_lineage(rows)  # both branches read it
+        verdict = F.when(F.col("found").isNotNull(), F.lit(False)).when(F.col("_missing").isNull(), F.lit(True))
         closed = rows.filter("found IS NULL OR snapped IS NULL").select(
-            *PACKAGE, "start", "candidate", "candidate_key", F.col("found").isNull().alias("verified"),
+            *PACKAGE, "start", "candidate", "candidate_key", verdict.alias("verified"),
             F.coalesce("found", F.array().cast("array<string>")).alias("remaining"),
         )
         done = closed if done is None else done.unionByName(closed)
@@ -155,11 +162,11 @@ def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFra
     return none if done is None else done
 
 
-def select_candidates(hits: DataFrame, ranges: DataFrame, installable: DataFrame) -> DataFrame:
+def select_candidates(hits: DataFrame, ranges: DataFrame, installable: DataFrame, unanswered: DataFrame | None = None) -> DataFrame:
     """K2-K9 for every vulnerable lookup: minimum, verified candidate, allowed versions and the preferred one."""
     floors = minimum_fixed_version(hits, fix_rows(ranges))
     floors = cut_lineage(floors.join(snap_to_release(floors, installable), [*PACKAGE, "floor"]))
-    verified = verify_candidates(floors, ranges, installable)
+    verified = verify_candidates(floors, ranges, installable, unanswered)
     rows = floors.select(*M.LOOKUP, "floor", F.col("snapped").alias("start"), "fixable").join(verified, [*PACKAGE, "start"])
     rows = rows.withColumnRenamed("start", "minimum_fixed_version")
     rows = rows.join(latest_in_same_major(rows, installable), M.LOOKUP, "left").join(latest_releases(installable), PACKAGE, "left")

@@ -266,3 +266,13 @@ def test_npm_files_that_cannot_be_read_are_warnings(spark):
     assert sorted((r.repository_id, r.message.split(":")[0]) for r in warnings.collect()) == [
         (1, "x/package.json"), (2, "package.json"), (3, "package-lock.json"), (3, "package.json"), (3, "pnpm-lock.yaml"),
     ]
+
+
+def test_an_unanswered_candidate_is_neither_safe_nor_affected(spark):
+    ranges = make_ranges(spark, [("A", "1.0.0", "2.0.0", None, "SEMVER"), ("B", "2.0.0", "3.0.0", None, "SEMVER")])
+    inst = K.installable_releases(spark.createDataFrame([("npm", "p", "4.0.0", True)], "ecosystem string, norm_name string, version string, installable boolean").filter("version <> '4.0.0'"))
+    df = spark.createDataFrame([("npm", "p", s) for s in ("1.0.0", "5.0.0")], "ecosystem string, norm_name string, snapped string")
+    df = df.withColumn("snapped_key", K.V.version_key(F.col("snapped"), F.col("ecosystem")))
+    down = spark.createDataFrame([("npm", "p", "2.0.0"), ("npm", "p", "3.0.0")], "ecosystem string, norm_name string, version string")
+    got = {r.start: (r.candidate, r.verified) for r in K.verify_candidates(df, ranges, inst, down).collect()}
+    assert got == {"1.0.0": ("3.0.0", None), "5.0.0": ("5.0.0", True)}

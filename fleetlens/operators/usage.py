@@ -170,7 +170,7 @@ def match_requirement_lines(lines: DataFrame, packages: DataFrame) -> DataFrame:
 def _carried(lines: DataFrame, comment: str) -> DataFrame:
     """Section and key state of manifest lines: what the last header and the last key before a line were.
 
-    The window covers one manifest file, and the scan only reads files up to one megabyte.
+    The window covers one manifest file.
     """
     stripped = strip(F.col("text"))
     rows = lines.filter((stripped != "") & ~stripped.rlike(comment))

@@ -15,7 +15,7 @@ CROSS_SECTION = [
     "fleet_risk", "normalize_package_name", "pep440_key", "sort_versions", "redact_secrets", "cvss_v3_base_score", "extract_requirements", "extract_manifest_direct",
     "resolve_lock_key", "dependency_identity_dedupe", "merge_group", "drop_unsafe_fixes", "classify_dependencies", "match_python_imports", "match_toml_manifest",
     "map_components", "components", "aggregate_overall_risk", "top_findings_per_analysis", "sync_graph", "choose_version", "rewrite_requirement_pins",
-    "final_recommendation", "repository_summary", "duplicate_repositories", "expire_jobs", "stream_heartbeat_watchdog", "register_functions",
+    "extract_npm", "usage_verdict", "final_recommendation", "repository_summary", "duplicate_repositories", "expire_jobs", "stream_heartbeat_watchdog", "register_functions",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")

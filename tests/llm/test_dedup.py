@@ -75,6 +75,48 @@ def test_links_connect_what_all_pairs_connect(spark, cell):
     assert sorted(map(sorted, group.values())) == sorted(map(sorted, want.values()))
 
 
+def plain_likeness(a, b):
+    x, y = ({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def planted_copies():
+    """Texts of 30 to 400 words, each with copies that have some words replaced: likeness 0.8 to 0.95, and lower."""
+    r, rows = np.random.default_rng(5), []
+    for k in range(40):
+        words = prose(700 + k, 30 + 370 * k // 39).split()
+        rows.append((100 * k, " ".join(words)))
+        for c, at in enumerate((0.04, 0.01, 0.02, 0.1)):
+            new = list(words)
+            for x in r.choice(len(words), max(1, int(at * len(words))), replace=False).tolist():
+                new[x] = f"new{k}x{c}x{x}"
+            rows.append((100 * k + 1 + c, " ".join(new)))
+    return rows
+
+
+@pytest.mark.parametrize("cell_bytes", [600, 1 << 22])
+def test_edited_copies_of_likeness_08_meet(spark, cell_bytes, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash.likeness_links, "__defaults__", (*simhash.likeness_links.__defaults__[:3], cell_bytes))
+    rows = planted_copies()
+    pairs = [(i, j) for i, a in rows for j, b in rows if i < j < i + 100 and i // 100 == j // 100 and plain_likeness(a, b) >= 0.8]
+    assert len(pairs) >= 40
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.like_classes(df).collect()} == {i: find(i) for i in root}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {i for i in root if find(i) == i}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (100, 100)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}

@@ -13,8 +13,12 @@ could match always meet in one bucket. Three rounds exchange packed arrays, neve
    and next smaller documents in suffix order, as far as the common prefix stays long enough, are the previous factors;
 3. the batches mark the windows answered, and cut the covered bytes.
 
-A context is sent at most once per batch however often it occurs, so a passage in a third of all documents, or thousands
-of copies, meet as one entry per batch.
+A context is sent at most once per batch however often it occurs, so copies, and contexts inside of a passage, meet as one
+entry per batch. Contexts that straddle the ends of a passage differ in every document although they share its anchor: an
+anchor with ``HOT`` contexts or more in a batch is sent as one mark without them, and if there is a mark, or more than
+``HOT_ALL`` contexts, all batches send the anchor's windows in round 2 instead of its contexts, each once per batch with its
+smallest doc_id, to the bucket of the *window's* hash. So a bucket gets at most ``HOT`` entries of an anchor, and one of a
+window, from a batch.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ LENGTH = 50
 GRAM = 28
 #: Text bytes of a batch, and the text bytes whose anchors one bucket gets.
 BATCH_BYTES = 4 << 20
+#: Contexts of one anchor in a batch, and in all, from which on its windows are dealt out one by one.
+HOT, HOT_ALL = 8, 4096
+_MARK = np.uint64(1 << 48)
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LAST = np.iinfo(np.int64).max
@@ -128,7 +135,17 @@ class _Batch:
         self.entry[order] = np.cumsum(new) - 1
         self.head = order[new]  # of every entry, a context in its smallest document
         self.bucket, self.anchor, self.text = bucket[self.head], anchor[self.head], text[self.head]
+        self.n, self.length = n_buckets, length
         self.cuts = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
+        # the first entry of a hot anchor is sent as a mark for all of them
+        first = np.ones(len(self.head), bool)
+        first[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        group = np.cumsum(first) - 1
+        hot = np.bincount(group)[group] >= HOT if len(group) else first
+        self.sent = np.flatnonzero(first | ~hot)
+        self.answered = np.cumsum(first | ~hot) - 1
+        self.sent_text = np.where(hot, _MARK, self.text)[self.sent]
+        self.sent_cuts = np.searchsorted(self.bucket[self.sent], np.arange(n_buckets + 1))
 
     def per_bucket(self, values: np.ndarray):
         for b in np.flatnonzero(np.diff(self.cuts)).tolist():
@@ -136,14 +153,37 @@ class _Batch:
 
     def spread(self, answers: dict[int, bytes], kind) -> np.ndarray:
         """The answers of the buckets, in the order of the entries; zero where there is none."""
-        out = np.zeros(len(self.head), kind)
+        out = np.zeros(len(self.sent), kind)
         for b, data in answers.items():
-            out[self.cuts[b] : self.cuts[b + 1]] = _unpack(data, kind)
-        return out
+            out[self.sent_cuts[b] : self.sent_cuts[b + 1]] = _unpack(data, kind)
+        return out[self.answered]
+
+    def hot_windows(self, code: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hash and smallest document of the distinct windows of code 3, dealt to buckets by hash; the buckets' cuts; and
+        the place in these, the entry and the bit of every such window."""
+        entry = np.flatnonzero(code == 3)
+        count = self.count[self.head[entry]]
+        bit = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        entry = np.repeat(entry, count)
+        start, doc = self.first[self.head[entry]] + bit, self.doc[self.head[entry]]
+        values, powers, _ = _tables(self.length)
+        hashes = np.empty(len(start), np.uint64)
+        for at in range(0, len(start), 1 << 15):
+            part = self.buf[start[at : at + (1 << 15), None] + np.arange(self.length)]
+            hashes[at : at + len(part)] = _mix((values[part] * powers[: self.length]).sum(axis=1, dtype=np.uint64))
+        bucket = (hashes % np.uint64(self.n)).astype(np.int64)
+        order = np.lexsort((doc, hashes, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        head = order[new]
+        return hashes[head], doc[head], np.searchsorted(bucket[head], np.arange(self.n + 1)), place, entry, bit
 
 
 def _answer_contexts(table: pa.Table) -> pa.Table:
-    """Per entry: 1 if an earlier document has the whole context; 2 if it is the first of its text and must be compared."""
+    """Per entry: 1 if an earlier document has the whole context; 2 if it is the first of its text and must be compared; 3 if
+    its anchor is hot and its windows are compared one by one."""
     parts = list(zip(*(table.column(c).to_pylist() for c in ("batch", "anchors", "texts", "docs"))))
     anchors = [np.cumsum(_unpack(p[1], np.uint64)) for p in parts]
     anchor, text, doc = np.concatenate(anchors), np.concatenate([_unpack(p[2], np.uint64) for p in parts]), np.concatenate([_unpack(p[3], np.int64) for p in parts])
@@ -153,9 +193,10 @@ def _answer_contexts(table: pa.Table) -> pa.Table:
     new_t = new_a | np.concatenate([[True], t[1:] != t[:-1]])
     least = d[new_t][np.cumsum(new_t) - 1]
     group = np.cumsum(new_a) - 1
-    several = np.bincount(group, new_t)[group] > 1
+    different = np.bincount(group, new_t)[group]
+    hot = (np.bincount(group, t == _MARK)[group] > 0) | (different > HOT_ALL)
     code = np.empty(len(order), np.uint8)
-    code[order] = np.where(d > least, 1, np.where(several, 2, 0))
+    code[order] = np.where(hot, 3, np.where(d > least, 1, np.where(different > 1, 2, 0)))
     cut = np.concatenate([[0], np.cumsum([len(x) for x in anchors])])
     b = table.column("bucket")[0].as_py()
     rows = [(p[0], b, _pack(code[s:e])) for p, s, e in zip(parts, cut, cut[1:]) if code[s:e].any()]
@@ -182,8 +223,31 @@ def previous_factors(suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _answer_texts(table: pa.Table, length: int) -> pa.Table:
-    """Per context sent: a bit for every window that an earlier document has."""
-    parts = list(zip(*(table.column(c).to_pylist() for c in ("batch", "lens", "raw", "docs"))))
+    """Per context sent: a bit for every window that an earlier document has; and the same per window of hot anchors."""
+    b = table.column("bucket")[0].as_py()
+    parts = list(zip(*(table.column(c).to_pylist() for c in ("batch", "lens", "raw", "docs", "windows", "window_docs"))))
+    rows = _context_masks([p for p in parts if p[1] is not None], length) + _window_bits([p for p in parts if p[4] is not None])
+    rows = [(batch, b, *x) for batch, *x in rows]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 4, kinds)], names=["batch", "bucket", "masks", "bits"])
+
+
+def _window_bits(parts: list[tuple]) -> list[tuple]:
+    if not parts:
+        return []
+    hashes = [_unpack(p[4], np.uint64) for p in parts]
+    every, doc = np.concatenate(hashes), np.concatenate([_unpack(p[5], np.int64) for p in parts])
+    order = np.lexsort((doc, every))
+    new = np.concatenate([[True], every[order][1:] != every[order][:-1]])
+    found = np.empty(len(order), np.uint8)
+    found[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in hashes])])
+    return [(p[0], None, _pack(found[s:e])) for p, s, e in zip(parts, cut, cut[1:])]
+
+
+def _context_masks(parts: list[tuple], length: int) -> list[tuple]:
+    if not parts:
+        return []
     lens = [_unpack(p[1], np.uint16).astype(np.int64) for p in parts]
     raw = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(p[2]) for p in parts), np.uint8)
     every, doc = np.concatenate(lens), np.concatenate([_unpack(p[3], np.int64) for p in parts])
@@ -195,9 +259,7 @@ def _answer_texts(table: pa.Table, length: int) -> pa.Table:
     found = previous_factors(_suffix_ranks(suffix), doc[owner])
     mask = np.bincount(owner, np.where(found, 2.0**nth, 0.0), len(every)).astype(np.uint64)
     cut = np.concatenate([[0], np.cumsum([len(x) for x in lens])])
-    b = table.column("bucket")[0].as_py()
-    rows = [(p[0], b, _pack(mask[s:e])) for p, s, e in zip(parts, cut, cut[1:])]
-    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["batch", "bucket", "masks"])
+    return [(p[0], _pack(mask[s:e]), None) for p, s, e in zip(parts, cut, cut[1:])]
 
 
 def _suffix_ranks(suffix: np.ndarray) -> np.ndarray:
@@ -234,10 +296,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     def send_contexts(table: pa.Table) -> pa.Table:
         b, rows = _Batch(table, n, length, gram), []
         own = table.column("_batch")[0].as_py()
-        docs_of = b.doc[b.head]
-        for bucket, a in b.per_bucket(b.anchor):
-            cut = slice(b.cuts[bucket], b.cuts[bucket + 1])
-            rows.append((own, bucket, _pack(np.diff(a, prepend=np.uint64(0))), _pack(b.text[cut]), _pack(docs_of[cut])))
+        anchors, docs_of = b.anchor[b.sent], b.doc[b.head[b.sent]]
+        for bucket in np.flatnonzero(np.diff(b.sent_cuts)).tolist():
+            cut = slice(b.sent_cuts[bucket], b.sent_cuts[bucket + 1])
+            rows.append((own, bucket, _pack(np.diff(anchors[cut], prepend=np.uint64(0))), _pack(b.sent_text[cut]), _pack(docs_of[cut])))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 5, kinds)], names=["batch", "bucket", "anchors", "texts", "docs"])
 
@@ -247,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         return {b: v for b, v in zip(table.column("bucket").to_pylist(), table.column(name).to_pylist()) if v is not None}
 
     def send_texts(table: pa.Table, replies: pa.Table) -> pa.Table:
-        rows, kinds = [], (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        rows, kinds = [], (pa.int64(), pa.int64(), *[pa.binary()] * 5)
         if table.num_rows and replies.num_rows:
             b = _Batch(table, n, length, gram)
             code = b.spread(answers(replies, "codes"), np.uint8)
@@ -256,12 +318,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 if len(head):
                     lens = b.count[head] + length - 1
                     raw = b"".join(b.buf[s : s + m].tobytes() for s, m in zip(b.first[head].tolist(), lens.tolist()))
-                    rows.append((table.column("_batch")[0].as_py(), bucket, _pack(lens.astype(np.uint16)), zstandard.ZstdCompressor(level=1).compress(raw), _pack(b.doc[head])))
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 5, kinds)], names=["batch", "bucket", "lens", "raw", "docs"])
+                    rows.append((table.column("_batch")[0].as_py(), bucket, _pack(lens.astype(np.uint16)), zstandard.ZstdCompressor(level=1).compress(raw), _pack(b.doc[head]), None, None))
+            hashes, least, cuts, *_ = b.hot_windows(code)
+            for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[bucket], cuts[bucket + 1])
+                rows.append((table.column("_batch")[0].as_py(), bucket, None, None, None, _pack(hashes[part]), _pack(least[part])))
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 7, kinds)], names=["batch", "bucket", "lens", "raw", "docs", "windows", "window_docs"])
 
-    sent = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(send_texts, "batch long, bucket long, lens binary, raw binary, docs binary")
-    masks = sent.groupBy("bucket").applyInArrow(lambda t: _answer_texts(t, length), "batch long, bucket long, masks binary")
-    replies = codes.select("batch", "bucket", "codes", F.lit(None).cast("binary").alias("masks")).unionByName(masks.select("batch", "bucket", F.lit(None).cast("binary").alias("codes"), "masks"))
+    sent = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(send_texts, "batch long, bucket long, lens binary, raw binary, docs binary, windows binary, window_docs binary")
+    masks = sent.groupBy("bucket").applyInArrow(lambda t: _answer_texts(t, length), "batch long, bucket long, masks binary, bits binary")
+    replies = codes.unionByName(masks, allowMissingColumns=True)
 
     def cut(table: pa.Table, said: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -273,6 +339,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         for bucket, c in b.per_bucket(code):
             if bucket in sent_mask:
                 mask[b.cuts[bucket] + np.flatnonzero(c == 2)] = _unpack(sent_mask[bucket], np.uint64)
+        hashes, least, cuts, place, entry, bit = b.hot_windows(code)
+        if len(hashes):
+            found = np.zeros(len(hashes), bool)
+            for bucket, data in answers(said, "bits").items():
+                found[cuts[bucket] : cuts[bucket + 1]] = _unpack(data, np.uint8) > 0
+            had = found[place] | (least[place] < b.doc[b.head[entry]])
+            np.bitwise_or.at(mask, entry[had], np.uint64(1) << bit[had].astype(np.uint64))
         whole = (code[b.entry] == 1) | (b.doc > b.doc[b.head][b.entry])
         edge = np.zeros(len(b.buf) + 1, np.int32)
         np.add.at(edge, b.first[whole], 1)

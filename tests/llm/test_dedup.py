@@ -161,6 +161,23 @@ def test_edited_copies_shared_passages_and_short_periods(spark):
     assert digest(suffix.remove_repeats(df, batch_bytes=3000)) == plain_removal(rows)
 
 
+@pytest.mark.parametrize("batch_bytes", [2500, 12000])
+def test_a_passage_in_all_documents_is_no_group_of_all(spark, batch_bytes):
+    import pyarrow as pa
+
+    passage = prose(501, 40)[:300]
+    rows = [(k, prose(k, 12) + passage + prose(k + 2000, 12)) for k in range(150)]
+    rows += [(300 + k, rows[k][1][:100] + "#" + passage + rows[k][1][-90:]) for k in range(20)] + [(None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(suffix.remove_repeats(df, batch_bytes=batch_bytes)) == plain_removal(rows)
+    batch = suffix._Batch(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}), 5, 50, 28)
+    most = np.unique(np.stack([batch.bucket, batch.anchor.astype(np.int64)]), axis=1, return_counts=True)[1].max()
+    sent = np.unique(np.stack([batch.bucket[batch.sent], batch.anchor[batch.sent].astype(np.int64)]), axis=1, return_counts=True)[1].max()
+    assert most >= 100 and sent < suffix.HOT
+    windows, _, cuts, *_ = batch.hot_windows(np.full(len(batch.head), 3, np.uint8))
+    assert len(np.unique(windows)) == len(windows) and np.diff(cuts).max() < 0.3 * len(windows)
+
+
 def test_empty_tables(no_docs):
     assert simhash.near_duplicate_classes(no_docs).count() == 0
     assert simhash.keep_one_per_class(no_docs).count() == 0

@@ -34,7 +34,8 @@ FURNITURE_WORDS = frozenset(
     " related recommended recommendations comment comments respond reply replies disqus discussion form pagination pager toolbar copyright legal disclaimer tags meta byline".split()
 )
 MAIN_TAGS = frozenset({"article", "main"})
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A quote opens a string only after "="; other quotes are plain, and a tag ends at the first ">" if its strings leave none.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>|[^>]*>)|[^<]+|<", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+|(?<=[a-z])[A-Z][a-z]*")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？、]")

@@ -155,3 +155,12 @@ def test_decontamination(spark, odd_docs, no_docs, seeds):
 def test_word_helpers():
     assert decontaminate.item_words(" It's, (a) Test! ") == ["it's", "a", "test"] and not re.search("[A-Z]", "".join(decontaminate.item_words("ABC")))
     assert math.isclose(decontaminate._score(np.array([1, 2, 3], np.uint64), np.array([9, 1, 2, 3], np.uint64), [1]), 1.0)
+
+
+def test_stray_quotes_end_no_page():
+    rest = "<p>two, it goes on.</p><p>three, and stops.</p>"
+    want = ["one, a first line.", "two, it goes on.", "three, and stops."]
+    for stray in ('<img alt=5" src=x>', "<a title=Bob's href=x></a>", '<b class="x"">  </b>', "<img alt='5>", "<img alt= \"5>"):
+        assert [b.text for b in pages.blocks_of(f"<p>one, a first line.</p>{stray}{rest}")] == want
+    assert [b.text for b in pages.blocks_of('<p>one, a first line.</p><img alt=5" src=x>' + rest + '<p>say "so"</p>')] == [*want, 'say "so"']
+    assert [b.text for b in pages.blocks_of('<p>one<a href="x>y" title="a > b">two</a></p><p ' + 'a="b" ' * 60)] == ["onetwo"]

@@ -49,6 +49,7 @@ class Block:
     path: str
     parts: list[str] = field(default_factory=list)
     furniture: bool = False
+    marks: tuple[int, ...] = ()
     main: str = ""
     linked: int = 0
 
@@ -57,9 +58,9 @@ class Block:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element is page furniture, and its name with its class for the tag path."""
-    words, name, gone = set(), tag, tag in FURNITURE_TAGS
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, str]:
+    """Whether an element looks like page furniture, whether it is hidden, and its name with its class for the tag path."""
+    words, name, gone, hidden = set(), tag, tag in FURNITURE_TAGS, False
     for key, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "")
         key = key.lower()
@@ -68,16 +69,37 @@ def _marks(tag: str, attrs: str) -> tuple[bool, str]:
             if key == "class":
                 name += "." + ".".join(sorted(value.lower().split()))
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
-            gone = True
+            hidden = True
     if tag not in MAIN_TAGS and tag not in ("html", "body") and words & FURNITURE_WORDS:
         gone = True
-    return gone, name
+    return gone, hidden, name
+
+
+def _judge(blocks: list[Block], holds_main: list[bool], main_outside: bool) -> None:
+    """Sets aside the blocks below a mark of furniture that holds.
+
+    All marks hold if an article or main element stands outside of them. Else a mark does not hold for an element with most
+    of the page's unlinked text, nor for one with an article or main element and at least as much text as outside of marks.
+    """
+    inside, total, outside = [0] * len(holds_main), 0, 0
+    for b in blocks:
+        if not b.furniture:
+            free = max(0, len(b.text) - b.linked)
+            total += free
+            outside += free if not b.marks else 0
+            for k in b.marks:
+                inside[k] += free
+    holds = [main_outside or not (2 * x > total or (main and x >= outside)) for x, main in zip(inside, holds_main)]
+    for b in blocks:
+        b.furniture |= any(holds[k] for k in b.marks)
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page with text, by one pass over its tokens; broken and cut markup is closed as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in the path, furniture, main
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, name in the path, hidden, main, marks of furniture
+    holds_main: list[bool] = []  # of every mark
+    main_outside = False
     now: Block | None = None
     at, n = 0, len(html)
     while at < n:
@@ -91,11 +113,11 @@ def blocks_of(html: str) -> list[Block]:
             if piece == "<" and re.match(r"/?[a-zA-Z!]", html[at : at + 2]):
                 break  # a tag that the end of the page cut off
             if now is None:
-                top = stack[-1] if stack else ("", "", False, False)
+                top = stack[-1] if stack else ("", "", False, False, ())
                 names = [s[1] for s in stack if s[0] not in FORMATTING]
                 tags = [s[0] for s in stack if s[0] not in FORMATTING]
                 first = next((k for k, t in enumerate(tags) if t in MAIN_TAGS), None) if top[3] else None
-                now = Block("/".join(names), furniture=top[2], main="" if first is None else "/".join(names[: first + 1]))
+                now = Block("/".join(names), furniture=top[2], marks=top[4], main="" if first is None else "/".join(names[: first + 1]))
                 out.append(now)
             text = unescape(piece)
             now.parts.append(text)
@@ -130,18 +152,27 @@ def blocks_of(html: str) -> list[Block]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ENDS[tag] or stack[k][0] in ("ul", "ol", "dl", "table")), None)
             if k is not None and stack[k][0] in ENDS[tag]:
                 del stack[k:]
-        gone, name = _marks(tag, m.group(3) or "")
-        up = stack[-1] if stack else ("", "", False, False)
-        in_main = up[3] or (tag in MAIN_TAGS and not up[2])
+        gone, hidden, name = _marks(tag, m.group(3) or "")
+        up = stack[-1] if stack else ("", "", False, False, ())
+        in_main, marks = up[3] or (tag in MAIN_TAGS and not up[2]), up[4]
+        if tag in MAIN_TAGS and not up[2]:
+            main_outside |= not marks
+            for k in marks:
+                holds_main[k] = True
         # a heading block of the article itself is no page header
-        stack.append((tag, name, up[2] or (gone and not (tag == "header" and up[3])), in_main))
-    return [b for b in out if b.text]
+        if gone and not (tag == "header" and up[3]):
+            marks = (*marks, len(holds_main))
+            holds_main.append(False)
+        stack.append((tag, name, up[2] or (hidden and not (tag == "header" and up[3])), in_main, marks))
+    out = [b for b in out if b.text]
+    _judge(out, holds_main, main_outside)
+    return out
 
 
 def content_blocks(html: str | None, smooth: float = 1.0, threshold: float = 0.25) -> list[str]:
     """The texts of the content blocks of a page, in page order.
 
-    Page furniture (by element, role, class or id) is set aside. All other blocks of one tag path are judged together:
+    Page furniture (by element, role, class or id) is set aside, unless it holds the page's text (``_judge``). All other blocks of one tag path are judged together:
     text length and punctuation per path over the number of its blocks (tag-path ratios), damped by the share of linked
     text, smoothed over the neighbouring paths of one parent, and fused as a geometric mean. A path is content if its
     value reaches ``threshold`` times the page's mean, weighted by text. An article or main element is also judged as one

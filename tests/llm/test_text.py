@@ -164,3 +164,14 @@ def test_stray_quotes_end_no_page():
         assert [b.text for b in pages.blocks_of(f"<p>one, a first line.</p>{stray}{rest}")] == want
     assert [b.text for b in pages.blocks_of('<p>one, a first line.</p><img alt=5" src=x>' + rest + '<p>say "so"</p>')] == [*want, 'say "so"']
     assert [b.text for b in pages.blocks_of('<p>one<a href="x>y" title="a > b">two</a></p><p ' + 'a="b" ' * 60)] == ["onetwo"]
+
+
+@pytest.mark.parametrize("open_, close", [("<div class='content has-sidebar'>", "</div>"), ("<div class=no-header><div id=with-sidebar>", "</div></div>"), ("<form id=aspnetForm>", "</form>"), ("<div id='search-results-article' class='share-enabled'>", "</div>")])
+def test_wrappers_that_look_like_furniture(open_, close):
+    text = "A long, plain paragraph; it has words, and stops. It goes on."
+    side = "<nav><a href=/>Home</a></nav>", "<div class=sidebar><p>More, of this.</p></div><footer>" + "All rights, reserved. " * 2 + "</footer>"
+    for body, want in ((f"<article><h1>Head</h1><p>{text}</p></article>", ["Head", text]), (f"<main><p>{text}</p></main>", [text]), (f"<p>{text}</p>" * 3, [text] * 3)):
+        assert pages.content_blocks(f"<html><body>{side[0]}{open_}{body}{side[1]}{close}</body></html>") == want
+        assert pages.content_blocks(f"<html><body>{side[0]}{open_}{body}{close}{side[1]}</body></html>") == want
+    plain = f"<div><p>{text}</p><p>{text}</p><p>{text}</p></div><div class=comments><article><p>Nice, really.</p></article></div>"
+    assert pages.content_blocks(plain) == [text] * 3

@@ -112,19 +112,21 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 12, bat
 def training_sample(docs: DataFrame, learn: Column, per_class: int = PER_CLASS, max_classes: int = MAX_CLASSES) -> list[tuple[str, bytes]]:
     """At most ``per_class`` texts of each of the ``max_classes`` most frequent lang values, by a hash of their ids.
 
-    The sample is chosen on (doc_id, lang) alone; only its texts are read, and each gives at most ``WINDOWS_PER_DOC`` windows.
+    The sample is chosen on the distinct (doc_id, lang) alone; only its texts are read. Each gives at most ``WINDOWS_PER_DOC``
+    windows, those of one of its rows however often it is repeated.
     """
     spark = docs.sparkSession
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").distinct()
     classes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes).select("lang")
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
     ids = known.join(F.broadcast(classes), "lang").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_class)
-    ids = spark.createDataFrame([(r.doc_id,) for r in ids.select("doc_id").distinct().toLocalIterator()], "_id long")
+    ids = spark.createDataFrame([(r.doc_id, r.lang) for r in ids.select("doc_id", "lang").toLocalIterator()], "_id long, _lang string")
     raw = F.col("text").cast("binary")
     n = F.octet_length("text")
     spots = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda k: (F.greatest(n - WINDOW, F.lit(0)) * k / (WINDOWS_PER_DOC - 1)).cast("int"))
-    parts = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).filter(learn & F.col("lang").isNotNull())
-    parts = parts.select("doc_id", "lang", F.explode(F.array_distinct(spots)).alias("at"), raw.alias("raw")).select("doc_id", "lang", "at", F.substring("raw", F.col("at") + 1, F.lit(WINDOW)).alias("part"))
+    parts = docs.filter(learn & F.col("text").isNotNull()).join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    parts = parts.select("doc_id", "lang", F.transform(F.array_distinct(spots), lambda at: F.struct(at.alias("at"), F.substring(raw, at + 1, F.lit(WINDOW)).alias("part"))).alias("cuts"))
+    parts = parts.groupBy("doc_id", "lang").agg(F.min("cuts").alias("cuts")).select("doc_id", "lang", F.inline("cuts"))
     rows = sorted((r.lang, r.doc_id, r.at, bytes(r.part or b"")) for r in parts.collect())
     return [(r[0], r[3]) for r in rows]
 

@@ -175,3 +175,11 @@ def test_wrappers_that_look_like_furniture(open_, close):
         assert pages.content_blocks(f"<html><body>{side[0]}{open_}{body}{close}{side[1]}</body></html>") == want
     plain = f"<div><p>{text}</p><p>{text}</p><p>{text}</p></div><div class=comments><article><p>Nice, really.</p></article></div>"
     assert pages.content_blocks(plain) == [text] * 3
+
+
+def test_language_sample_of_repeated_rows(spark):
+    rows = [(1, prose(900 + k), "en") for k in range(50)] + [(2 + k, prose(k, 200), "en") for k in range(6)] + [(100 + k, prose(k), "de") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_sample(docs, F.lit(True), per_class=7)
+    assert sum(lang == "en" for lang, _ in got) <= 7 * langid.WINDOWS_PER_DOC and sum(lang == "en" for lang, _ in got) > 6 * 2 and sum(lang == "de" for lang, _ in got) >= 3
+    assert len([p for lang, p in got if lang == "en" and any(p in t.encode() for i, t, _ in rows if i == 1)]) <= langid.WINDOWS_PER_DOC

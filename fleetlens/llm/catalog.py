@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, imatch, langid, mixing, pages, quality, simhash, suffix, tokencounts, toxicity
+from fleetlens.llm import decontaminate, imatch, langid, merkle, mixing, pages, quality, simhash, suffix, tokencounts, toxicity
 from fleetlens.llm.common import crc_fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,9 +72,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_simhash, op2_decontaminate, op3_suffix_dedup, op4_html_extraction, op5_toxicity, op6_language_id, op7_token_counts, op8_quality, op9_mixing, op10_imatch, pipeline]
+    own = [op1_simhash, op2_decontaminate, op3_suffix_dedup, op4_html_extraction, op5_toxicity, op6_language_id, op7_token_counts, op8_quality, op9_mixing, op10_imatch, op13_merkle, pipeline]
     return {q.__name__: q for q in own}
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_token_counts": tokencounts.TOTALS_SQL, "op9_mixing": mixing.MIX_SQL}
+    return {"op7_token_counts": tokencounts.TOTALS_SQL, "op9_mixing": mixing.MIX_SQL, "op13_merkle": merkle.MANIFEST_SQL}

@@ -36,6 +36,17 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
@@ -52,3 +63,11 @@ def parts_for(n_bytes: int, per_part: int, least: int = 1) -> int:
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"\p{L}")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes: bit by bit, as DuckDB has no such function."""
+    hexed = f"hex(encode({text}))"
+    codes = f"list_transform(range(1, length({hexed}), 2), lambda pos: CAST('0x' || substr({hexed}, pos, 2) AS BIGINT))"
+    byte = "list_reduce(list_prepend(xor(crc, code), range(8)), lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda crc, code: {byte}), 4294967295)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, imatch, langid, merkle, mixing, pages, quality, simhash, suffix, tokencounts, toxicity, vectors
+from fleetlens.llm import decontaminate, imatch, langid, merkle, mixing, pages, quality, simhash, spelling, suffix, tokencounts, toxicity, vectors
 from fleetlens.llm.common import crc_fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_simhash, op2_decontaminate, op3_suffix_dedup, op4_html_extraction, op5_toxicity, op6_language_id, op7_token_counts, op8_quality, op9_mixing, op10_imatch, op12_embedding_dedup, op13_merkle, pipeline]
+    own = [op1_simhash, op2_decontaminate, op3_suffix_dedup, op4_html_extraction, op5_toxicity, op6_language_id, op7_token_counts, op8_quality, op9_mixing, op10_imatch, op11_spelling, op12_embedding_dedup, op13_merkle, pipeline]
     return {q.__name__: q for q in own}
 
 

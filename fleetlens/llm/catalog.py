@@ -85,4 +85,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_token_counts": tokencounts.TOTALS_SQL, "op9_mixing": mixing.MIX_SQL, "op12_embedding_dedup": vectors.NEAR_SQL, "op13_merkle": merkle.MANIFEST_SQL}
+    return {"op7_token_counts": tokencounts.TOTALS_SQL, "op9_mixing": mixing.MIX_SQL, "op11_spelling": spelling.VARIANTS_SQL, "op12_embedding_dedup": vectors.NEAR_SQL, "op13_merkle": merkle.MANIFEST_SQL}

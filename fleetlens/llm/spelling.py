@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import shared_folder, stored
+from fleetlens.llm.common import crc32_sql, shared_folder, stored
 
 RUNS = r"[A-Za-zÀ-ÿ]{%d,}"
 LEAST_LENGTH = 7
@@ -285,3 +285,23 @@ def variants(docs: DataFrame, least: int = LEAST_LENGTH, least_count: int = LEAS
     known = stored(known, f"{folder}/known")
     last = roots(known.filter("form is not null"), folder)
     return known.join(last, "word", "left").select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")
+
+
+#: DuckDB SQL for ``variants`` of ``documents``: words meet by what is left when a code point is deleted.
+VARIANTS_SQL = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+low AS (SELECT id, translate(run, '{_CAPITALS}', '{_CAPITALS.lower()}') AS run, count(*) AS times FROM runs GROUP BY 1, 2),
+marked AS MATERIALIZED (SELECT run, times, {crc32_sql("id || ':' || run")} AS h FROM low),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM marked),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+gaps AS MATERIALIZED (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS gap FROM words, unnest(range(1, length(word) + 1)) AS u(k)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.k = b.k AND a.word <> b.word
+         UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.gap = w.word
+         UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.gap = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+known AS MATERIALIZED (SELECT w.word, w.n, CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form, coalesce(b.n_near, 0) AS n_near,
+                 CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+walk(word, here, depth) AS (SELECT word, word, 0 FROM known UNION ALL SELECT walk.word, known.form, depth + 1 FROM walk JOIN known ON known.word = walk.here WHERE known.form IS NOT NULL),
+last AS (SELECT word, arg_max(here, depth) AS root FROM walk GROUP BY word)
+SELECT known.word, n, form, root, n_near, form_n FROM known JOIN last ON last.word = known.word
+"""

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from fleetlens.llm import spelling
@@ -57,7 +58,7 @@ def texts(seed, n_docs, n_base):
 
 
 @pytest.mark.parametrize("group", [3, 20000])
-def test_variants_are_those_of_all_pairs(spark, group):
+def test_variants_are_those_of_all_pairs(spark, group, tmp_path):
     rows = texts(4, 400, 40) + [(None, None), (None, "aaaaaaab " * 40), (7, ""), (8, "baaaaaaÀ ×÷aaaaaaa baaaaaaÀ 12 x"), (8, "aaaaaaaa")] * 2 + [(501, "chainaaa " * 400), (502, "chainaab " * 30), (503, "chainabb " * 3)]
     docs = spark.createDataFrame([(*r, "x", 1, "x") for r in rows], "doc_id long, text string, word string, n long, g string")
     want = plain_variants(plain_words(rows))
@@ -65,6 +66,10 @@ def test_variants_are_those_of_all_pairs(spark, group):
     got = sorted((tuple(r) for r in spelling.variants(docs, group=group).collect()), key=repr)
     assert got == want
     assert spelling.variants(docs.limit(0)).count() == 0
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert sorted(con.execute(spelling.VARIANTS_SQL).fetchall(), key=repr) == want
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -7,7 +7,13 @@ edge belongs to the repository it was observed in; advisory nodes are global and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from heapq import nlargest
+from itertools import groupby, repeat, tee
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as T
@@ -220,33 +226,145 @@ def has_dependency(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:
     return rows.withColumn("exists", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
+def walk_lengths(hops: DataFrame, repositories: DataFrame, max_length: int) -> DataFrame:
+    """(repository_id, node_id, lengths) of every node that walks from its repository reach: bit k stands for a walk of k hops.
+
+    One breadth-first round per length over all repositories at once; a round holds a node once, whatever the walks to it.
+    """
+    level = repositories.select("repository_id", F.concat(F.lit("Repository:"), F.col("repository_id").cast("string")).alias("node_id")).distinct()
+    levels = level.withColumn("lengths", F.lit(1))
+    for length in range(1, max_length + 1):
+        level = level.withColumnRenamed("node_id", "_prev").join(hops, ["repository_id", "_prev"]).select("repository_id", F.col("_head").alias("node_id")).distinct()
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
+        levels = levels.unionByName(level.withColumn("lengths", F.lit(1 << length)))
+    return levels.groupBy("repository_id", "node_id").agg(F.bit_or("lengths").alias("lengths"))
+
+
+def thin_group(rows: Iterable[tuple[Sequence[str], Sequence[int], int]], limit: int) -> Iterator[int]:
+    """For each partial path of one target and head, in path order, the prefix lengths that it may still be completed with.
+
+    A partial path can only enter the best ``limit`` with a prefix that fewer than ``limit`` smaller partial paths go with. A
+    prefix of p hops has p - 1 inner nodes, and it excludes a smaller path only through a node that stands in that path,
+    not in this one, and that a walk of 1 to p - 1 hops reaches. So if m smaller paths are kept for p, and any p - 1 such nodes
+    stand in k of them at most, this one is out for p as soon as m - k >= limit. Pure counting: no simple path is lost.
+    """
+    kept: dict[int, int] = {}
+    uses: dict[int, dict[str, int]] = {}
+    for path, marks, ways in rows:
+        inner = path[1:-1]
+        for p in [p for p in range(1, ways.bit_length()) if ways >> p & 1]:
+            m, counts = kept.get(p, 0), uses.setdefault(p, {})
+            if m >= limit:
+                excluded = nlargest(p - 1, (n for node, n in counts.items() if node not in inner))
+                if m - sum(excluded) >= limit:
+                    ways &= ~(1 << p)
+                    continue
+            kept[p] = m + 1
+            for node, lengths in zip(inner, marks[1:-1]):
+                if lengths & ((1 << p) - 2):
+                    counts[node] = counts.get(node, 0) + 1
+        yield ways
+
+
+def _thin(step: DataFrame, limit: int) -> DataFrame:
+    """``step`` (stored) without the partial paths that cannot enter the best ``limit``; see ``thin_group``.
+
+    Only groups with more than ``limit`` partial paths are read. They stream through their tasks in path order, a group's
+    state being the counts of what it keeps; nothing is collected.
+    """
+    group = ["repository_id", "node_id", "_head"]
+    over = step.filter("ways > 1").groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*group)
+    over = cut_lineage(over)
+    if over.isEmpty():
+        return step
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = (*group, "path", "marks", "ways")
+        rows = (r for b in batches for r in zip(range(b.num_rows), repeat(b), *(b.column(c).to_pylist() for c in columns)))
+        for _, members in groupby(rows, key=lambda r: r[2:5]):
+            one, two = tee(members)
+            held: list[tuple[pa.RecordBatch, int, int]] = []
+            for (at, batch, *_), ways in zip(one, thin_group((r[5:] for r in two), limit)):
+                if held and held[0][0] is not batch:
+                    yield _taken(held)
+                    held = []
+                if ways:
+                    held.append((batch, at, ways))
+            if held:
+                yield _taken(held)
+
+    large = step.join(over, group, "left_semi").filter("ways > 1").repartition(*group).sortWithinPartitions(*group, F.array_join("path", "\u0001"))
+    rest = step.filter("ways > 1").join(over, group, "left_anti").unionByName(step.filter("ways = 1"))
+    return cut_lineage(rest.unionByName(large.select(*step.columns).mapInArrow(thin, step.schema)))
+
+
+def _taken(held: list[tuple[pa.RecordBatch, int, int]]) -> pa.RecordBatch:
+    """Rows of one batch with their new ways."""
+    batch = held[0][0].take(pa.array([at for _, at, _ in held]))
+    place = batch.schema.get_field_index("ways")
+    return batch.set_column(place, batch.schema.field(place), pa.array([ways for *_, ways in held], pa.int32()))
+
+
 def dependency_paths(edges: DataFrame, targets: DataFrame, max_depth: int = 4, limit: int = 25) -> DataFrame:
-    """(repository_id, node_id, length, path[]) — up to ``limit`` simple paths repository -> dependency.
+    """(repository_id, node_id, length, path[]) — the ``limit`` shortest simple paths repository -> dependency.
 
-    The search walks backwards from the targets, one length per round, so shortest paths come first. A target that
-    has its ``limit`` paths leaves the search, which is exact because only longer paths could follow; no partial
-    path of an open target is ever dropped. Ties of one length are taken in path order.
+    The search walks backwards from the targets, one length per round. ``walk_lengths`` says which prefix lengths can still
+    complete a partial path within the depth; one that has none is never extended, nor one that cannot enter the best
+    ``limit`` (``thin_group``), nor any of a target that has its paths. Ties of one length are taken in path order. A round
+    holds, per target and head, at most a number of partial paths that depends on limit and depth, not on the graph.
     """
-    hops = edges.filter(F.col("type").isin("CONTAINS", "USES", "DEPENDS_ON")).select("repository_id", F.col("src").alias("_prev"), F.col("dst").alias("_head"))
-    frontier = targets.select("repository_id", "node_id").distinct().select("*", F.col("node_id").alias("_head"), F.array("node_id").alias("path"))
-    found: DataFrame | None = None
     if not 1 <= max_depth <= MAX_DEPTH:
         raise ValueError(f"paths are searched to a depth of 1 to {MAX_DEPTH}")
+    frontier, hops = path_search(edges, targets, max_depth)
+    found: list[DataFrame] = []
+    target = ["repository_id", "node_id"]
+    done: DataFrame | None = None
     for length in range(1, max_depth + 1):
-        step = frontier.join(hops, ["repository_id", "_head"]).filter(~F.array_contains("path", F.col("_prev")))
-        step = step.select("repository_id", "node_id", F.col("_prev").alias("_head"), F.concat(F.array("_prev"), F.col("path")).alias("path"))
-        step = cut_lineage(step) if length > 1 else step
-        arrived = step.filter(F.col("_head").startswith("Repository:")).select("repository_id", "node_id", F.lit(length).alias("length"), "path")
-        everything = arrived if found is None else found.unionByName(arrived)
-        found = top_per_key(everything, ["repository_id", "node_id"], [F.col("length"), F.array_join("path", "\u0001")], limit).drop("rank_in_key")
+        step = extend_paths(frontier, hops, limit)
+        arrived = step.filter("ways = 1").select(*target, F.lit(length).alias("length"), "path")
+        best = top_per_key(arrived, target, [F.array_join("path", "\u0001")], limit)
+        found.append(best.drop("rank_in_key"))
         if length == max_depth:
             break
-        frontier = step.filter(~F.col("_head").startswith("Repository:"))
-        if length > 1 and frontier.isEmpty():
+        counts = best.groupBy(*target).agg(F.count("*").alias("n"))
+        done = counts if done is None else done.unionByName(counts).groupBy(*target).agg(F.sum("n").alias("n"))
+        frontier = step.filter("ways > 1").join(done.filter(F.col("n") >= limit).select(*target), target, "left_anti")
+        if frontier.isEmpty():
             break
-        full = found.groupBy("repository_id", "node_id").agg(F.count("*").alias("n")).filter(F.col("n") >= limit)
-        frontier = frontier.join(full.select("repository_id", "node_id"), ["repository_id", "node_id"], "left_anti")
-    return found
+    return top_per_key(reduce(DataFrame.unionByName, found), target, [F.col("length"), F.array_join("path", "\u0001")], limit).drop("rank_in_key")
+
+
+def path_search(edges: DataFrame, targets: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """The first frontier of ``dependency_paths`` (every target as a path of itself), and the hops with the walk lengths of their start."""
+    hops = edges.filter(F.col("type").isin("CONTAINS", "USES", "DEPENDS_ON")).select("repository_id", F.col("src").alias("_prev"), F.col("dst").alias("_head")).distinct()
+    # a path ends at its repository, so no walk leads through it again
+    hops = hops.filter(~F.col("_head").startswith("Repository:"))
+    lengths = walk_lengths(hops, targets.select("repository_id"), max_depth)
+    start = targets.select("repository_id", "node_id").distinct().join(lengths, ["repository_id", "node_id"])
+    frontier = start.select(
+        "repository_id", "node_id", F.col("node_id").alias("_head"), F.array("node_id").alias("path"), F.array("lengths").alias("marks"), F.col("lengths").alias("ways")
+    )
+    # a hop matters only if a walk from the repository gets to its start
+    reached = lengths.select("repository_id", F.col("node_id").alias("_prev"), F.col("lengths").alias("_lengths"))
+    return frontier, cut_lineage(hops.join(reached, ["repository_id", "_prev"]))
+
+
+def extend_paths(frontier: DataFrame, hops: DataFrame, limit: int) -> DataFrame:
+    """One round: every partial path by one hop backwards; ``ways`` has bit p if p more hops can complete it (1: complete)."""
+    step = frontier.join(hops, ["repository_id", "_head"])
+    ways = F.shiftright("ways", 1).bitwiseAND(F.col("_lengths"))
+    step = step.filter((ways != 0) & ~F.array_contains("path", F.col("_prev")))
+    step = step.select(
+        "repository_id",
+        "node_id",
+        F.col("_prev").alias("_head"),
+        F.concat(F.array("_prev"), F.col("path")).alias("path"),
+        F.concat(F.array("_lengths"), F.col("marks")).alias("marks"),
+        ways.alias("ways"),
+    )
+    return _thin(cut_lineage(step), limit)
 
 
 def repository_graph(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:

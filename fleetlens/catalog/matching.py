@@ -39,12 +39,12 @@ _STATUS = f"""{_CANON_HITS}, {_DEPS}, found AS (SELECT ecosystem, norm_name, ver
     _BASE + f", {_DEPS} SELECT ecosystem, norm_name, version, count(*) AS n_dependencies FROM deps WHERE ok GROUP BY 1, 2, 3",
 )
 def _lookups(spark, d):
-    return fleet.lookups(spark, d).drop("version_key")
+    return fleet.lookups(spark, d).select(*M.LOOKUP, "n_dependencies")
 
 
 @query("advisory_match", _BASE + f", {_LOOKUP_HITS} SELECT * FROM lh")
 def _match(spark, d):
-    return M.advisory_match(fleet.lookups(spark, d), fleet.ranges(spark, d))
+    return fleet.raw_hits(spark, d)
 
 
 @query(
@@ -61,8 +61,7 @@ def _classify(spark, d):
     _BASE + f", {_STATUS} SELECT DISTINCT ecosystem, norm_name, version, status_reason FROM classified WHERE n IS NOT NULL",
 )
 def _reason(spark, d):
-    asked = fleet.lookups(spark, d)
-    found = M.lookup_status(asked, M.advisory_match(asked, fleet.ranges(spark, d), canonical=fleet.canonical(spark, d)[0]))
+    found = fleet.run(spark, d).table("statuses")
     return found.filter("n_advisories > 0").select(*M.LOOKUP, "status_reason")
 
 
@@ -74,7 +73,7 @@ def _reason(spark, d):
  FROM classified c LEFT JOIN (SELECT analysis_id, count(DISTINCT canonical) AS n FROM hits h JOIN canon c ON c.identifier = h.identifier GROUP BY 1) t ON t.analysis_id = c.analysis_id GROUP BY 1""",
 )
 def _summary(spark, d):
-    return M.check_summary(*fleet.classified_with_hits(spark, d))
+    return M.check_summary(fleet.classified(spark, d), fleet.hits(spark, d), fleet.run(spark, d).table("hot"))
 
 
 def _unanswered(spark, d):
@@ -159,4 +158,4 @@ FLEET_SQL = f""", {HITS}, {FINDINGS}, f AS (SELECT d.analysis_id, count(DISTINCT
 
 @query("fleet_risk", ctes("fx_dependencies", "fx_advisories", "fx_analyses") + FLEET_SQL)
 def fleet_risk(spark, d):
-    return fleet.fleet_risk(fleet.dependencies(spark, d), fixture(spark, d, "fx_analyses"), fleet.hits(spark, d))
+    return fleet.fleet_risk(fleet.dependencies(spark, d), fixture(spark, d, "fx_analyses"), fleet.hits(spark, d), fleet.run(spark, d).table("hot"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import Group
-from fleetlens.catalog.matching import FINDINGS, _LOOKUP_HITS
+from fleetlens.catalog.matching import FINDINGS, _canon
 from fleetlens.catalog.sqlparts import HITS, major, norm, vkey
 from fleetlens.functions import versions as V
 from fleetlens.operators import matching as M
+from fleetlens.operators import ranks
 from fleetlens.operators import remediate as K
 from fleetlens.plans import fleet
 from fleetlens.plans.bindings import ctes, fixture
@@ -32,30 +33,31 @@ def _vulns(spark, d):
     return rows.select(*DEPENDENCY, "identifier", F.array_join("identifiers", ",").alias("identifiers"))
 
 
-_FLOORS = f"""{_LOOKUP_HITS}, adv AS (SELECT *, {norm()} AS norm_name FROM fx_advisories),
- floors AS (SELECT ecosystem, norm_name, version, arg_max(fixed, k) AS floor, count(DISTINCT identifier) AS fixable FROM (SELECT l.*, a.fixed, {vkey('a.fixed')} AS k FROM lh l JOIN adv a ON a.identifier = l.identifier WHERE a.fixed IS NOT NULL AND {vkey('a.fixed')} > {vkey('l.version')}) x GROUP BY 1, 2, 3)"""
+_SAME = "{0}.ecosystem = {1}.ecosystem AND {0}.norm_name = {1}.norm_name"
+# intervals and safe fixes of merged advisories, the issues that a version has and the smallest fix of each above it
+_ISSUES = f"""{HITS}, {_canon('canon')}, lh AS (SELECT DISTINCT h.ecosystem, h.norm_name, h.version, c.canonical AS identifier FROM hits h JOIN canon c ON c.identifier = h.identifier),
+ adv AS (SELECT DISTINCT c.canonical AS identifier, a.ecosystem, {norm('a.package_name', 'a.ecosystem')} AS norm_name, a.introduced, a.fixed, {vkey('a.introduced')} AS ki, {vkey('a.fixed')} AS kf FROM fx_advisories a JOIN canon c ON c.identifier = a.identifier),
+ fix AS (SELECT DISTINCT identifier, ecosystem, norm_name, fixed, kf AS k FROM adv f WHERE kf IS NOT NULL AND NOT EXISTS (SELECT 1 FROM adv o WHERE o.identifier = f.identifier AND {_SAME.format('o', 'f')} AND o.fixed IS DISTINCT FROM f.fixed AND f.kf >= o.ki AND (o.fixed IS NULL OR f.kf < o.kf)))"""
+_NEXT = "SELECT {0}, arg_max(fixed, k) AS floor, count(*) AS fixable FROM (SELECT {1}, arg_min(f.fixed, f.k) AS fixed, min(f.k) AS k FROM {2} l JOIN fix f ON f.identifier = l.identifier AND " + _SAME.format("f", "l") + " AND f.k > {3} GROUP BY ALL) x GROUP BY ALL"
+_LH = "l.ecosystem, l.norm_name, l.version, l.identifier"
+_FLOORS = f"{_ISSUES}, floors AS ({_NEXT.format('ecosystem, norm_name, version', _LH, 'lh', vkey('l.version'))})"
 _REL = f"""inst AS (SELECT DISTINCT ecosystem, {norm()} AS norm_name, version, {vkey()} AS k, version NOT LIKE '%-rc%' AS stable, {major()} AS major FROM fx_releases WHERE NOT withdrawn),
  latest AS (SELECT ecosystem, norm_name, arg_max(version, k) AS latest FROM inst WHERE stable GROUP BY 1, 2)"""
 _SNAP = f"""{_FLOORS}, {_REL}, snapped AS (SELECT f.ecosystem, f.norm_name, f.floor, coalesce(arg_min(i.version, i.k) FILTER (i.k >= {vkey('f.floor')}), f.floor) AS snapped FROM (SELECT DISTINCT ecosystem, norm_name, floor FROM floors) f LEFT JOIN inst i ON i.ecosystem = f.ecosystem AND i.norm_name = f.norm_name AND i.stable GROUP BY 1, 2, 3)"""
 
 
-def _hits(spark, d):
-    return fleet.raw_hits(spark, d)
-
-
 def _installable(spark, d):
-    rel = fixture(spark, d, "fx_releases")
-    norm_name = V.normalize_package_name(F.col("package_name"), F.col("ecosystem"))
-    return K.installable_releases(rel.select("ecosystem", norm_name.alias("norm_name"), "version", (~F.col("withdrawn")).alias("installable")))
+    return fleet.run(spark, d).table("installable")
 
 
 def _floors(spark, d):
-    return K.minimum_fixed_version(_hits(spark, d), K.fix_rows(fleet.ranges(spark, d)))
+    own = fleet.run(spark, d)
+    return K.minimum_fixed_version(own.table("hits"), own.table("fixes"))
 
 
 @query("minimum_fixed_version", _BASE + f", {_FLOORS} SELECT * FROM floors")
 def _minimum(spark, d):
-    return _floors(spark, d).drop("floor_key")
+    return _floors(spark, d).drop("floor_rank")
 
 
 @query(
@@ -75,61 +77,81 @@ def _releases(spark, d):
  SELECT l.ecosystem, l.norm_name, l.version, arg_max(i.version, i.k) AS latest_same_major FROM l LEFT JOIN inst i ON i.ecosystem = l.ecosystem AND i.norm_name = l.norm_name AND i.major = l.major AND i.stable GROUP BY 1, 2, 3""",
 )
 def _same_major(spark, d):
-    return K.latest_in_same_major(fleet.lookups(spark, d), _installable(spark, d))
+    return K.latest_in_same_major(fleet.lookups(spark, d), _installable(spark, d), fleet.run(spark, d).table("index"))
 
 
 @query("snap_to_release", _BASE + f", {_SNAP} SELECT * FROM snapped")
 def _snap(spark, d):
-    return K.snap_to_release(_floors(spark, d), _installable(spark, d)).drop("snapped_key")
+    return K.snap_to_release(_floors(spark, d), fleet.run(spark, d).table("upcoming")).drop("floor_rank", "snapped_rank")
+
 
+# every place that a candidate can come to, its next one, and the way from each first candidate to its end
+_WALK = f"""{_SNAP}, fsnap AS (SELECT f.ecosystem, f.norm_name, f.fixed, coalesce(arg_min(i.version, i.k) FILTER (i.k >= f.k), f.fixed) AS snapped FROM (SELECT DISTINCT ecosystem, norm_name, fixed, k FROM fix) f LEFT JOIN inst i ON {_SAME.format('i', 'f')} AND i.stable GROUP BY 1, 2, 3),
+ places AS (SELECT ecosystem, norm_name, snapped AS candidate FROM snapped UNION SELECT ecosystem, norm_name, snapped FROM fsnap),
+ found AS (SELECT DISTINCT p.ecosystem, p.norm_name, p.candidate, a.identifier FROM places p JOIN adv a ON {_SAME.format('a', 'p')} AND {vkey('p.candidate')} >= a.ki AND (a.fixed IS NULL OR {vkey('p.candidate')} < a.kf)),
+ onward AS ({_NEXT.format('ecosystem, norm_name, candidate', 'l.ecosystem, l.norm_name, l.candidate, l.identifier', 'found', vkey('l.candidate'))}),
+ moves AS (SELECT o.ecosystem, o.norm_name, o.candidate, s.snapped FROM onward o JOIN fsnap s ON {_SAME.format('s', 'o')} AND s.fixed = o.floor),
+ walk AS (SELECT DISTINCT ecosystem, norm_name, snapped AS start, snapped AS candidate FROM snapped UNION ALL SELECT w.ecosystem, w.norm_name, w.start, m.snapped FROM walk w JOIN moves m ON {_SAME.format('m', 'w')} AND m.candidate = w.candidate),
+ ends AS (SELECT * FROM walk w WHERE NOT EXISTS (SELECT 1 FROM moves m WHERE {_SAME.format('m', 'w')} AND m.candidate = w.candidate)),
+ rest AS (SELECT ecosystem, norm_name, candidate, string_agg(identifier, ',' ORDER BY identifier) AS remaining FROM found GROUP BY 1, 2, 3)"""
 
-@query("verify_candidates")
+
+@query(
+    "verify_candidates",
+    (
+        _BASE
+        + f""", {_WALK} SELECT f.ecosystem, f.norm_name, f.version, e.start AS minimum_fixed_version, e.candidate, r.remaining IS NULL AS verified, coalesce(r.remaining, '') AS remaining FROM floors f JOIN snapped s ON {_SAME.format('s', 'f')} AND s.floor = f.floor
+ JOIN ends e ON {_SAME.format('e', 'f')} AND e.start = s.snapped LEFT JOIN rest r ON {_SAME.format('r', 'f')} AND r.candidate = e.candidate"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _verify(spark, d):
     rows = _selected(spark, d)
     return rows.select(*M.LOOKUP, "minimum_fixed_version", "candidate", "verified", F.array_join("remaining", ",").alias("remaining"))
 
 
 def _selected(spark, d):
-    ranges = cut_lineage(fleet.ranges(spark, d))
-    return K.select_candidates(cut_lineage(_hits(spark, d)), ranges, cut_lineage(_installable(spark, d)))
+    own = fleet.run(spark, d)
+    return K.select_candidates(*[own.table(t) for t in ("hits", "spans", "fixes", "installable", "index")])
 
 
 _CHECK = f"""{_SNAP}, cand AS (SELECT f.*, s.snapped AS candidate FROM floors f JOIN snapped s ON s.ecosystem = f.ecosystem AND s.norm_name = f.norm_name AND s.floor = f.floor),
- still AS (SELECT DISTINCT c.ecosystem, c.norm_name, c.candidate, a.identifier, a.fixed FROM cand c JOIN adv a ON a.ecosystem = c.ecosystem AND a.norm_name = c.norm_name AND {vkey('c.candidate')} >= {vkey('a.introduced')} AND (a.fixed IS NULL OR {vkey('c.candidate')} < {vkey('a.fixed')}))"""
+ still AS (SELECT DISTINCT c.ecosystem, c.norm_name, c.candidate, a.identifier FROM cand c JOIN adv a ON a.ecosystem = c.ecosystem AND a.norm_name = c.norm_name AND {vkey('c.candidate')} >= a.ki AND (a.fixed IS NULL OR {vkey('c.candidate')} < a.kf))"""
 
 
 def _first_round(spark, d):
-    """Candidates after one check, before any bump."""
-    inst, ranges = _installable(spark, d), fleet.ranges(spark, d)
-    floors = cut_lineage(_floors(spark, d))
-    rows = floors.join(K.snap_to_release(floors, inst), [*K.PACKAGE, "floor"]).withColumnsRenamed({"snapped": "candidate", "snapped_key": "candidate_key"})
-    rows = cut_lineage(rows)
-    hits = K._check(rows, ranges)
+    """Candidates after one check, before any bump, and the issues that they still have."""
+    own = fleet.run(spark, d)
+    index, spans = own.table("index"), own.table("spans")
+    floors = _floors(spark, d)
+    rows = floors.join(K.snap_to_release(floors, own.table("upcoming")).drop("floor_rank"), [*K.PACKAGE, "floor"])
+    rows = cut_lineage(rows.withColumnsRenamed({"snapped": "candidate", "snapped_rank": "candidate_rank"}))
+    sizes = index.select(*K.PACKAGE, "n_ranks").distinct()
+    asked = rows.select(*K.PACKAGE, "candidate", F.col("candidate_rank").alias("rank")).distinct().join(sizes, K.PACKAGE)
+    hits = cut_lineage(ranks.covering(asked, spans, ["identifier"]).distinct())
     bad = hits.select(*K.PACKAGE, "candidate").distinct().withColumn("_bad", F.lit(True))
     rows = rows.join(bad, [*K.PACKAGE, "candidate"], "left").withColumn("verified", F.col("_bad").isNull()).drop("_bad")
-    rows = rows.join(K.latest_in_same_major(rows, inst), M.LOOKUP, "left").join(K.latest_releases(inst), K.PACKAGE, "left")
-    return rows, hits, ranges
+    return K.with_latest(rows, own.table("installable"), index), hits, own
 
 
 @query(
     "next_fixed_version",
-    _BASE + f", {_CHECK} SELECT ecosystem, norm_name, candidate, arg_max(fixed, {vkey('fixed')}) AS floor, count(*) AS fixable FROM still WHERE fixed IS NOT NULL AND {vkey('fixed')} > {vkey('candidate')} GROUP BY 1, 2, 3",
+    _BASE + f", {_CHECK} {_NEXT.format('ecosystem, norm_name, candidate', 'l.ecosystem, l.norm_name, l.candidate, l.identifier', 'still', vkey('l.candidate'))}",
 )
 def _next(spark, d):
-    rows, hits, ranges = _first_round(spark, d)
-    return K.next_fixed_version(rows, hits, K.fix_rows(ranges)).drop("floor_key")
+    _, hits, own = _first_round(spark, d)
+    return K.next_fixed_version(hits, own.table("fixes")).drop("floor_rank")
 
 
 _SAFE = f"""{_CHECK}, sm AS (SELECT c.ecosystem, c.norm_name, c.version, arg_max(i.version, i.k) AS same_major_latest FROM cand c LEFT JOIN inst i ON i.ecosystem = c.ecosystem AND i.norm_name = c.norm_name AND i.stable AND i.major = {major('c.version')} GROUP BY 1, 2, 3),
  opts AS (SELECT c.ecosystem, c.norm_name, c.version, c.candidate AS option FROM cand c WHERE NOT EXISTS (SELECT 1 FROM still s WHERE s.ecosystem = c.ecosystem AND s.norm_name = c.norm_name AND s.candidate = c.candidate)
   UNION SELECT c.ecosystem, c.norm_name, c.version, o.option FROM cand c JOIN (SELECT ecosystem, norm_name, version, same_major_latest AS option FROM sm UNION SELECT c2.ecosystem, c2.norm_name, c2.version, l.latest FROM cand c2 JOIN latest l ON l.ecosystem = c2.ecosystem AND l.norm_name = c2.norm_name) o ON o.ecosystem = c.ecosystem AND o.norm_name = c.norm_name AND o.version = c.version
-   WHERE o.option IS NOT NULL AND {vkey('o.option')} > {vkey('c.candidate')} AND NOT EXISTS (SELECT 1 FROM adv a WHERE a.ecosystem = c.ecosystem AND a.norm_name = c.norm_name AND {vkey('o.option')} >= {vkey('a.introduced')} AND (a.fixed IS NULL OR {vkey('o.option')} < {vkey('a.fixed')})))"""
+   WHERE o.option IS NOT NULL AND {vkey('o.option')} > {vkey('c.candidate')} AND NOT EXISTS (SELECT 1 FROM adv a WHERE a.ecosystem = c.ecosystem AND a.norm_name = c.norm_name AND {vkey('o.option')} >= a.ki AND (a.fixed IS NULL OR {vkey('o.option')} < a.kf)))"""
 
 
 @query("safe_versions", _BASE + f", {_SAFE} SELECT * FROM opts")
 def _safe(spark, d):
-    rows, _, ranges = _first_round(spark, d)
-    return K.safe_versions(rows, ranges).drop("option_key").distinct()
+    rows, _, own = _first_round(spark, d)
+    return K.safe_versions(rows, own.table("spans"), own.table("index")).drop("option_rank").distinct()
 
 
 _CHOSEN = f"""{_SAFE}, chosen AS (SELECT c.ecosystem, c.norm_name, c.version, coalesce(p.preferred, c.candidate) AS preferred_version, coalesce(p.allowed, '') AS allowed_versions, p.preferred IS NOT NULL AS verified_safe FROM cand c LEFT JOIN (
@@ -137,8 +159,8 @@ _CHOSEN = f"""{_SAFE}, chosen AS (SELECT c.ecosystem, c.norm_name, c.version, co
 
 
 def _chosen(spark, d):
-    rows, _, ranges = _first_round(spark, d)
-    return K.choose_version(rows, K.safe_versions(rows, ranges))
+    rows, _, own = _first_round(spark, d)
+    return K.choose_version(rows, K.safe_versions(rows, own.table("spans"), own.table("index")), own.table("index"))
 
 
 @query("choose_version", _BASE + f", {_CHOSEN} SELECT * FROM chosen")

@@ -7,7 +7,7 @@ length + digits, which keeps integers of any size exact. Keys are only comparabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PYPI = "PyPI"
@@ -244,33 +244,6 @@ def max_version(versions: Column, ecosystem: Column, allow_prerelease: bool = Fa
     return F.array_max(_keyed(kept, ecosystem))["v"]
 
 
-def with_version_key(df: DataFrame, version: str = "version", ecosystem: str = "ecosystem", key: str = "version_key"):
-    """The frame with its order key next to the version."""
-    return df.withColumn(key, version_key(F.col(version), F.col(ecosystem)))
-
-
-def version_index(df: DataFrame, version: str = "version", ecosystem: str = "ecosystem") -> DataFrame:
-    """One row per distinct (ecosystem, version): key, validity, prerelease flag and major number.
-
-    Duplicates fall away in the map-side half of the distinct, so the expressions run once per distinct version
-    however often it occurs in the fleet.
-    """
-    eco, ver = F.col("ecosystem"), F.col("version")
-    return (
-        df.select(F.col(ecosystem).alias("ecosystem"), F.col(version).alias("version"))
-        .filter(ver.isNotNull())
-        .distinct()
-        .select(
-            "ecosystem",
-            "version",
-            version_key(ver, eco).alias("version_key"),
-            is_prerelease(ver, eco).alias("is_prerelease"),
-            major_of(ver, eco).alias("major"),
-        )
-        .withColumn("is_valid", F.col("version_key").isNotNull())
-    )
-
-
 # ---------------------------------------------------------------- specifiers
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scores as S
 from fleetlens.functions import versions as V
+from fleetlens.operators import ranks
+from fleetlens.session import cut_lineage
 from fleetlens.skew import hot_keys, salted_join
 
 UNPINNED = "Version not pinned; add a lock file or pin the version"
@@ -24,13 +26,22 @@ def with_lookup_key(deps: DataFrame) -> DataFrame:
     )
 
 
-def distinct_lookups(deps: DataFrame) -> DataFrame:
+def count_lookups(deps: DataFrame) -> DataFrame:
+    """Each (ecosystem, name, version) once, valid or not, with the number of dependency rows behind it.
+
+    The aggregate combines on the map side, so a package used by a third of the fleet shuffles one row per input partition.
+    """
+    return deps.groupBy(*LOOKUP).agg(F.count("*").alias("n_dependencies"))
+
+
+def distinct_lookups(deps: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """each checkable (ecosystem, name, version) once, with the number of dependency rows behind it.
 
-    The aggregate combines on the map side, so a package used by a third of the fleet shuffles one row per input
-    partition. The version key is computed on the survivors only.
+    ``index`` holds the parsed versions of a run; without one they are parsed here, on the distinct versions only.
     """
-    counted = deps.groupBy(*LOOKUP).agg(F.count("*").alias("n_dependencies"))
+    counted = count_lookups(deps)
+    if index is not None:
+        return counted.join(index.select(*LOOKUP, "version_key", "rank", "n_ranks"), LOOKUP)
     key = V.version_key(F.col("version"), F.col("ecosystem"))
     # explode of null-or-one element: computes the key once and drops the invalid versions with it
     return counted.select("*", F.explode(F.array_compact(F.array(key))).alias("version_key"))
@@ -43,38 +54,22 @@ def canonical_hits(hits: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def advisory_match(
-    lookups: DataFrame, ranges: DataFrame, listed: DataFrame | None = None, canonical: DataFrame | None = None
+    lookups: DataFrame, ranges: DataFrame, listed: DataFrame | None = None, canonical: DataFrame | None = None, index: DataFrame | None = None
 ) -> DataFrame:
     """(lookup, identifier) for every advisory interval or explicit version list that covers the version.
 
-    Equality on the package carries the join, the interval is its residual predicate. ``introduced`` "0" and a
-    missing lower bound are minus infinity; GIT intervals and unparsable bounds never match. With ``canonical`` (rows of
-    ``canonical_map``) the aliases of one issue are one hit.
+    Versions and bounds are ranked per package (``index`` holds the ranks of a run, else they are built here) and meet by
+    the nodes of their ranks, see ``operators.ranks``: a package with 10^5 versions and 10^3 intervals is spread over its
+    nodes, and only hits are formed. A version list (ecosystem, norm_name, identifier, versions) joins the same union by the
+    spelling of the version. With ``canonical`` (rows of ``canonical_map``) the aliases of one issue are one hit.
     """
-    usable = (
-        ranges.filter("range_type <> 'GIT'")
-        .filter("introduced IS NULL OR introduced = '0' OR introduced_key IS NOT NULL")
-        .filter("fixed IS NULL OR fixed_key IS NOT NULL")
-        .filter("fixed IS NOT NULL OR last_affected IS NULL OR last_key IS NOT NULL")
-        .select(
-            "ecosystem",
-            "norm_name",
-            "identifier",
-            F.when(F.col("introduced") != "0", F.col("introduced_key")).alias("low"),
-            F.col("fixed_key").alias("high"),
-            F.when(F.col("fixed").isNull(), F.col("last_key")).alias("last"),
-        )
-    )
-    key = F.col("version_key")
-    covered = (
-        (F.col("low").isNull() | (key >= F.col("low")))
-        & (F.col("high").isNull() | (key < F.col("high")))
-        & (F.col("last").isNull() | (key <= F.col("last")))
-    )
-    hits = lookups.join(usable, ["ecosystem", "norm_name"]).filter(covered).select(*LOOKUP, "identifier")
+    if index is None:
+        index = cut_lineage(ranks.version_index(lookups, ranks.bound_versions(ranges)))
+    asked = lookups.select(*LOOKUP).join(index.select(*LOOKUP, "rank", "n_ranks"), LOOKUP)
+    hits = ranks.covering(asked, ranks.rank_spans(ranges, index), ["identifier"]).select(*LOOKUP, "identifier")
     if listed is not None:
         exact = listed.select("ecosystem", "norm_name", "identifier", F.explode("versions").alias("version"))
-        hits = hits.unionByName(lookups.join(exact, LOOKUP).select(*LOOKUP, "identifier"))
+        hits = hits.unionByName(lookups.select(*LOOKUP).join(exact, LOOKUP).select(*LOOKUP, "identifier"))
     return hits.distinct() if canonical is None else canonical_hits(hits, canonical)
 
 
@@ -105,18 +100,16 @@ def lookup_status(lookups: DataFrame, hits: DataFrame, unanswered: DataFrame | N
     )
 
 
-def classify_dependencies(deps: DataFrame, statuses: DataFrame, salt_hot: bool = True) -> DataFrame:
+def classify_dependencies(deps: DataFrame, statuses: DataFrame, salt_hot: bool = True, hot: DataFrame | None = None) -> DataFrame:
     """SAFE, VULNERABLE or UNKNOWN with the reason, on every dependency row.
 
-    ``statuses`` is one row per lookup. A package version that occurs all over the fleet is a hot join key; the
-    lookup counts already say which, so those few keys are salted without another pass over the dependencies.
+    ``statuses`` is one row per lookup. A package version that occurs all over the fleet is a hot join key; ``hot`` names
+    those few keys, else the lookup counts say which, without another pass over the dependencies.
     """
-    counts = statuses.select(*LOOKUP, "n_dependencies")
     verdicts = statuses.drop("n_dependencies")
-    if salt_hot:
-        rows = salted_join(deps, verdicts, LOOKUP, hot_keys(counts, "n_dependencies"), "left")
-    else:
-        rows = deps.join(verdicts, LOOKUP, "left")
+    if hot is None and salt_hot:
+        hot = hot_keys(statuses.select(*LOOKUP, "n_dependencies"), "n_dependencies")
+    rows = deps.join(verdicts, LOOKUP, "left") if hot is None else salted_join(deps, verdicts, LOOKUP, hot, "left")
     unpinned = F.coalesce(F.col("version"), F.lit("")) == ""
     invalid = F.concat(
         F.lit('Version "'), F.col("version"), F.lit('" is not a valid '), F.col("ecosystem"),
@@ -131,8 +124,11 @@ def classify_dependencies(deps: DataFrame, statuses: DataFrame, salt_hot: bool =
     )
 
 
-def check_summary(classified: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """counters per analysis; distinct advisories from the classified rows' lookups when ``hits`` is given."""
+def check_summary(classified: DataFrame, hits: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """counters per analysis; distinct advisories from the classified rows' lookups when ``hits`` is given.
+
+    The vulnerable lookups of an analysis are distinct before they meet their hits, and ``hot`` lookups are salted.
+    """
     unpinned = F.coalesce(F.col("version"), F.lit("")) == ""
     status = F.col("vulnerability_status")
     counters = classified.groupBy("analysis_id").agg(
@@ -145,13 +141,10 @@ def check_summary(classified: DataFrame, hits: DataFrame | None = None) -> DataF
     )
     if hits is None:
         return counters
-    touched = (
-        classified.filter(status == "VULNERABLE")
-        .select("analysis_id", *LOOKUP)
-        .join(hits, LOOKUP)
-        .groupBy("analysis_id")
-        .agg(F.countDistinct("identifier").alias("vulnerabilities_total"))
-    )
+    asked = classified.filter(status == "VULNERABLE").select("analysis_id", *LOOKUP).distinct()
+    named = hits.select(*LOOKUP, "identifier")
+    met = asked.join(named, LOOKUP) if hot is None else salted_join(asked, named, LOOKUP, hot)
+    touched = met.groupBy("analysis_id").agg(F.countDistinct("identifier").alias("vulnerabilities_total"))
     return counters.join(touched, "analysis_id", "left").fillna(0, ["vulnerabilities_total"])
 
 
@@ -160,18 +153,19 @@ def stage_status(errors: Column, total: Column) -> Column:
     return F.when(errors == 0, "OK").when(errors == total, "UNAVAILABLE").otherwise("PARTIAL")
 
 
-def create_findings(deps: DataFrame, hits: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def create_findings(deps: DataFrame, hits: DataFrame, existing: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """one finding per (analysis, dependency, advisory); existing ones are kept as they are.
 
-    ``hits`` carries the canonical identifier and its severity. The hits of one version are few; a version that is
-    everywhere makes the dependency side the large one, and adaptive execution splits it.
+    ``hits`` carries the canonical identifier and its severity, once per lookup. Equal dependency identities are reduced to
+    the smallest scope before they meet their hits, so no shuffle carries findings; ``hot`` lookups are salted.
     """
     identity = ["analysis_id", "ecosystem", "norm_name", "version", "source_file", "identifier"]
-    rows = deps.select("analysis_id", *LOOKUP, "source_file", "scope").join(hits, LOOKUP)
-    # the smallest of equal identities stays, in a stated order and combined before the shuffle
-    others = [c for c in rows.columns if c not in identity]
-    least = rows.groupBy(*identity).agg(F.min(F.struct(*others)).alias("_row"))
-    fresh = least.select(*identity, "_row.*").select(*rows.columns).withColumn("risk_level", provisional_risk(F.col("severity")))
+    bad = hits.select(*LOOKUP).distinct()
+    asked = deps.select("analysis_id", *LOOKUP, "source_file", "scope").join(bad, LOOKUP, "left_semi")
+    asked = asked.groupBy("analysis_id", *LOOKUP, "source_file").agg(F.min("scope").alias("scope"))
+    rows = asked.join(hits, LOOKUP) if hot is None else salted_join(asked, hits, LOOKUP, hot)
+    columns = ["analysis_id", *LOOKUP, "source_file", "scope", *[c for c in hits.columns if c not in LOOKUP]]
+    fresh = rows.select(*columns).withColumn("risk_level", provisional_risk(F.col("severity")))
     if existing is None:
         return fresh
     new = fresh.join(existing.select(*identity), identity, "left_anti")

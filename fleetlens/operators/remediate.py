@@ -6,16 +6,17 @@ by a third of the fleet is decided once and joined back at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as T
 from fleetlens.functions import versions as V
-from fleetlens.functions.versions import bind, strip
+from fleetlens.functions.versions import strip
 from fleetlens.operators import matching as M
+from fleetlens.operators import ranks
 from fleetlens.session import cut_lineage
 
-# Verification rounds, the confidence of an automatic choice, and the npm range styles kept on rewriting.
+# The confidence of an automatic choice, and the npm range styles kept on rewriting.
 CONFIDENCE = 0.5
 SIMPLE_SPEC = (
     r"^(\^|~|>=|=v|=|v)?\s*((?:0|[1-9]\d*)\.(?:0|[1-9]\d*)\.(?:0|[1-9]\d*)(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?)$"
@@ -35,179 +36,190 @@ def vulnerabilities_of_dependency(findings: DataFrame, dependency: list[str]) ->
     return rows.withColumn("identifiers", F.concat(own, F.array_except("_all", own))).drop("_all")
 
 
-def fix_rows(ranges: DataFrame) -> DataFrame:
-    """(package, identifier, fixed, fixed_key) of every parsable fix outside GIT intervals."""
-    rows = ranges.filter("range_type <> 'GIT' AND fixed_key IS NOT NULL")
-    return rows.select(*PACKAGE, "identifier", "fixed", "fixed_key").distinct()
+def safe_fixes(ranges: DataFrame, index: DataFrame) -> DataFrame:
+    """(package, identifier, fixed, fix_rank) of every fix of a merged advisory that ends the issue there.
 
-
-def _floor(candidates: DataFrame, fixes: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """Max over the advisories of the smallest fix above ``key``: two aggregates, both partial before the shuffle."""
-    above = candidates.join(fixes, [*PACKAGE, "identifier"]).filter(F.col("fixed_key") > F.col(key))
-    per = above.groupBy(*keys, "identifier").agg(F.min(F.struct("fixed_key", "fixed")).alias("f"))
+    A fix inside another interval of the same issue is none: an interval without ``fixed`` is open to the end, one without
+    a lower bound or with unparsable bounds removes nothing, nor does the one that the fix itself closes. An issue has few
+    intervals in a package, and they meet by issue and package.
+    """
+    known = index.select(*PACKAGE, "version", "rank")
+    keys = [*PACKAGE, "identifier"]
+    fixes = ranges.filter("range_type <> 'GIT' AND fixed IS NOT NULL").select(*keys, "fixed").distinct()
+    fixes = fixes.join(known.withColumnsRenamed({"version": "fixed", "rank": "fix_rank"}), [*PACKAGE, "fixed"])
+    others = ranges.filter("introduced <> ''").select(*keys, "introduced", F.col("fixed").alias("_closes")).distinct()
+    others = others.join(known.withColumnsRenamed({"version": "introduced", "rank": "_lo"}), [*PACKAGE, "introduced"])
+    others = others.join(known.withColumnsRenamed({"version": "_closes", "rank": "_hi"}), [*PACKAGE, "_closes"], "left")
+    others = others.filter("_closes IS NULL OR _hi IS NOT NULL").drop("introduced")
+    inside = (F.col("fix_rank") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("fix_rank") < F.col("_hi"))) & ~F.col("_closes").eqNullSafe(F.col("fixed"))
+    same = [F.col(f"f.{k}") == F.col(f"o.{k}") for k in keys]
+    return fixes.alias("f").join(others.alias("o"), [*same, inside], "left_anti").select(*keys, "fixed", "fix_rank")
+
+
+def _floor(candidates: DataFrame, fixes: DataFrame, keys: list[str]) -> DataFrame:
+    """Max over the issues of the smallest fix above ``rank``: two aggregates, both partial before the shuffle."""
+    above = candidates.join(fixes, [*PACKAGE, "identifier"]).filter(F.col("fix_rank") > F.col("rank"))
+    per = above.groupBy(*keys, "identifier").agg(F.min(F.struct("fix_rank", "fixed")).alias("f"))
     return per.groupBy(*keys).agg(F.max("f").alias("f"), F.count("*").alias("fixable")).select(
-        *keys, F.col("f.fixed").alias("floor"), F.col("f.fixed_key").alias("floor_key"), "fixable"
+        *keys, F.col("f.fixed").alias("floor"), F.col("f.fix_rank").alias("floor_rank"), "fixable"
     )
 
 
 def minimum_fixed_version(hits: DataFrame, fixes: DataFrame) -> DataFrame:
-    """K2: smallest version that fixes every fixable advisory of a lookup."""
-    rows = hits.withColumn("version_key", V.version_key(F.col("version"), F.col("ecosystem")))
-    return _floor(rows, fixes, M.LOOKUP, "version_key")
+    """K2: smallest version that fixes every fixable issue of a lookup; ``hits`` (lookup, rank, identifier) of merged advisories."""
+    return _floor(hits, fixes, M.LOOKUP)
 
 
-def installable_releases(releases: DataFrame) -> DataFrame:
-    """K3: parsable, not withdrawn releases with their key, stability and major; one row per spelling."""
-    eco, version = F.col("ecosystem"), F.col("version")
-    rows = releases.filter("installable").select(*PACKAGE, "version").distinct()
-    keyed = rows.select("*", F.explode(F.array_compact(F.array(V.version_key(version, eco)))).alias("release_key"))
-    return keyed.withColumns({"is_stable": ~V.is_prerelease(version, eco), "major": V.major_of(version, eco)})
+def installable_releases(releases: DataFrame, index: DataFrame) -> DataFrame:
+    """K3: parsable, not withdrawn releases with their rank, stability and major; one row per spelling."""
+    rows = releases.filter("installable").select(*PACKAGE, "version").distinct().join(index, M.LOOKUP)
+    return rows.select(*PACKAGE, "version", "rank", "n_ranks", (~F.col("is_prerelease")).alias("is_stable"), "major")
 
 
 def latest_releases(installable: DataFrame) -> DataFrame:
     """K3: newest stable release of each package."""
-    return installable.filter("is_stable").groupBy(*PACKAGE).agg(F.max_by("version", F.struct("release_key", "version")).alias("latest"))
+    return installable.filter("is_stable").groupBy(*PACKAGE).agg(F.max_by("version", F.struct("rank", "version")).alias("latest"))
 
 
-def latest_in_same_major(lookups: DataFrame, installable: DataFrame) -> DataFrame:
+def latest_in_same_major(lookups: DataFrame, installable: DataFrame, index: DataFrame) -> DataFrame:
     """K4: newest stable release with the major of the current version; aggregated before the join."""
     per = installable.filter("is_stable").groupBy(*PACKAGE, "major").agg(
-        F.max_by("version", F.struct("release_key", "version")).alias("latest_same_major")
+        F.max_by("version", F.struct("rank", "version")).alias("latest_same_major")
     )
-    rows = lookups.select(*M.LOOKUP, V.major_of(F.col("version"), F.col("ecosystem")).alias("major"))
+    rows = lookups.select(*M.LOOKUP).join(index.select(*M.LOOKUP, "major"), M.LOOKUP, "left")
     return rows.join(per, [*PACKAGE, "major"], "left").select(*M.LOOKUP, "latest_same_major")
 
 
-def snap_to_release(floors: DataFrame, installable: DataFrame) -> DataFrame:
-    """K5: (package, floor, floor_key, snapped, snapped_key): smallest stable release not below each distinct floor.
+def next_releases(installable: DataFrame, index: DataFrame) -> DataFrame:
+    """(package, rank, release, release_rank): the smallest stable release not below each rank of the index.
 
-    Without such a release the floor stays. The as-of join runs on distinct floors of a package only.
+    One window over the ranks of a package turns every as-of search of a run into an equi-join.
     """
-    wanted = floors.select(*PACKAGE, "floor", "floor_key").distinct()
-    stable = installable.filter("is_stable").select(*PACKAGE, F.col("version").alias("release"), "release_key")
-    best = (
-        wanted.join(stable, PACKAGE)
-        .filter(F.col("release_key") >= F.col("floor_key"))
-        .groupBy(*PACKAGE, "floor")
-        .agg(F.min(F.struct("release_key", "release")).alias("r"))
-    )
-    rows = wanted.join(best, [*PACKAGE, "floor"], "left")
-    return rows.select(
-        *PACKAGE,
-        "floor",
-        F.coalesce("r.release", "floor").alias("snapped"),
-        F.coalesce("r.release_key", "floor_key").alias("snapped_key"),
-    )
+    stable = installable.filter("is_stable").groupBy(*PACKAGE, "rank").agg(F.min("version").alias("release"))
+    known = index.select(*PACKAGE, "rank").distinct().join(stable, [*PACKAGE, "rank"], "left")
+    upwards = Window.partitionBy(*PACKAGE).orderBy(F.col("rank").desc())
+    here = F.when(F.col("release").isNotNull(), F.struct(F.col("rank").alias("release_rank"), "release"))
+    rows = known.withColumn("_next", F.last(here, ignorenulls=True).over(upwards)).filter("_next IS NOT NULL")
+    return rows.select(*PACKAGE, "rank", "_next.release", "_next.release_rank")
 
 
-def snap_note(floor: Column, snapped: Column, reason: Column) -> Column:
-    """K5: why another version than the fix itself is used."""
-    why = F.coalesce(F.concat(F.lit("deprecated on the registry: "), reason), F.lit("not published (yanked or missing)"))
-    return F.when(snapped != floor, F.concat(F.lit("fixed version "), floor, F.lit(" is "), why, F.lit("; using "), snapped, F.lit(" instead")))
+def _snapped(rows: DataFrame, upcoming: DataFrame, version: str, rank: str) -> DataFrame:
+    """``rows`` with snapped and snapped_rank: the next release, or the version itself where there is none."""
+    met = rows.join(upcoming.withColumnRenamed("rank", rank), [*PACKAGE, rank], "left")
+    return met.withColumns({"snapped": F.coalesce("release", version), "snapped_rank": F.coalesce("release_rank", rank)}).drop("release", "release_rank")
 
 
-def _check(candidates: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Advisories that still cover a candidate: (package, candidate, identifier)."""
-    lookups = candidates.select(*PACKAGE, F.col("candidate").alias("version"), F.col("candidate_key").alias("version_key")).distinct()
-    return M.advisory_match(lookups, ranges).withColumnRenamed("version", "candidate")
+def snap_to_release(floors: DataFrame, upcoming: DataFrame) -> DataFrame:
+    """K5: (package, floor, floor_rank, snapped, snapped_rank): smallest stable release not below each distinct floor.
 
+    ``upcoming`` are ``next_releases``. Without such a release the floor stays.
+    """
+    return _snapped(floors.select(*PACKAGE, "floor", "floor_rank").distinct(), upcoming, "floor", "floor_rank")
 
-def next_fixed_version(candidates: DataFrame, hits: DataFrame, fixes: DataFrame) -> DataFrame:
-    """K7: max over the remaining advisories of the smallest fix above the candidate."""
-    keys = [*PACKAGE, "candidate"]
-    rows = hits.join(candidates.select(*keys, "candidate_key").distinct(), keys)
-    return _floor(rows, fixes, keys, "candidate_key")
 
+def next_fixed_version(hits: DataFrame, fixes: DataFrame) -> DataFrame:
+    """K7: max over the remaining issues of the smallest fix above the candidate; ``hits`` (package, candidate, rank, identifier)."""
+    return _floor(hits, fixes, [*PACKAGE, "candidate"])
 
-def verify_candidates(starts: DataFrame, ranges: DataFrame, installable: DataFrame, unanswered: DataFrame | None = None) -> DataFrame:
-    """K6: (package, start, candidate, verified, remaining[]) of distinct start versions.
 
-    Each round checks the still open candidates of all packages at once and moves the vulnerable ones to their next
-    fix. true = no advisory left, false = still affected without a further fix, null = no advisory known, but the lookup
-    of the candidate is among the ``unanswered`` (ecosystem, norm_name, version). A move strictly rises through the finite
-    list of fixes and releases, so the rounds end by themselves when no row is open.
+def verify_candidates(
+    starts: DataFrame, spans: DataFrame, fixes: DataFrame, upcoming: DataFrame, unanswered: DataFrame | None = None
+) -> DataFrame:
+    """K6: (package, start, candidate, candidate_rank, verified, remaining[]) of distinct (package, snapped, snapped_rank).
+
+    A vulnerable candidate moves to its next fix, snapped to a release. All places that any start can ever come to are the
+    starts and the snapped fixes, so every place is checked once, in one join, and gets its next one; the way of a start is
+    then followed with doubling steps over that small table. true = no advisory left, false = still affected without a
+    further fix, null = no advisory known, but the lookup of the candidate is among the ``unanswered`` (lookup). A move
+    strictly rises, so every way ends.
     """
-    fixes = fix_rows(ranges)
+    own = starts.select(*PACKAGE, F.col("snapped").alias("candidate"), F.col("snapped_rank").alias("rank")).distinct()
+    fixed = _snapped(fixes.select(*PACKAGE, "fixed", "fix_rank").distinct(), upcoming, "fixed", "fix_rank")
+    places = own.unionByName(fixed.select(*PACKAGE, F.col("snapped").alias("candidate"), F.col("snapped_rank").alias("rank"))).distinct()
+    places = cut_lineage(places.join(spans.select(*PACKAGE, "n_ranks").distinct(), PACKAGE, "left"))
     keys = [*PACKAGE, "candidate"]
-    missing = None
-    if unanswered is not None:
-        missing = unanswered.select(*PACKAGE, F.col("version").alias("candidate")).distinct().withColumn("_missing", F.lit(True))
-    open_rows = starts.select(
-        *PACKAGE, F.col("snapped").alias("start"), F.col("snapped").alias("candidate"), F.col("snapped_key").alias("candidate_key"),
-        F.array().cast("array<string>").alias("remaining"),
-    ).distinct()
-    done: DataFrame | None = None
+    hits = cut_lineage(ranks.covering(places.filter("n_ranks IS NOT NULL"), spans, ["identifier"]).distinct())
+    moves = _snapped(next_fixed_version(hits, fixes), upcoming, "floor", "floor_rank").select(*keys, F.col("snapped").alias("to"))
+    ways = cut_lineage(places.select(*keys, "rank").join(moves, keys, "left").select(*keys, F.coalesce("to", "candidate").alias("to")))
     while True:
-        open_rows = cut_lineage(open_rows)
-        if open_rows.isEmpty():
+        ahead = ways.select(*PACKAGE, F.col("candidate").alias("to"), F.col("to").alias("_further"))
+        farther = cut_lineage(ways.join(ahead, [*PACKAGE, "to"]).select(*keys, F.col("_further").alias("to"), (F.col("_further") != F.col("to")).alias("_moved")))
+        ways = farther.drop("_moved")
+        if farther.filter("_moved").isEmpty():
             break
-        hits = cut_lineage(_check(open_rows, ranges))
-        left = hits.groupBy(*keys).agg(F.array_sort(F.collect_set("identifier")).alias("found"))
-        floors = next_fixed_version(open_rows, hits, fixes)
-        snapped = snap_to_release(floors, installable)
-        step = floors.join(snapped, [*PACKAGE, "floor"]).select(*keys, "snapped", "snapped_key")
-        rows = open_rows.join(left, keys, "left").join(step, keys, "left")
-        rows = rows.withColumn("_missing", F.lit(None).cast("boolean")) if missing is None else rows.join(missing, keys, "left")
-        rows = cut_lineage(rows)  # both branches read it
-        verdict = F.when(F.col("found").isNotNull(), F.lit(False)).when(F.col("_missing").isNull(), F.lit(True))
-        closed = rows.filter("found IS NULL OR snapped IS NULL").select(
-            *PACKAGE, "start", "candidate", "candidate_key", verdict.alias("verified"),
-            F.coalesce("found", F.array().cast("array<string>")).alias("remaining"),
-        )
-        done = closed if done is None else done.unionByName(closed)
-        open_rows = rows.filter("found IS NOT NULL AND snapped IS NOT NULL").select(
-            *PACKAGE, "start", F.col("snapped").alias("candidate"), F.col("snapped_key").alias("candidate_key"), F.col("found").alias("remaining")
-        )
-    none = open_rows.select(*PACKAGE, "start", "candidate", "candidate_key", F.lit(False).alias("verified"), "remaining")
-    return none if done is None else done
+    left = hits.groupBy(*keys).agg(F.array_sort(F.collect_set("identifier")).alias("remaining"))
+    ends = own.select(*PACKAGE, F.col("candidate").alias("start")).join(ways.withColumnsRenamed({"candidate": "start", "to": "candidate"}), [*PACKAGE, "start"])
+    rows = ends.join(places.select(*keys, F.col("rank").alias("candidate_rank")), keys).join(left, keys, "left")
+    verdict = F.when(F.col("remaining").isNotNull(), F.lit(False))
+    if unanswered is None:
+        verdict = verdict.otherwise(F.lit(True))
+    else:
+        missing = unanswered.select(*PACKAGE, F.col("version").alias("candidate")).distinct().withColumn("_missing", F.lit(True))
+        rows = rows.join(missing, keys, "left")
+        verdict = verdict.when(F.col("_missing").isNull(), F.lit(True))
+    return rows.select(
+        *PACKAGE, "start", "candidate", "candidate_rank", verdict.alias("verified"), F.coalesce("remaining", F.array().cast("array<string>")).alias("remaining")
+    )
 
 
-def select_candidates(hits: DataFrame, ranges: DataFrame, installable: DataFrame, unanswered: DataFrame | None = None) -> DataFrame:
+def select_candidates(
+    hits: DataFrame, spans: DataFrame, fixes: DataFrame, installable: DataFrame, index: DataFrame, unanswered: DataFrame | None = None
+) -> DataFrame:
     """K2-K9 for every vulnerable lookup: minimum, verified candidate, allowed versions and the preferred one."""
-    floors = minimum_fixed_version(hits, fix_rows(ranges))
-    floors = cut_lineage(floors.join(snap_to_release(floors, installable), [*PACKAGE, "floor"]))
-    verified = verify_candidates(floors, ranges, installable, unanswered)
+    upcoming = cut_lineage(next_releases(installable, index))
+    floors = cut_lineage(_snapped(minimum_fixed_version(hits, fixes), upcoming, "floor", "floor_rank"))
+    verified = verify_candidates(floors, spans, fixes, upcoming, unanswered)
     rows = floors.select(*M.LOOKUP, "floor", F.col("snapped").alias("start"), "fixable").join(verified, [*PACKAGE, "start"])
     rows = rows.withColumnRenamed("start", "minimum_fixed_version")
-    rows = rows.join(latest_in_same_major(rows, installable), M.LOOKUP, "left").join(latest_releases(installable), PACKAGE, "left")
-    return choose_version(rows, safe_versions(rows, ranges))
+    rows = with_latest(rows, installable, index)
+    return choose_version(rows, safe_versions(rows, spans, index), index)
 
 
-def safe_versions(candidates: DataFrame, ranges: DataFrame) -> DataFrame:
-    """K8: (lookup, option, option_key) among candidate, newest of the major and newest that may be proposed.
+def with_latest(candidates: DataFrame, installable: DataFrame, index: DataFrame) -> DataFrame:
+    """K3, K4 on candidates: the newest releases of the package and of the current major."""
+    rows = candidates.join(latest_in_same_major(candidates, installable, index), M.LOOKUP, "left")
+    return rows.join(latest_releases(installable), PACKAGE, "left")
 
-    The candidate counts when it is verified, or unverified because lookups were down (null). The others must be
-    above it and without advisories; with lookups down they count unverified.
+
+def safe_versions(candidates: DataFrame, spans: DataFrame, index: DataFrame) -> DataFrame:
+    """K8: (lookup, option, option_rank) among candidate, newest of the major and newest that may be proposed.
+
+    The candidate counts when it is verified, or unverified because lookups were down (null). The others must be above it
+    and in a gap of the package's vulnerable ranges (``union_spans``); with lookups down they count unverified.
     """
-    eco = F.col("ecosystem")
-    base = candidates.select(*M.LOOKUP, "candidate", "candidate_key", "verified", "latest_same_major", "latest")
-    own = base.filter("verified OR verified IS NULL").select(*M.LOOKUP, F.col("candidate").alias("option"), F.col("candidate_key").alias("option_key"))
-    extra = base.select(*M.LOOKUP, "candidate_key", "verified", F.explode(F.array_compact(F.array_distinct(F.array("latest_same_major", "latest")))).alias("option"))
-    extra = extra.withColumn("option_key", V.version_key(F.col("option"), eco)).filter(F.col("option_key") > F.col("candidate_key"))
-    asked = extra.select(*PACKAGE, F.col("option").alias("candidate"), F.col("option_key").alias("candidate_key"))
-    bad = _check(asked, ranges).select(*PACKAGE, F.col("candidate").alias("option")).distinct().withColumn("_bad", F.lit(True))
-    extra = extra.join(bad, [*PACKAGE, "option"], "left").filter("verified IS NULL OR _bad IS NULL")
-    return own.unionByName(extra.select(*M.LOOKUP, "option", "option_key"))
-
-
-def choose_version(candidates: DataFrame, safe: DataFrame) -> DataFrame:
+    base = candidates.select(*M.LOOKUP, "candidate", "candidate_rank", "verified", "latest_same_major", "latest")
+    own = base.filter("verified OR verified IS NULL").select(*M.LOOKUP, F.col("candidate").alias("option"), F.col("candidate_rank").alias("option_rank"))
+    extra = base.select(*M.LOOKUP, "candidate_rank", "verified", F.explode(F.array_compact(F.array_distinct(F.array("latest_same_major", "latest")))).alias("option"))
+    ranked = index.select(*PACKAGE, F.col("version").alias("option"), F.col("rank").alias("option_rank"), "n_ranks")
+    extra = extra.join(ranked, [*PACKAGE, "option"]).filter(F.col("option_rank") > F.col("candidate_rank"))
+    asked = extra.select(*PACKAGE, F.col("option_rank").alias("rank"), "n_ranks").distinct()
+    bad = ranks.covering(asked, ranks.union_spans(spans), []).select(*PACKAGE, F.col("rank").alias("option_rank"), F.lit(True).alias("_bad"))
+    extra = extra.join(bad, [*PACKAGE, "option_rank"], "left").filter("verified IS NULL OR _bad IS NULL")
+    return own.unionByName(extra.select(*M.LOOKUP, "option", "option_rank"))
+
+
+def choose_version(candidates: DataFrame, safe: DataFrame, index: DataFrame) -> DataFrame:
     """K9: lowest safe version of the current major, else lowest safe one, else the unsafe candidate."""
-    eco = F.col("ecosystem")
-    same = F.coalesce(V.major_of(F.col("option"), eco) == V.major_of(F.col("version"), eco), F.lit(False))
-    picked = safe.groupBy(*M.LOOKUP).agg(
-        F.min_by("option", F.struct((~same).alias("other"), F.col("option_key"))).alias("_preferred"),
-        F.transform(F.array_sort(F.collect_list(F.struct("option_key", "option"))), lambda s: s["option"]).alias("_allowed"),
+    major = index.select(*M.LOOKUP, "major")
+
+    def with_major(rows: DataFrame, version: str, name: str) -> DataFrame:
+        return rows.join(major.withColumnsRenamed({"version": version, "major": name}), [*PACKAGE, version], "left")
+
+    options = with_major(with_major(safe, "version", "_major"), "option", "_option_major")
+    same = F.coalesce(F.col("_option_major") == F.col("_major"), F.lit(False))
+    picked = options.groupBy(*M.LOOKUP).agg(
+        F.min_by("option", F.struct((~same).alias("other"), F.col("option_rank"), F.col("option"))).alias("_preferred"),
+        F.transform(F.array_sort(F.collect_set(F.struct("option_rank", "option"))), lambda s: s["option"]).alias("_allowed"),
     )
-    rows = candidates.join(picked, M.LOOKUP, "left")
-    preferred = F.coalesce("_preferred", "candidate")
+    rows = candidates.join(picked, M.LOOKUP, "left").withColumn("preferred_version", F.coalesce("_preferred", "candidate"))
+    rows = with_major(with_major(rows, "version", "_major"), "preferred_version", "_preferred_major")
     return rows.withColumns(
         {
-            "preferred_version": preferred,
             "allowed_versions": F.coalesce("_allowed", F.array().cast("array<string>")),
             "verified_safe": F.when(F.col("_preferred").isNull(), F.lit(False)).when(F.col("verified").isNotNull(), F.lit(True)),
-            "same_major": V.major_of(preferred, eco) == V.major_of(F.col("version"), eco),
+            "same_major": F.col("_preferred_major") == F.col("_major"),
         }
-    ).drop("_preferred", "_allowed")
+    ).drop("_preferred", "_allowed", "_major", "_preferred_major")
 
 
 def deterministic_recommendation(candidates: DataFrame) -> DataFrame:

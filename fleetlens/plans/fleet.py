@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +11,125 @@ from fleetlens.functions import scores as S
 from fleetlens.operators import matching as M
 from fleetlens.operators import risk as R
 from fleetlens.operators import advisories as A
-from fleetlens.operators.advisories import with_range_keys
+from fleetlens.operators import ranks
+from fleetlens.operators import remediate as K
 from fleetlens.functions import versions as V
 from fleetlens.plans.bindings import fixture
-from fleetlens.session import cut_lineage
+from fleetlens.session import shared_dir
+from fleetlens.skew import hot_keys, salted_join
+
+
+class MatchRun:
+    """The stored tables of one matching run over a snapshot: each is computed once, whichever query asks first.
+
+    ``dependencies`` with normalised names, ``counted`` lookups, the version ``index``, the ``names`` and ``merged`` records
+    of alias groups, ``spans`` and ``fixes`` of merged advisories, canonical ``hits`` and ``statuses``. They are Parquet
+    tables below the shared folder, so a lost executor costs a read and no query plans the matching again.
+    """
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
+        self.folder = f"{shared_dir(spark)}/match-{uuid.uuid4().hex}"
+        self.tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            rows = getattr(self, f"_{name}")()
+            rows.write.parquet(f"{self.folder}/{name}")
+            self.tables[name] = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+        return self.tables[name]
+
+    def _dependencies(self) -> DataFrame:
+        return M.with_lookup_key(fixture(self.spark, self.d, "fx_dependencies"))
+
+    def _counted(self) -> DataFrame:
+        return M.count_lookups(self.table("dependencies"))
+
+    def _ranges(self) -> DataFrame:
+        return fixture(self.spark, self.d, "fx_advisories").select(
+            "identifier",
+            "ecosystem",
+            V.normalize_package_name(F.col("package_name"), F.col("ecosystem")).alias("norm_name"),
+            F.lit("ECOSYSTEM").alias("range_type"),
+            "introduced",
+            "fixed",
+            F.lit(None).cast("string").alias("last_affected"),
+        )
+
+    def _releases(self) -> DataFrame:
+        name = V.normalize_package_name(F.col("package_name"), F.col("ecosystem")).alias("norm_name")
+        return fixture(self.spark, self.d, "fx_releases").select("ecosystem", name, "version", (~F.col("withdrawn")).alias("installable"))
+
+    def _index(self) -> DataFrame:
+        return ranks.version_index(self.table("counted"), self.table("releases"), ranks.bound_versions(self.table("ranges")))
+
+    def _lookups(self) -> DataFrame:
+        return self.table("counted").join(self.table("index").select(*M.LOOKUP, "version_key", "rank", "n_ranks"), M.LOOKUP)
+
+    def _records(self) -> DataFrame:
+        return scored_advisories(self.spark, self.d).select(
+            "identifier",
+            F.array_compact(F.array("alias")).alias("aliases"),
+            "severity",
+            "cvss_score",
+            "cvss_vector",
+            F.lit(None).cast("timestamp").alias("published_at"),
+        )
+
+    def _groups(self) -> DataFrame:
+        return A.alias_groups(self.table("records").select("identifier", "aliases"))
+
+    def _names(self) -> DataFrame:
+        return A.canonical_map(self.table("records"), self.table("groups"))
+
+    def _merged(self) -> DataFrame:
+        return A.merge_group(self.table("records"), self.table("groups")).select("identifier", "severity", "cvss_score")
+
+    def _issue_ranges(self) -> DataFrame:
+        """Intervals under the canonical name of their issue."""
+        named = self.table("ranges").join(self.table("names"), "identifier", "left")
+        return named.withColumn("identifier", F.coalesce("canonical", "identifier")).drop("canonical").distinct()
+
+    def _spans(self) -> DataFrame:
+        return ranks.rank_spans(self.table("issue_ranges"), self.table("index"))
+
+    def _fixes(self) -> DataFrame:
+        return K.safe_fixes(self.table("issue_ranges"), self.table("index"))
+
+    def _installable(self) -> DataFrame:
+        return K.installable_releases(self.table("releases"), self.table("index"))
+
+    def _upcoming(self) -> DataFrame:
+        return K.next_releases(self.table("installable"), self.table("index"))
+
+    def _hits(self) -> DataFrame:
+        found = ranks.covering(self.table("lookups").select(*M.LOOKUP, "rank", "n_ranks"), self.table("spans"), ["identifier"])
+        return found.select(*M.LOOKUP, "rank", "identifier").distinct().join(self.table("merged"), "identifier")
+
+    def _statuses(self) -> DataFrame:
+        return M.lookup_status(self.table("lookups"), self.table("hits"))
+
+    def _hot(self) -> DataFrame:
+        return hot_keys(self.table("counted"), "n_dependencies").select(*M.LOOKUP)
+
+
+_RUNS: dict[tuple, MatchRun] = {}
+
+
+def run(spark: SparkSession, d: str) -> MatchRun:
+    """The run of this session over the snapshot in ``d``; changed files are another snapshot."""
+    files = []
+    for name in ("lineitem", "part"):
+        seen = F.struct("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string"))
+        files += spark.read.parquet(f"{d}/{name}.parquet").agg(F.count("*"), F.min(seen), F.max(seen)).first()
+    key = (spark.sparkContext.applicationId, d, *files)
+    if key not in _RUNS:
+        _RUNS[key] = MatchRun(spark, d)
+    return _RUNS[key]
 
 
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return M.with_lookup_key(fixture(spark, d, "fx_dependencies"))
+    return run(spark, d).table("dependencies")
 
 
 def scored_advisories(spark: SparkSession, d: str) -> DataFrame:
@@ -24,66 +137,40 @@ def scored_advisories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranges(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, d, "fx_advisories").select(
-        "identifier",
-        "ecosystem",
-        V.normalize_package_name(F.col("package_name"), F.col("ecosystem")).alias("norm_name"),
-        F.lit("ECOSYSTEM").alias("range_type"),
-        "introduced",
-        "fixed",
-        F.lit(None).cast("string").alias("last_affected"),
-    )
-    return with_range_keys(rows)
+    return run(spark, d).table("ranges")
 
 
 def lookups(spark: SparkSession, d: str) -> DataFrame:
-    return M.distinct_lookups(dependencies(spark, d))
+    return run(spark, d).table("lookups")
 
 
 def raw_hits(spark: SparkSession, d: str) -> DataFrame:
     """(ecosystem, norm_name, version, identifier): every advisory record that matches, aliases apart."""
-    return M.advisory_match(lookups(spark, d), ranges(spark, d))
+    own = run(spark, d)
+    return M.advisory_match(own.table("lookups"), own.table("ranges"), index=own.table("index"))
 
 
 def canonical(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(identifier -> canonical, canonical identifier with merged severity and score): aliases merged once, E4-E8."""
-    records = scored_advisories(spark, d).select(
-        "identifier",
-        F.array_compact(F.array("alias")).alias("aliases"),
-        "severity",
-        "cvss_score",
-        "cvss_vector",
-        F.lit(None).cast("timestamp").alias("published_at"),
-    )
-    groups = A.alias_groups(records.select("identifier", "aliases"))
-    merged = A.merge_group(records, groups).select("identifier", "severity", "cvss_score")
-    return cut_lineage(A.canonical_map(records, groups)), merged
+    own = run(spark, d)
+    return own.table("names"), own.table("merged")
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """(ecosystem, norm_name, version, identifier, severity, cvss_score), one row per issue whatever its names."""
-    names, merged = canonical(spark, d)
-    return M.canonical_hits(raw_hits(spark, d), names).join(merged, "identifier")
+    return run(spark, d).table("hits").drop("rank")
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
-    return classified_with_hits(spark, d)[0]
-
-
-def classified_with_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(classified dependencies, canonical hits) from one matching run."""
-    # one row per distinct version: written once, read by the hot-key count and by the join
-    asked = cut_lineage(lookups(spark, d))
-    found = cut_lineage(M.advisory_match(asked, ranges(spark, d), canonical=canonical(spark, d)[0]))
-    statuses = cut_lineage(M.lookup_status(asked, found))
-    return M.classify_dependencies(dependencies(spark, d), statuses), found
+    own = run(spark, d)
+    return M.classify_dependencies(own.table("dependencies"), own.table("statuses"), hot=own.table("hot"))
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    return M.create_findings(dependencies(spark, d), hits(spark, d))
+    return M.create_findings(dependencies(spark, d), hits(spark, d), hot=run(spark, d).table("hot"))
 
 
-def fleet_risk(deps: DataFrame, analyses: DataFrame, hit_rows: DataFrame) -> DataFrame:
+def fleet_risk(deps: DataFrame, analyses: DataFrame, hit_rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Overall risk of every analysis with how much of it is vulnerable.
 
     Findings are counted per (analysis, lookup) without being written out: the hits of a lookup are first reduced
@@ -92,9 +179,9 @@ def fleet_risk(deps: DataFrame, analyses: DataFrame, hit_rows: DataFrame) -> Dat
     per_lookup = hit_rows.groupBy(*M.LOOKUP).agg(
         F.count("*").alias("n_hits"), F.max(S.risk_rank(M.provisional_risk(F.col("severity")))).alias("worst")
     )
+    met = deps.join(per_lookup, M.LOOKUP, "left") if hot is None else salted_join(deps, per_lookup, M.LOOKUP, hot, "left")
     per_analysis = (
-        deps.join(per_lookup, M.LOOKUP, "left")
-        .groupBy("analysis_id")
+        met.groupBy("analysis_id")
         .agg(
             F.count("*").alias("dependencies"),
             F.count("n_hits").alias("vulnerable"),

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.session import cut_lineage
+
 #: Spark turns ``row_number() <= n`` into a per-partition limit before the shuffle up to this n.
 GROUP_LIMIT = 1000
 SALTS = 32
@@ -47,6 +49,23 @@ def top_per_key(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
+def number_in_key(df: DataFrame, keys: Sequence[str], order: str, number: str, total: str) -> DataFrame:
+    """``df`` (distinct in keys and order) with the place of each row in its key, from 0, and the rows of the key.
+
+    The rows are range-partitioned by key and order and numbered inside their range; the ranges of a key are few and add up
+    in a small window, so a key with most of the rows is numbered by many tasks.
+    """
+    ranged = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1
+    parts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"))
+    of_key = Window.partitionBy(*keys)
+    before = F.sum("_rows").over(of_key.orderBy("_part")) - F.col("_rows")
+    parts = parts.select(*keys, "_part", before.alias("_before"), F.sum("_rows").over(of_key).alias(total))
+    rows = ranged.withColumn("_inside", inside).join(parts, [*keys, "_part"])
+    return rows.withColumn(number, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+
+
 def hot_keys(counts: DataFrame, n: str, max_keys: int = 256) -> DataFrame:
     """Keys of a (key…, count) frame that hold more than ``1 / max_keys`` of the total: fewer than ``max_keys`` rows."""
     total = counts.agg(F.sum(n)).scalar()

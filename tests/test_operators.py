@@ -8,6 +8,7 @@ from fleetlens.operators import advisories as A
 from fleetlens.operators import extract_npm as N
 from fleetlens.operators import graph as G
 from fleetlens.operators import matching as M
+from fleetlens.operators import ranks as RK
 from fleetlens.operators import remediate as K
 from fleetlens.skew import first_per_key, hot_keys, salted_join, top_per_key
 
@@ -113,6 +114,19 @@ def brute_verify(start, ranges, releases, rounds=5):
     return candidate, False
 
 
+RELEASES = "ecosystem string, norm_name string, version string, installable boolean"
+
+
+def verified(spark, ranges, releases, starts, unanswered=None):
+    """``verify_candidates`` of start versions of one npm package, from plain rows."""
+    rel = spark.createDataFrame([("npm", "p", r, True) for r in releases], RELEASES)
+    df = spark.createDataFrame([("npm", "p", s) for s in starts], "ecosystem string, norm_name string, version string")
+    index = RK.version_index(df, rel, RK.bound_versions(ranges))
+    df = df.join(index.select(*M.LOOKUP, "rank"), M.LOOKUP).withColumnsRenamed({"version": "snapped", "rank": "snapped_rank"})
+    upcoming = K.next_releases(K.installable_releases(rel, index), index)
+    return K.verify_candidates(df, RK.rank_spans(ranges, index), K.safe_fixes(ranges, index), upcoming, unanswered)
+
+
 def test_verify_loop_matches_brute_force(spark):
     rng = random.Random(11)
     for _ in range(3):
@@ -123,11 +137,8 @@ def test_verify_loop_matches_brute_force(spark):
             rows.append((f"A{i}", f"{low}.0.0", fixed, None, "SEMVER"))
         releases = [f"{rng.randint(0, 14)}.{rng.randint(0, 3)}.0" for _ in range(9)]
         ranges = make_ranges(spark, rows)
-        inst = K.installable_releases(spark.createDataFrame([("npm", "p", r, True) for r in releases], "ecosystem string, norm_name string, version string, installable boolean"))
         starts = ["1.0.0", "3.2.0", "6.0.0"]
-        df = spark.createDataFrame([("npm", "p", s) for s in starts], "ecosystem string, norm_name string, snapped string")
-        df = df.withColumn("snapped_key", K.V.version_key(F.col("snapped"), F.col("ecosystem")))
-        got = {r.start: (r.candidate, r.verified) for r in K.verify_candidates(df, ranges, inst).collect()}
+        got = {r.start: (r.candidate, r.verified) for r in verified(spark, ranges, releases, starts).collect()}
         assert got == {s: brute_verify(s, rows, releases) for s in starts}
 
 
@@ -270,9 +281,37 @@ def test_npm_files_that_cannot_be_read_are_warnings(spark):
 
 def test_an_unanswered_candidate_is_neither_safe_nor_affected(spark):
     ranges = make_ranges(spark, [("A", "1.0.0", "2.0.0", None, "SEMVER"), ("B", "2.0.0", "3.0.0", None, "SEMVER")])
-    inst = K.installable_releases(spark.createDataFrame([("npm", "p", "4.0.0", True)], "ecosystem string, norm_name string, version string, installable boolean").filter("version <> '4.0.0'"))
-    df = spark.createDataFrame([("npm", "p", s) for s in ("1.0.0", "5.0.0")], "ecosystem string, norm_name string, snapped string")
-    df = df.withColumn("snapped_key", K.V.version_key(F.col("snapped"), F.col("ecosystem")))
     down = spark.createDataFrame([("npm", "p", "2.0.0"), ("npm", "p", "3.0.0")], "ecosystem string, norm_name string, version string")
-    got = {r.start: (r.candidate, r.verified) for r in K.verify_candidates(df, ranges, inst, down).collect()}
+    got = {r.start: (r.candidate, r.verified) for r in verified(spark, ranges, [], ["1.0.0", "5.0.0"], down).collect()}
     assert got == {"1.0.0": ("3.0.0", None), "5.0.0": ("5.0.0", True)}
+
+
+def test_a_fix_inside_another_interval_of_its_issue_is_none(spark):
+    """E7 in the search: 1.5.0 closes one interval of A, but lies in another; B's own interval does not matter to A."""
+    rows = [("A", "1.0.0", "1.5.0", None, "SEMVER"), ("A", "1.2.0", "2.0.0", None, "SEMVER"), ("A", "4.0.0", None, None, "SEMVER"), ("B", "1.9.0", "3.0.0", None, "SEMVER"), ("B", None, "9.0.0", None, "GIT")]
+    ranges = make_ranges(spark, rows)
+    rel = spark.createDataFrame([("npm", "p", v, True) for v in ("2.5.0", "3.1.0")], RELEASES)
+    index = RK.version_index(rel, RK.bound_versions(ranges))
+    assert sorted((r.identifier, r.fixed) for r in K.safe_fixes(ranges, index).collect()) == [("A", "2.0.0"), ("B", "3.0.0")]
+    rows = {r.start: r for r in verified(spark, ranges, ["2.5.0", "3.1.0"], ["1.0.0", "1.3.0", "4.1.0"]).collect()}
+    assert {s: (r.candidate, r.verified, r.remaining) for s, r in rows.items()} == {
+        "1.0.0": ("3.1.0", True, []), "1.3.0": ("3.1.0", True, []), "4.1.0": ("4.1.0", False, ["A"]),
+    }
+
+
+def test_a_long_way_of_fixes_is_followed_to_its_end(spark):
+    """Forty issues, each opened where the last one is fixed: the search doubles its steps."""
+    ranges = make_ranges(spark, [(f"A{k:02d}", f"{k}.0.0", f"{k + 1}.0.0", None, "SEMVER") for k in range(1, 41)])
+    rows = {r.start: (r.candidate, r.verified) for r in verified(spark, ranges, [], ["1.0.0", "17.3.0", "41.0.0"]).collect()}
+    assert rows == {"1.0.0": ("41.0.0", True), "17.3.0": ("41.0.0", True), "41.0.0": ("41.0.0", True)}
+
+
+def test_gaps_between_vulnerable_ranges_are_safe(spark):
+    ranges = make_ranges(spark, [("A", "1.0.0", "2.0.0", None, "SEMVER"), ("B", "1.5.0", None, "2.5.0", "SEMVER"), ("C", "4.0.0", None, None, "SEMVER")])
+    options = ["2.0.0", "2.5.0", "3.0.0", "4.0.0", "5.0.0"]
+    rel = spark.createDataFrame([("npm", "p", v, True) for v in options], RELEASES)
+    index = RK.version_index(rel, RK.bound_versions(ranges))
+    rows = [("npm", "p", "1.0.0", "1.9.0", -1, True, v, None) for v in options]
+    schema = "ecosystem string, norm_name string, version string, candidate string, candidate_rank long, verified boolean, latest_same_major string, latest string"
+    got = K.safe_versions(spark.createDataFrame(rows, schema), RK.rank_spans(ranges, index), index)
+    assert sorted({r.option for r in got.collect()}) == ["1.9.0", "3.0.0"]

@@ -1,8 +1,8 @@
 """Ranked versions: a dense rank per package, intervals as rank ranges, and the joins that need no residual comparison.
 
 All versions of a package that a run knows (lookups, releases, bounds of intervals) are numbered once, in the order of
-their keys. An interval is then a range of whole numbers ``[lo, hi)``. A range falls into at most six aligned nodes of every
-level of a tree with four children per node, and a version lies in one node of each level, so "which intervals cover this
+their keys. An interval is then a range of whole numbers ``[lo, hi)``. A range falls into at most thirty aligned nodes of every
+level of a tree with sixteen children per node, and a version lies in one node of each level, so "which intervals cover this
 version" is an equi-join on (package, level, node): every pair that meets is a hit, nothing is compared in vain, and the
 versions of one hot package are spread over as many keys as they have nodes.
 """
@@ -16,28 +16,29 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import versions as V
 from fleetlens.session import cut_lineage
-from fleetlens.skew import number_in_key
+from fleetlens.skew import rank_in_key
 
 PACKAGE = ["ecosystem", "norm_name"]
 VERSION = [*PACKAGE, "version"]
-#: Bits of a tree level: four children per node.
-BITS = 2
+#: Bits of a tree level: sixteen children per node, as versions (a row per level) outnumber intervals.
+BITS = 4
 
 
 def version_index(*frames: DataFrame) -> DataFrame:
     """(package, version, version_key, rank, n_ranks, is_prerelease, major) of every valid version of the frames.
 
-    The one place where versions are parsed: each distinct spelling of a package's version once. Spellings of equal order
-    share a rank. ``n_ranks`` is the number of ranks of the package.
+    The one place where versions are parsed: each spelling of an ecosystem once, however many packages share it. Spellings
+    of equal order share a rank. ``n_ranks`` is the number of ranks of the package.
     """
     eco, version = F.col("ecosystem"), F.col("version")
     asked = reduce(DataFrame.unionByName, [f.select(*VERSION) for f in frames]).filter(version.isNotNull()).distinct()
-    keyed = asked.select(
+    asked = cut_lineage(asked)
+    parsed = asked.select("ecosystem", "version").distinct().select(
         "*", F.explode(F.array_compact(F.array(V.version_key(version, eco)))).alias("version_key"), V.is_prerelease(version, eco).alias("is_prerelease"), V.major_of(version, eco).alias("major")
     )
-    keyed = cut_lineage(keyed)
-    keys = number_in_key(keyed.select(*PACKAGE, "version_key").distinct(), PACKAGE, "version_key", "rank", "n_ranks")
-    return keyed.join(keys, [*PACKAGE, "version_key"]).select(*VERSION, "version_key", "rank", "n_ranks", "is_prerelease", "major")
+    keyed = asked.join(cut_lineage(parsed), ["ecosystem", "version"])
+    ranked = rank_in_key(keyed, PACKAGE, "version_key", "rank", "n_ranks")
+    return ranked.select(*VERSION, "version_key", F.col("rank").cast("long"), F.col("n_ranks").cast("long"), "is_prerelease", "major")
 
 
 def bound_versions(ranges: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def with_nodes(rows: DataFrame) -> DataFrame:
 
 
 def span_nodes(spans: DataFrame) -> DataFrame:
-    """The aligned nodes that make up every span (lo, hi, n_ranks): disjoint, and at most six on a level."""
+    """The aligned nodes that make up every span (lo, hi, n_ranks): disjoint, and at most thirty on a level."""
     size = 1 << BITS
     # nodes of a level that lie inside the span, from a to b; their parents that do, from c to d
     edges = f"""transform(sequence(0, _top), k -> named_struct('level', k,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,10 @@ class MatchRun:
         self.folder = f"{shared_dir(spark)}/match-{uuid.uuid4().hex}"
         self.tables: dict[str, DataFrame] = {}
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, build: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """The stored table of this name; ``build`` says how to make one that is not of the run itself."""
         if name not in self.tables:
-            rows = getattr(self, f"_{name}")()
+            rows = build() if build else getattr(self, f"_{name}")()
             rows.write.parquet(f"{self.folder}/{name}")
             self.tables[name] = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
         return self.tables[name]

@@ -49,21 +49,32 @@ def top_per_key(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def number_in_key(df: DataFrame, keys: Sequence[str], order: str, number: str, total: str) -> DataFrame:
-    """``df`` (distinct in keys and order) with the place of each row in its key, from 0, and the rows of the key.
+#: Rows of a key from which it is ranked by several tasks.
+RANKED_BY_ONE = 1_000_000
 
-    The rows are range-partitioned by key and order and numbered inside their range; the ranges of a key are few and add up
-    in a small window, so a key with most of the rows is numbered by many tasks.
+
+def rank_in_key(df: DataFrame, keys: Sequence[str], order: str, rank: str, total: str, by_one: int = RANKED_BY_ONE) -> DataFrame:
+    """``df`` with the dense rank of each row in its key, from 0, and the number of ranks of the key.
+
+    One window ranks the keys of up to ``by_one`` rows. Larger ones are range-partitioned by key and order, ranked inside
+    their ranges, and moved up by the ranks in the ranges before; rows of equal order lie in one range. Same result.
     """
-    ranged = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1
-    parts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"))
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > by_one).select(*keys)
+    large = cut_lineage(large)
     of_key = Window.partitionBy(*keys)
-    before = F.sum("_rows").over(of_key.orderBy("_part")) - F.col("_rows")
-    parts = parts.select(*keys, "_part", before.alias("_before"), F.sum("_rows").over(of_key).alias(total))
-    rows = ranged.withColumn("_inside", inside).join(parts, [*keys, "_part"])
-    return rows.withColumn(number, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+    ranked = df.withColumn(rank, F.dense_rank().over(of_key.orderBy(order)) - 1)
+    if large.isEmpty():
+        return ranked.withColumn(total, F.max(rank).over(of_key) + 1)
+    small = ranked.join(large, list(keys), "left_anti").withColumn(total, F.max(rank).over(of_key) + 1)
+    ranged = df.join(large, list(keys), "left_semi").repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    of_part = Window.partitionBy(*keys, "_part")
+    inside = ranged.withColumn("_inside", F.dense_rank().over(of_part.orderBy(order)) - 1)
+    parts = ranged.groupBy(*keys, "_part").agg(F.countDistinct(order).alias("_ranks"))
+    before = F.sum("_ranks").over(of_key.orderBy("_part")) - F.col("_ranks")
+    parts = parts.select(*keys, "_part", before.alias("_before"), F.sum("_ranks").over(of_key).alias(total))
+    rows = inside.join(parts, [*keys, "_part"]).withColumn(rank, F.col("_before") + F.col("_inside"))
+    return small.select(*df.columns, F.col(rank).cast("long"), F.col(total).cast("long")).unionByName(rows.select(*df.columns, rank, total))
 
 
 def hot_keys(counts: DataFrame, n: str, max_keys: int = 256) -> DataFrame:

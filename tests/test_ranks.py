@@ -7,20 +7,21 @@ import pytest
 from fleetlens.operators import ranks as R
 from fleetlens.operators.advisories import with_range_keys
 from fleetlens.operators import matching as M
+from fleetlens.skew import rank_in_key
 
 RANGES = "ecosystem string, norm_name string, identifier string, range_type string, introduced string, fixed string, last_affected string"
 
 
 def test_nodes_of_spans(spark):
     """Every span is its nodes: each rank inside meets exactly one of them, none outside does."""
-    spans = [("npm", f"p{n}", lo, hi, n) for n in (1, 2, 4, 5, 16, 17, 70) for lo in range(0, n, max(1, n // 9)) for hi in range(lo + 1, n + 1, max(1, n // 9))]
+    spans = [("npm", f"p{n}", lo, hi, n) for n in (1, 2, 15, 16, 17, 70, 300) for lo in range(0, n, max(1, n // 9)) for hi in range(lo + 1, n + 1, max(1, n // 9))]
     df = spark.createDataFrame(spans, "ecosystem string, norm_name string, lo long, hi long, n_ranks long")
-    asked = [("npm", f"p{n}", r, n) for n in (1, 2, 4, 5, 16, 17, 70) for r in range(n)]
+    asked = [("npm", f"p{n}", r, n) for n in (1, 2, 15, 16, 17, 70, 300) for r in range(n)]
     rows = spark.createDataFrame(asked, "ecosystem string, norm_name string, rank long, n_ranks long")
     got = sorted((r.norm_name, r["rank"], r.lo, r.hi) for r in R.covering(rows, df, ["lo", "hi"]).collect())
     assert got == sorted((p, r, lo, hi) for _, p, r, _ in asked for _, q, lo, hi, _ in spans if p == q and lo <= r < hi)
     per_level = R.span_nodes(df).groupBy("norm_name", "lo", "hi", "level").count()
-    assert per_level.agg({"count": "max"}).first()[0] <= 6
+    assert per_level.agg({"count": "max"}).first()[0] <= 30
 
 
 def test_union_of_spans(spark):
@@ -41,6 +42,15 @@ def test_index_ranks_each_package_apart(spark):
     assert got["npm", "1.0.0-rc.1"][0] == 0 and got["npm", "1.0.0-rc.1"][2] and got["npm", "1.0.0"][0] == 1 and ("npm", "bad") not in got
 
 
+def test_ranks_of_large_keys_are_those_of_one_window(spark):
+    rows = [("a" if k % 3 else "b", f"{(k * 7919) % 400:03d}", k) for k in range(1200)] + [("c", "x", 0)]
+    df = spark.createDataFrame(rows, "k string, v string, n int").repartition(6)
+    want = sorted(tuple(r) for r in rank_in_key(df, ["k"], "v", "rank", "total").collect())
+    assert sorted(tuple(r) for r in rank_in_key(df, ["k"], "v", "rank", "total", by_one=50).collect()) == want
+    order = {k: sorted({v for x, v, _ in rows if x == k}) for k in "abc"}
+    assert want == sorted((k, v, n, order[k].index(v), len(order[k])) for k, v, n in rows)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_match_is_plain_comparison(spark, hot):
     """With ``hot`` one package has half of all versions and intervals; listed versions count by their spelling."""

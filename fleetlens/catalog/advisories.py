@@ -14,7 +14,7 @@ from fleetlens.plans import fleet
 from fleetlens.plans.bindings import ctes, fixture
 from fleetlens.session import shared_dir
 from fleetlens.sources import advisories as feeds
-from fleetlens.sources.tables import write_snapshot
+from fleetlens.sources.tables import read_snapshot, write_snapshot
 
 GROUP = Group()
 query = GROUP.query
@@ -117,7 +117,7 @@ def _snapshot(spark, d):
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     write_snapshot(deps, path, identity, buckets=8)
     write_snapshot(deps, path, identity, buckets=8)  # a second run of the same analysis adds nothing
-    return spark.read.parquet(path).groupBy("ecosystem", "scope").agg(F.count("*").alias("n"))
+    return read_snapshot(spark, path).groupBy("ecosystem", "scope").agg(F.count("*").alias("n"))
 
 
 _SCORED = f"scored AS (SELECT *, {_P} AS p, {cvss()} AS score, {band(cvss())} AS sev FROM fx_advisories)"

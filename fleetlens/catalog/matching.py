@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.base import Group
 from fleetlens.catalog.sqlparts import HITS, RISK_RANK, band, cvss, norm, valid, vkey
 from fleetlens.operators import matching as M
+from fleetlens.operators.state import RANGES, MatchState
 from fleetlens.plans import fleet
 from fleetlens.plans.bindings import ctes, fixture
+from fleetlens.session import shared_dir
 
 GROUP = Group()
 query = GROUP.query
@@ -143,11 +147,27 @@ def _provisional(spark, d):
     + f""", {_STATUS} SELECT analysis_id, ecosystem, norm_name, version, source_file, scope, package_name, vulnerability_status, status_reason FROM classified""",
 )
 def _recheck(spark, d):
-    keys = ["analysis_id", "ecosystem", "norm_name", "version", "source_file", "scope", "package_name"]
-    stale = fleet.dependencies(spark, d).withColumns(
-        {"vulnerability_status": F.lit("VULNERABLE"), "status_reason": F.lit("stale")}
-    )
-    return M.recheck_statuses(stale, fleet.classified(spark, d), keys).select(*keys, "vulnerability_status", "status_reason")
+    """A state of stale intervals, then the delta that adds, changes and retracts advisories: what a whole run gives."""
+    state = MatchState(spark, f"{shared_dir(spark)}/recheck-{uuid.uuid4().hex}", RECHECK_KEYS, fleet.canonical(spark, d)[0], buckets=16)
+    stale, delta = stale_and_delta(fleet.ranges(spark, d))
+    state.advise(stale, "advisories-0", F.lit("2024-01-01"))
+    state.arrive(fleet.dependencies(spark, d), "dependencies-0", F.lit("2024-01-02"))
+    state.advise(delta, "advisories-1", F.lit("2024-01-03"))
+    return state.dependencies.read().select(*RECHECK_KEYS, "vulnerability_status", "status_reason")
+
+
+RECHECK_KEYS = ["analysis_id", "ecosystem", "norm_name", "version", "source_file", "scope", "package_name"]
+
+
+def stale_and_delta(ranges):
+    """Intervals as they once were (a third not yet known, a third without their fix, some since retracted), and what changed."""
+    kind = F.crc32("identifier") % 3
+    rows = ranges.select(*[c.split()[0] for c in RANGES.split(", ")])
+    open_end = rows.filter(kind == 1).withColumn("fixed", F.lit(None).cast("string"))
+    gone = rows.filter(kind == 2).withColumns({"identifier": F.concat(F.lit("GONE-"), "identifier"), "introduced": F.lit(None).cast("string"), "fixed": F.lit(None).cast("string")})
+    stale = rows.filter(kind == 2).unionByName(open_end).unionByName(gone)
+    retracted = gone.withColumn("range_type", F.lit(None).cast("string"))
+    return stale, rows.filter(kind != 2).unionByName(retracted)
 
 
 FLEET_SQL = f""", {HITS}, {FINDINGS}, f AS (SELECT d.analysis_id, count(DISTINCT d.id) AS dependencies, count(DISTINCT CASE WHEN h.identifier IS NOT NULL THEN d.id END) AS vulnerable, count(DISTINCT CASE WHEN s.canonical IS NOT NULL THEN (d.id, s.canonical) END) AS findings, max(CASE WHEN s.severity IS NOT NULL THEN {RISK_RANK.format('s.severity')} END) AS worst

@@ -185,8 +185,12 @@ def provisional_risk(severity: Column) -> Column:
     return S.normalise_severity(severity)
 
 
-def recheck_statuses(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """a new run replaces status and reason, also where it clears a stale VULNERABLE; others keep theirs."""
+def recheck_statuses(old: DataFrame, new: DataFrame, keys: list[str], checked_at: Column | None = None) -> DataFrame:
+    """a new run replaces status and reason, also where it clears a stale VULNERABLE; others keep theirs.
+
+    With ``checked_at`` the rows of the new run carry that time, the others the one they had. ``operators.state`` does the
+    same for deltas, without reading the packages that they do not name.
+    """
     latest = new.select(
         *keys,
         F.col("vulnerability_status").alias("_status"),
@@ -195,9 +199,11 @@ def recheck_statuses(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     )
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     rows = old.alias("o").join(latest.alias("n"), same, "left").select("o.*", "_status", "_reason", "_seen")
-    return rows.withColumns(
-        {
-            "vulnerability_status": F.when(F.col("_seen"), F.col("_status")).otherwise(F.col("vulnerability_status")),
-            "status_reason": F.when(F.col("_seen"), F.col("_reason")).otherwise(F.col("status_reason")),
-        }
-    ).drop("_status", "_reason", "_seen")
+    changes = {
+        "vulnerability_status": F.when(F.col("_seen"), F.col("_status")).otherwise(F.col("vulnerability_status")),
+        "status_reason": F.when(F.col("_seen"), F.col("_reason")).otherwise(F.col("status_reason")),
+    }
+    if checked_at is not None:
+        before = F.col("checked_at") if "checked_at" in old.columns else F.lit(None)
+        changes["checked_at"] = F.when(F.col("_seen"), checked_at.cast("timestamp")).otherwise(before.cast("timestamp"))
+    return rows.withColumns(changes).drop("_status", "_reason", "_seen")

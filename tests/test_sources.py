@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.sources.advisories import scan_advisories, scan_registry, split_malformed
 from fleetlens.sources.files import read_text_files, scan_files
-from fleetlens.sources.tables import write_snapshot
+from fleetlens.sources.tables import read_snapshot, write_snapshot
 
 
 def test_scan_files(spark, tmp_path):
@@ -47,7 +47,7 @@ def test_snapshot_is_idempotent(spark, tmp_path):
     for _ in range(2):
         write_snapshot(deps, str(tmp_path / "t"), key, 4)
     write_snapshot(deps.withColumn("version", F.lit("9.9.9")), str(tmp_path / "t"), key, 4)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+    assert read_snapshot(spark, str(tmp_path / "t")).count() == 5
 
 
 def test_large_files_are_read_unless_a_limit_is_given(spark, tmp_path):

@@ -292,15 +292,20 @@ _NAME = "CASE {} WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM'
     "merge_group",
     ctes("fx_advisories")
     + f""", {_GROUPED}, best AS (SELECT group_id, sev AS best_sev, score AS best_score, cvss_vector AS best_vector, row_number() OVER (PARTITION BY group_id ORDER BY score DESC NULLS LAST, rn) AS b FROM ranked),
- agg AS (SELECT group_id, max(CASE WHEN rn = 1 THEN identifier END) AS identifier, max(CASE WHEN rn = 1 THEN {_RANK.format('sev')} END) AS r1, max({_RANK.format('sev')}) AS rmax, max(alias) AS alias, arg_min(summary, rn) FILTER (summary IS NOT NULL) AS summary, count(*) AS members FROM ranked GROUP BY 1),
+ agg AS (SELECT group_id, max(CASE WHEN rn = 1 THEN identifier END) AS identifier, max(CASE WHEN rn = 1 THEN {_RANK.format('sev')} END) AS r1, max({_RANK.format('sev')}) AS rmax, max(alias) AS alias, arg_min(summary, rn) FILTER (summary IS NOT NULL) AS summary, count(*) AS members, arg_min('feed-' || right(identifier, 1), rn) AS source FROM ranked GROUP BY 1),
+ refs AS (SELECT group_id, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM (SELECT group_id, 'https://a.example/' || identifier AS ref FROM ranked UNION ALL SELECT group_id, 'https://b.example/' || alias FROM ranked) u GROUP BY 1),
  names AS (SELECT r.group_id, string_agg(DISTINCT r.token, ',' ORDER BY r.token) AS aliases FROM (SELECT group_id, identifier AS token FROM ranked UNION ALL SELECT group_id, alias FROM ranked) r JOIN agg a ON a.group_id = r.group_id WHERE r.token <> a.identifier GROUP BY 1)
- SELECT a.group_id, a.identifier, n.aliases, {_NAME.format(f"greatest(CASE WHEN r1 = 0 THEN rmax ELSE r1 END, CASE WHEN best_score IS NULL THEN 0 ELSE {_RANK.format('best_sev')} END)")} AS severity, best_score AS cvss_score, best_vector AS cvss_vector, summary, members
- FROM agg a JOIN best ON best.group_id = a.group_id AND b = 1 JOIN names n ON n.group_id = a.group_id""",
+ SELECT a.group_id, a.identifier, n.aliases, {_NAME.format(f"greatest(CASE WHEN r1 = 0 THEN rmax ELSE r1 END, CASE WHEN best_score IS NULL THEN 0 ELSE {_RANK.format('best_sev')} END)")} AS severity, best_score AS cvss_score, best_vector AS cvss_vector, summary, members, source, refs.refs AS "references"
+ FROM agg a JOIN best ON best.group_id = a.group_id AND b = 1 JOIN names n ON n.group_id = a.group_id JOIN refs ON refs.group_id = a.group_id""",
 )
 def _merge_group(spark, d):
-    merged = A.merge_group(_records(spark, d), _groups(spark, d))
+    records = _records(spark, d)
+    links = F.transform("aliases", lambda a: F.concat(F.lit("https://b.example/"), a))
+    records = records.withColumns({"source": F.concat(F.lit("feed-"), F.expr("right(identifier, 1)")), "references": F.array_union(F.array(F.concat(F.lit("https://a.example/"), "identifier")), links)})
+    merged = A.merge_group(records, _groups(spark, d))
     return merged.select(
-        "group_id", "identifier", F.array_join("aliases", ",").alias("aliases"), "severity", "cvss_score", "cvss_vector", "summary", "members"
+        "group_id", "identifier", F.array_join("aliases", ",").alias("aliases"), "severity", "cvss_score", "cvss_vector", "summary", "members",
+        "source", F.array_join(F.array_sort("references"), ",").alias("references"),
     )
 
 

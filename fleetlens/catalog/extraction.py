@@ -283,11 +283,14 @@ def _lock_only(spark, d):
  UNION SELECT DISTINCT repository_id, path || ':5: ''' || regexp_extract(content, '#egg=(egg_\\d+)', 1) || ''' is installed from a URL (git+https://git.example/acme.git#egg=' || regexp_extract(content, '#egg=(egg_\\d+)', 1) || '); version cannot be determined' FROM fx_requirement_files
  UNION SELECT DISTINCT repository_id, path || '/package.json: malformed JSON; file skipped' FROM fx_requirement_files
  UNION SELECT DISTINCT repository_id, path || '/yarn.lock: lock files of this kind are not parsed; transitive dependencies are unavailable' FROM fx_requirement_files
+ UNION SELECT DISTINCT repository_id, path || '/requirements.txt: file was not read; what it declares is unknown' FROM fx_requirement_files
  UNION SELECT DISTINCT repository_id, path || '/package-lock.json: file was not read; what it declares is unknown' FROM fx_requirement_files""",
 )
 def _warnings(spark, d):
     files = fixture(spark, d, "fx_requirement_files")
-    _, warnings = P.extract_python(files)
+    # next to every file one that was listed, but not read
+    lost = files.select("repository_id", F.concat("path", F.lit("/requirements.txt")).alias("path"), F.lit(None).cast("string").alias("content"))
+    _, warnings = P.extract_python(files.select("repository_id", "path", "content").unionByName(lost))
     broken = F.array(F.lit("/package.json"), F.lit("/yarn.lock"), F.lit("/package-lock.json"))
     # the same repositories with a cut manifest, a lock of another kind and a file that was not read
     other = files.select("repository_id", "path", "content", F.explode(broken).alias("name")).select(

@@ -166,10 +166,12 @@ def _detail(spark, d):
 
 @query(
     "vulnerability_lookup",
-    ctes("fx_advisories") + f" SELECT identifier, {band(cvss())} AS severity, {cvss()} AS cvss_score, fixed FROM fx_advisories WHERE identifier = 'GHSA-99'",
+    ctes("fx_advisories") + f" SELECT identifier, {band(cvss())} AS severity, {cvss()} AS cvss_score, fixed FROM fx_advisories WHERE identifier = 'GHSA-99' OR regexp_extract(identifier, '-(\\d+)$', 1) = '77'",
 )
 def _lookup(spark, d):
-    return M.vulnerability_lookup(fleet.scored_advisories(spark, d), "GHSA-99").select("identifier", "severity", "cvss_score", "fixed")
+    advisories = fleet.scored_advisories(spark, d).withColumn("vulnerability_id", F.substring_index("identifier", "-", -1).cast("bigint"))
+    both = M.vulnerability_lookup(advisories, "GHSA-99").unionByName(M.vulnerability_lookup(advisories, row_id=77))
+    return both.select("identifier", "severity", "cvss_score", "fixed")
 
 
 @query(

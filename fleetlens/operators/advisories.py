@@ -193,8 +193,9 @@ def _primary_order() -> Column:
 def merge_group(records: DataFrame, groups: DataFrame) -> DataFrame:
     """E5: one canonical record per group.
 
-    Everything is a ``min_by`` over the preference order, so partial aggregation reduces each input partition to
-    one row per group before the shuffle.
+    Everything but the united names and ``references`` is a ``min_by`` over the preference order, so partial aggregation
+    reduces each input partition to one row per group before the shuffle. ``source`` is the primary record's, ``references``
+    are those of all members in preference order, each once.
     """
     rows = records.join(groups, "identifier").withColumn("_o", _primary_order())
     rank = S.severity_rank(F.col("severity"))
@@ -212,8 +213,13 @@ def merge_group(records: DataFrame, groups: DataFrame) -> DataFrame:
         F.min_by(F.struct("cvss_score", "cvss_vector", "severity"), scored).alias("_scored"),
         F.min_by("cvss_vector", F.when(F.col("cvss_vector").isNotNull(), F.col("_o"))).alias("_vector"),
         *[first(c) for c in ("summary", "description", "published_at", "modified_at", "reference_url") if c in records.columns],
+        *([F.min_by("source", "_o").alias("source")] if "source" in records.columns else []),
+        *([F.array_sort(F.collect_list(F.struct("_o", "references"))).alias("_references")] if "references" in records.columns else []),
         F.count("*").alias("members"),
     )
+    if "references" in records.columns:
+        lists = F.transform("_references", lambda r: F.coalesce(r["references"], F.array().cast("array<string>")))
+        canonical = canonical.withColumn("references", F.array_distinct(F.flatten(lists))).drop("_references")
     severity = F.when(F.col("_primary_severity") == "UNKNOWN", F.col("_worst_severity")).otherwise(
         F.col("_primary_severity")
     )

@@ -13,14 +13,16 @@ from heapq import nlargest
 from itertools import groupby, repeat, tee
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text as T
 from fleetlens.session import cut_lineage
 from fleetlens.skew import top_per_key
+from fleetlens.sources.tables import BUCKETS, BucketTable
 
 MAX_DEPTH = 8
+EDGE_COLUMNS = ["repository_id", "src", "dst", "type"]
 NODE_COLUMNS = ["repository_id", "node_id", "label", "name", "version", "ecosystem", "status"]
 
 
@@ -144,38 +146,76 @@ def skipped_counts(components: DataFrame, deps: DataFrame, relations: DataFrame,
     )
 
 
-def sync_graph(
-    old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, repositories: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, counts): the new state of the named repositories replaces their old one.
+def signed_changes(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns…, sign): -1 for a row that went, +1 for one that came; what both sides have cancels out."""
+    both = old.select(*columns, F.lit(-1).alias("sign")).unionByName(new.select(*columns, F.lit(1).alias("sign")))
+    return both.groupBy(*columns).agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
 
-    Components and dependencies that are gone are pruned with their edges; advisories stay, new values winning.
-    Whole repositories are exchanged, so both tables only need anti-joins on the repository id.
+
+class GraphLog:
+    """The graph as signed changes per version, in buckets of the repository.
+
+    A version appends the rows that it removes and adds, so an unchanged repository costs nothing; the state at any version
+    is the sum of the signs up to it. A sync reads the buckets of the repositories it names, and of the advisories, which
+    belong to none. A version that is delivered again changes nothing (see ``BucketTable``).
     """
-    synced = repositories.select("repository_id").distinct()
-    kept_edges = old_edges.join(synced, "repository_id", "left_anti")
-    edges = kept_edges.unionByName(new_edges)
-    local_old, global_old = old_nodes.filter("label <> 'Vulnerability'"), old_nodes.filter("label = 'Vulnerability'")
-    local_new, global_new = new_nodes.filter("label <> 'Vulnerability'"), new_nodes.filter("label = 'Vulnerability'")
-    advisories = global_new.unionByName(global_old.join(global_new.select("node_id"), "node_id", "left_anti").select(*NODE_COLUMNS))
-    nodes = local_old.join(synced, "repository_id", "left_anti").select(*NODE_COLUMNS).unionByName(local_new).unionByName(advisories)
-    counts = _sync_counts(local_old, old_edges, local_new, new_edges, synced)
-    return nodes, edges, counts
-
-
-def _sync_counts(local_old, old_edges, local_new, new_edges, synced) -> DataFrame:
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.nodes, self.edges = (BucketTable(spark, f"{path}/{t}", ["repository_id"], buckets) for t in ("nodes", "edges"))
+
+    def _at(self, table: BucketTable, columns: list[str], like: DataFrame | None, version: int | None, buckets: list[int] | None = None) -> DataFrame | None:
+        log = table.read(buckets, None if like is None else like.select(*columns).withColumns({"sign": F.lit(1), "graph_version": F.lit(1)}).schema)
+        if log is None:
+            return None
+        if version is not None:
+            log = log.filter(F.col("graph_version") <= version)
+        return log.groupBy(*columns).agg(F.sum("sign").alias("_n")).filter("_n > 0").drop("_n")
+
+    def nodes_at(self, version: int | None = None) -> DataFrame | None:
+        return self._at(self.nodes, NODE_COLUMNS, None, version)
+
+    def edges_at(self, version: int | None = None) -> DataFrame | None:
+        return self._at(self.edges, EDGE_COLUMNS, None, version)
+
+    def sync(self, new_nodes: DataFrame, new_edges: DataFrame, repositories: DataFrame, version: int, preserve: bool = False) -> DataFrame:
+        """The named repositories become ``new_nodes`` and ``new_edges``; returns their four counts.
+
+        Components and dependencies that are gone are pruned with their edges, advisories stay, new values winning. With
+        ``preserve`` (J5, a run whose advisory lookups failed in part) the old advisory and component-use edges of
+        dependencies whose new status is UNKNOWN are kept and count neither as deleted nor as written.
+        """
+        synced = cut_lineage(repositories.select("repository_id").distinct())
+        none = synced.select(F.lit(None).cast(synced.schema["repository_id"].dataType).alias("repository_id")).limit(1)
+        touched = self.nodes.touched(synced.unionByName(none))
+        new_nodes, new_edges = cut_lineage(new_nodes.select(*NODE_COLUMNS)), cut_lineage(new_edges.select(*EDGE_COLUMNS).distinct())
+        advisory = F.col("label") == "Vulnerability"
+        stored = self._at(self.nodes, NODE_COLUMNS, new_nodes, version - 1, touched)
+        old_local = stored.filter(~advisory).join(synced, "repository_id", "left_semi")
+        new_local = new_nodes.filter(~advisory)
+        replaced = stored.filter(advisory).join(new_nodes.filter(advisory).select("node_id"), "node_id", "left_semi")
+        old_edges = cut_lineage(self._at(self.edges, EDGE_COLUMNS, new_edges, version - 1, touched).join(synced, "repository_id", "left_semi"))
+        kept = preserved_edges(old_edges, new_nodes).select(*EDGE_COLUMNS) if preserve else old_edges.limit(0)
+        deleted = old_edges.join(kept, EDGE_COLUMNS, "left_anti")
+        counts = cut_lineage(_sync_counts(cut_lineage(old_local), deleted, new_local, new_edges, synced))
+        edge_changes = signed_changes(old_edges, new_edges.unionByName(kept).distinct(), EDGE_COLUMNS)
+        node_changes = signed_changes(old_local.unionByName(replaced.select(*NODE_COLUMNS)), new_nodes, NODE_COLUMNS)
+        self.edges.append(edge_changes.withColumn("graph_version", F.lit(version)), f"version-{version}")
+        self.nodes.append(node_changes.withColumn("graph_version", F.lit(version)), f"version-{version}")
+        return counts
+
+
+def _sync_counts(local_old: DataFrame, deleted: DataFrame, local_new: DataFrame, new_edges: DataFrame, synced: DataFrame) -> DataFrame:
     keys = ["repository_id", "node_id"]
-    pruned = local_old.join(synced, "repository_id", "left_semi").join(local_new.select(*keys), keys, "left_anti")
     parts = [
         (local_new, "nodes_written"),
         (new_edges, "relationships_written"),
-        (old_edges.join(synced, "repository_id", "left_semi"), "stale_relationships_deleted"),
-        (pruned, "nodes_pruned"),
+        (deleted, "stale_relationships_deleted"),
+        (local_old.join(local_new.select(*keys), keys, "left_anti"), "nodes_pruned"),
     ]
     rows = synced
     for frame, name in parts:
         rows = rows.join(frame.groupBy("repository_id").agg(F.count("*").alias(name)), "repository_id", "left")
-    return rows.fillna(0)
+    return rows.fillna(0, [name for _, name in parts])
 
 
 def preserved_edges(old_edges: DataFrame, new_nodes: DataFrame) -> DataFrame:
@@ -187,12 +227,6 @@ def preserved_edges(old_edges: DataFrame, new_nodes: DataFrame) -> DataFrame:
     return rows.join(unknown, ["repository_id", "_dep"], "left_semi").drop("_dep")
 
 
-def sync_graph_preserve(old_nodes, old_edges, new_nodes, new_edges, repositories):
-    """``sync_graph`` for a run whose advisory lookups failed in part."""
-    kept = preserved_edges(old_edges.join(repositories.select("repository_id").distinct(), "repository_id", "left_semi"), new_nodes)
-    return sync_graph(old_nodes, old_edges, new_nodes, new_edges.unionByName(kept).distinct(), repositories)
-
-
 def components_using(edges: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(repository_id, node_id, component) of the components with a USES edge to a dependency node."""
     rows = edges.filter((F.col("type") == "USES") & F.col("src").startswith("Component:"))

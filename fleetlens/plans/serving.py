@@ -122,9 +122,11 @@ def dependency_detail(deps: DataFrame, findings: DataFrame, edges: DataFrame, ke
     )
 
 
-def vulnerability_lookup(advisories: DataFrame, identifier: str) -> DataFrame:
-    """One advisory by its identifier; the equality is pushed into the scan."""
-    return advisories.filter(F.col("identifier") == identifier)
+def vulnerability_lookup(advisories: DataFrame, identifier: str | None = None, row_id: int | None = None, key: str = "vulnerability_id") -> DataFrame:
+    """One advisory by its identifier or by the id of its row; the equality is pushed into the scan."""
+    if (identifier is None) == (row_id is None):
+        raise ValueError("an advisory is asked by its identifier or by its id")
+    return advisories.filter(F.col(key) == row_id if identifier is None else F.col("identifier") == identifier)
 
 
 def duplicate_repositories(repositories: DataFrame) -> DataFrame:

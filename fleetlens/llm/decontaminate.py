@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import SPACE_CLASS, shared_folder, stored
-
+#: Seeds are n-grams of two to this many words.
 GRAM = 4
 #: A seed is rare if independent words would give it at most so often per document.
 RARE = 1e-3
 MIN_SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seeds up to this number go to every task (16 bytes each); more are joined by a shuffle instead.
-BROADCAST_SEEDS = 2_000_000
+#: Test items are taken in blocks of about so many words; a block's seeds (at most 24 bytes a word and length) go to each task.
+BLOCK_WORDS = 1_000_000
 _PUNCT = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
@@ -60,153 +61,170 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def item_grams(items: DataFrame, gram: int) -> DataFrame:
-    """(item_id, g, k, words): every n-gram of every item; items shorter than ``gram`` words are one gram of their length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = item_words(t)
-                n = min(gram, len(w))
-                if n:
-                    codes = np.fromiter(map(_code, w), np.uint64, len(w))
-                    rows += [(i, g, n, w[k : k + n], n == len(w)) for k, g in enumerate(gram_codes(codes, n).view(np.int64).tolist())]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 5, kinds)], names=["item_id", "g", "n", "words", "only"])
-
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, g long, n int, words array<string>, only boolean")
+def rare_grams(logs: np.ndarray, per_doc: float, rare: float, gram: int) -> list[tuple[int, int]]:
+    """(place, n) of the seeds of an item from the log shares of its words.
 
+    The shortest n-grams, of two words up to ``gram``, that independent words would give at most ``rare`` times per document;
+    one that contains a rare one is left out, as it would find nothing else. An item without any gives its rarest n-grams of
+    the greatest length; an item of one word gives that word.
+    """
+    if len(logs) < 2:
+        return [(0, 1)] * len(logs)
+    sums = np.concatenate([[0.0], np.cumsum(logs)])
+    seeds, covered, expected = [], np.zeros(len(logs), bool), np.empty(0)
+    longest = min(gram, len(logs))
+    for n in range(2, longest + 1):
+        expected = np.exp(sums[n:] - sums[:-n]) * per_doc
+        covered = covered[:-1] | covered[1:]
+        seeds += [(int(k), n) for k in np.flatnonzero((expected <= rare) & ~covered)]
+        covered |= expected <= rare
+    return seeds or [(int(k), longest) for k in np.flatnonzero(expected <= expected.min() * (1 + 1e-9))]
+
+
+@dataclass
+class Block:
+    """Items of one block: their ids and word codes, the codes of their words, and the sorted seeds of every length."""
+
+    ids: list[int]
+    codes: list[np.ndarray]
+    known: dict[str, int]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def leaks(self, text: str | None, min_score: float) -> list[tuple[int, float]]:
+        """(item_id, score) of the items whose alignment near one of their seeds reaches ``min_score``."""
+        codes = word_codes(item_words(text), self.known)
+        near: dict[int, list[int]] = {}
+        for n, (seed, owner) in self.seeds.items():
+            mine = gram_codes(codes, n)
+            at = np.flatnonzero(mine)
+            lo, hi = np.searchsorted(seed, mine[at], "left"), np.searchsorted(seed, mine[at], "right")
+            hit = hi > lo
+            for p, s, e in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                for item in owner[s:e].tolist():
+                    near.setdefault(item, []).append(p)
+        scores = ((self.ids[item], _score(self.codes[item], codes, places, min_score)) for item, places in near.items())
+        return [x for x in scores if x[1] >= min_score]
+
+
+def _score(item: np.ndarray, codes: np.ndarray, places: list[int], min_score: float = MIN_SCORE) -> float:
+    """The best normalised alignment in the windows around the seeds; 0 for windows with too few words of the item.
+
+    An alignment that reaches ``min_score`` loses at most 2 (1 - min_score) points per word of the item, one for each word
+    put in, so it lies in a window of that many words and the item's own on both sides of each of its seeds.
+    """
+    reach, best = len(item) + int(2 * (1 - min_score) * len(item)) + 1, 0
+    spans: list[tuple[int, int]] = []
+    for p in sorted(places):
+        s, e = max(0, p - reach), min(len(codes), p + reach)
+        if spans and s <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+        else:
+            spans.append((s, e))
+    for s, e in spans:
+        # every word of the item that matches is in the window, so fewer matches than the score needs end it here
+        if min(int(np.isin(codes[s:e], item).sum()), len(item)) >= min_score * len(item) - 1e-9:
+            best = max(best, align(item, codes[s:e]))
+    return best / (MATCH * len(item)) if len(item) else 0.0
 
-def word_rates(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, rate): how often a document has a word of ``vocabulary`` (word), over the whole corpus."""
-    clean = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[!-/:-@\[-`{-~]+(?=[\x20\x09-\x0D]|$)|(?<![^\x20\x09-\x0D])[!-/:-@\[-`{-~]+", "")
-    counts = docs.select(F.explode(F.split(clean, SPACE_CLASS)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
+def _word_counts(docs: DataFrame, known: dict[str, int]) -> Counter:
+    """How often the corpus has each word of a block; "" counts all words, "\\n" the documents. As many rows as the block has words."""
 
-def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, rare: float = RARE, min_score: float = MIN_SCORE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                own = item_words(t)
+                seen.update(w for w in own if w in known)
+                seen[""] += len(own)
+            seen["\n"] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return Counter({r.word: r.n for r in counts.toLocalIterator()})
+
+
+def blocks(docs: DataFrame, items: DataFrame, gram: int = GRAM, rare: float = RARE, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The test items block by block, each item row whole in one; what an item finds does not depend on its block."""
+    held: list[tuple[int, list[str]]] = []
+
+    def block() -> Block:
+        known = {w: _code(w) for _, ws in held for w in ws}
+        counts = _word_counts(docs, known)
+        total = max(1, counts[""])
+        share = {w: np.log((counts[w] + 0.5) / total) for w in known}
+        codes = [word_codes(ws, known) for _, ws in held]
+        found: dict[int, list[tuple[int, int]]] = {}
+        for k, (_, ws) in enumerate(held):
+            grams: dict[int, np.ndarray] = {}
+            for at, n in rare_grams(np.array([share[w] for w in ws]), total / max(1, counts["\n"]), rare, gram):
+                if n not in grams:
+                    grams[n] = gram_codes(codes[k], n)
+                found.setdefault(n, []).append((int(grams[n][at]), k))
+        seeds = {}
+        for n, pairs in found.items():
+            pairs = sorted(set(pairs))
+            seeds[n] = np.array([g for g, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int32)
+        return Block([i for i, _ in held], codes, known, seeds)
+
+    size = 0
+    for row in items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().toLocalIterator():
+        ws = item_words(row.text)
+        if ws:
+            if held and size + len(ws) > block_words:
+                yield block()
+                held, size = [], 0
+            held.append((row.item_id, ws))
+            size += len(ws)
+    if held:
+        yield block()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, rare: float = RARE, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score): documents with a passage that aligns with a test item.
 
     score is the Smith-Waterman score (match 2, mismatch and gap -1) over that of the whole item, 0 to 1; rows reach
-    ``min_score``. Candidates share a rare n-gram of words with the item: one that independent words would give at most
-    ``rare`` times per document, by the word counts of the whole corpus; the rarest n-gram of an item always counts, so
-    no item is without a seed. The count is the *expected* one, so a leak into many documents stays rare. Nulls and
-    texts without words match nothing; empty tables give no rows; repeated rows give repeated rows once.
-
-    The seeds of a benchmark are a list of known size: up to ``broadcast_seeds`` they go to each task, which reads a text
-    once; beyond, n-grams and seeds meet in a shuffle join. Either way each candidate is aligned in the task that has it.
+    ``min_score``. Candidates share a rare n-gram of words with the item (``rare_grams``): its rarity is the *expected* one,
+    by the word counts of the whole corpus, so a leak into many documents stays rare. At a score of 0.6 an item of six words
+    or more shares two neighbouring words with the passage whatever the edits, and three under replacements alone.
+
+    The test items are the query set: they meet all documents block by block (``block_words``), each item row whole, so the
+    block size changes no row. A document is read once per block for counts and once for seeds; nothing of it is shuffled.
+    Nulls and texts without words match nothing, nor do items without an id; a document without an id is reported with a
+    null; item rows of one id are items of their own; equal result rows come once; empty tables give no rows; other columns
+    are not read.
     """
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
+    schema = "doc_id long, item_id long, score double"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
-    grams = stored(item_grams(items, gram), f"{folder}/grams")
-    n_grams, per_doc = grams.count(), None
-    vocabulary = grams.select(F.explode("words").alias("word")).distinct()
-    if n_grams <= broadcast_seeds:
-        known = {r.word: _code(r.word) for r in vocabulary.toLocalIterator()}
+    out = docs.sparkSession.createDataFrame([], schema)
+    for block in blocks(docs, items, gram, rare, block_words):
+        out = out.union(docs.mapInArrow(_finder(docs, block, min_score), schema))
+    return out.distinct()
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from collections import Counter
 
-            seen: Counter = Counter()
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    seen.update(w for w in item_words(t) if w in known)
-                seen["\n"] += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-        counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counts = stored(counts, f"{folder}/counts")
-        per_doc = counts.filter(F.col("word") == "\n").select("n").first()
-        rates = counts
-    else:
-        rates = stored(word_rates(docs, vocabulary), f"{folder}/counts")
-    n_docs = max(1, (per_doc.n or 1) if per_doc else docs.count())
-    total = rates.filter(F.col("word") != "\n").agg(F.sum("n")).first()[0] or 1
-    # expected number of an n-gram in a document: words per document times the product of the words' shares
-    logs = (
-        grams.withColumn("at", F.monotonically_increasing_id())
-        .select("item_id", "g", "n", "only", "at", F.explode("words").alias("word"))
-        .join(rates.withColumnRenamed("n", "seen"), "word", "left")
-        .groupBy("item_id", "g", "n", "only", "at")
-        .agg(F.sum(F.log((F.coalesce("seen", F.lit(0)) + 0.5) / F.lit(float(total)))).alias("p"))
-        .withColumn("expected", F.exp("p") * F.lit(total / n_docs))
-    )
-    least = logs.groupBy("item_id").agg(F.min("expected").alias("least"))
-    seeds = logs.join(least, "item_id").filter((F.col("expected") <= rare) | (F.col("expected") == F.col("least")))
-    seeds = stored(seeds.select("item_id", "g", "n").distinct(), f"{folder}/seeds")
-    texts = items.join(seeds.select("item_id").distinct(), "item_id")
-    schema = "doc_id long, item_id long, score double"
-    if n_grams <= broadcast_seeds:
-        held = seeds.select("g", "item_id", "n").toPandas()
-        item_codes = {r.item_id: np.fromiter(map(_code, item_words(r.text)), np.uint64) for r in texts.toLocalIterator()}
-        sizes = sorted(set(held.n))
-        order = held.g.to_numpy().view(np.uint64).argsort(kind="stable")
-        g, owner = held.g.to_numpy().view(np.uint64)[order], held.item_id.to_numpy()[order]
-        shared = spark.sparkContext.broadcast((known, sizes, g, owner, item_codes))
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words_of, lengths, seed, item_of, codes_of = shared.value
-            for batch in batches:
-                rows = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    codes = word_codes(item_words(t), words_of)
-                    near: dict[int, list[int]] = {}
-                    for n in lengths:
-                        mine = gram_codes(codes, n)
-                        at = np.flatnonzero(mine)
-                        lo, hi = np.searchsorted(seed, mine[at], "left"), np.searchsorted(seed, mine[at], "right")
-                        for p, s, e in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                            for item in set(item_of[s:e].tolist()):
-                                near.setdefault(item, []).append(p)
-                    for item, places in near.items():
-                        rows.append((i, item, _score(codes_of[item], codes, places)))
-                rows = [r for r in rows if r[2] >= min_score]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "score"])
-
-        return docs.mapInArrow(find, schema).distinct()
-
-    def all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finder(docs: DataFrame, block: Block, min_score: float) -> Callable:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = item_words(t)
-                codes = np.fromiter(map(_code, w), np.uint64, len(w))
-                own = [gram_codes(codes, n) for n in range(1, gram + 1)]
-                g = np.unique(np.concatenate(own)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(g), pa.int64()), pa.array(g)], names=["doc_id", "g"])
+            rows = [(i, *leak) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leak in shared.value.leaks(t, min_score)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "score"])
 
-    pairs = docs.mapInArrow(all_grams, "doc_id long, g long").join(seeds, "g").select("doc_id", "item_id").distinct()
+    return find
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_score(*(np.fromiter(map(_code, item_words(x)), np.uint64) for x in two), None) for two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "item_id", "score"])
-
-    both = pairs.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id").select("doc_id", "item_id", "item", "text")
-    return both.mapInArrow(score, schema).filter(F.col("score") >= min_score).distinct()
-
-
-def _score(item: np.ndarray, codes: np.ndarray, places: list[int] | None) -> float:
-    """The best normalised alignment in the windows of twice the item's length around the seeds (all words if None)."""
-    reach, best = 2 * len(item), 0
-    if places is None:
-        spans = [(0, len(codes))]
-    else:
-        spans = []
-        for p in sorted(places):
-            s, e = max(0, p - reach), min(len(codes), p + reach)
-            if spans and s <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
-            else:
-                spans.append((s, e))
-    for s, e in spans:
-        best = max(best, align(item, codes[s:e]))
-    return best / (MATCH * len(item)) if len(item) else 0.0
 
+def decontaminate(docs: DataFrame, items: DataFrame, gram: int = GRAM, rare: float = RARE, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without those whose text ``contaminated`` finds; all columns as they came, whatever their names.
+
+    Each row is judged by its own text, one without an id too; of rows of one id those that leak go. Nothing is shuffled.
+    """
+    place = docs.columns.index("text")
+    for block in blocks(docs, items, gram, rare, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.leaks(t, min_score) for t in batch.column(place).to_pylist()], pa.bool_()))
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without those that ``contaminated`` finds; all columns as they came, null ids stay."""
-    found = contaminated(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leak"), "left_anti")
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -125,31 +125,62 @@ def test_alignment_is_smith_waterman():
         assert decontaminate.align(a.astype(np.uint64), b.astype(np.uint64)) == plain_align(a.tolist(), b.tolist())
 
 
-@pytest.mark.parametrize("seeds", [0, 10**6])
-def test_decontamination(spark, odd_docs, no_docs, seeds):
-    items = [(k, prose(1000 + k, 30)) for k in range(8)] + [(8, None), (9, ""), (None, "x y z"), (10, prose(1000, 30)), (11, "tiny item")]
+@pytest.mark.parametrize("block_words", [10, 10**6])
+def test_decontamination(spark, odd_docs, no_docs, block_words):
+    items = [(k, prose(1000 + k, 30)) for k in range(8)] + [(8, None), (9, ""), (None, "x y z"), (10, prose(1000, 30)), (11, "tiny item"), (1, prose(1020, 25)), (3, prose(1003, 30)), (12, "Solitary")]
     edited = prose(1002, 30).split()
     edited[4], edited[15] = "changed", "words"
     del edited[22]
     rows = [(k, prose(k, 80)) for k in range(40)]
     rows += [(100, prose(50, 40) + " " + prose(1001, 30) + " " + prose(51, 40)), (101, " ".join(edited).upper()), (102, prose(1003, 30)), (102, prose(1003, 30)), (103, None), (None, prose(1004, 30)), (104, prose(1000, 30))]
-    rows += [(105, " ".join(prose(1005, 30).split()[:8]) + " " + prose(60, 60))]
+    rows += [(105, " ".join(prose(1005, 30).split()[:8]) + " " + prose(60, 60)), (106, prose(1020, 25)), (107, "a\u00a0solitary, word"), (108, prose(61, 500) + " " + prose(1006, 30))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench, broadcast_seeds=seeds).collect()}
-    want = {}
+    got = sorted(((r.doc_id, r.item_id, round(r.score, 6)) for r in decontaminate.contaminated(docs, bench, block_words=block_words).collect()), key=repr)
+    want, leaks = set(), set()
     for i, t in rows:
         for j, x in items:
             a, b = decontaminate.item_words(x), decontaminate.item_words(t)
             if j is not None and a and plain_align(a, b) / (2 * len(a)) >= 0.6:
-                want[i, j] = plain_align(a, b) / (2 * len(a))
-    if seeds == 0:
-        want = {k: v for k, v in want.items() if k[0] is not None}  # a null id joins nothing
-    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
-    left = decontaminate.decontaminate(docs, bench, broadcast_seeds=seeds)
-    assert {100, 101, 102, 104} & {r.doc_id for r in left.collect()} == set() and left.columns == docs.columns
-    assert decontaminate.contaminated(no_docs, bench, broadcast_seeds=seeds).count() == 0
-    assert decontaminate.decontaminate(odd_docs, bench.limit(0), broadcast_seeds=seeds).count() == odd_docs.count()
+                want.add((i, j, round(plain_align(a, b) / (2 * len(a)), 6)))
+                leaks.add((i, t))
+    assert got == sorted(want, key=repr)
+    left = decontaminate.decontaminate(docs, bench, block_words=block_words)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(repr(r) for r in rows if r not in leaks) and left.columns == docs.columns
+    assert decontaminate.contaminated(no_docs, bench, block_words=block_words).count() == 0
+    assert decontaminate.decontaminate(no_docs, bench, block_words=block_words).count() == 0
+    assert decontaminate.decontaminate(odd_docs, bench.limit(0), block_words=block_words).count() == odd_docs.count()
+
+
+def edits(words, kind, every):
+    out = []
+    for k, w in enumerate(words):
+        hit = k % every == every - 1
+        out += [f"new{k}"] if hit and kind == "replace" else [] if hit and kind == "delete" else [w, f"new{k}"] if hit else [w]
+    return " ".join(out)
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with every fourth word replaced or deleted, or a word put in after every two or three, between other words."""
+    items = [(k, prose(3000 + k, 12 + k)) for k in range(40)]
+    kinds = [("replace", 4), ("delete", 4), ("insert", 3), ("insert", 2)]
+    rows = [(k, prose(k, 80)) for k in range(60)]
+    rows += [(1000 * (e + 1) + k, prose(9000 + k, 60) + " " + edits(t.split(), *kind) + " " + prose(8000 + k, 60)) for e, kind in enumerate(kinds) for k, t in items]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    words = {j: decontaminate.item_words(x) for j, x in items}
+    for e, kind in enumerate(kinds):
+        reach = [(1000 * (e + 1) + j, j) for j in words if plain_align(words[j], decontaminate.item_words(edits(dict(items)[j].split(), *kind))) / (2 * len(words[j])) >= 0.6]
+        assert len(reach) >= 30 and sum(p in got for p in reach) >= 0.95 * len(reach), kind
+    assert all(d >= 1000 and d % 1000 == j for d, j in got)
+
+
+def test_rare_grams():
+    logs = np.log(np.array([0.1, 0.1, 1e-4, 0.1, 0.1, 0.1]))
+    assert decontaminate.rare_grams(logs, 1.0, 2e-4, 4) == [(1, 2), (2, 2)]
+    assert decontaminate.rare_grams(np.log(np.full(6, 0.1)), 1.0, 2e-4, 4) == [(0, 4), (1, 4), (2, 4)]
+    assert decontaminate.rare_grams(logs[:1], 1.0, 1e-4, 4) == [(0, 1)] and decontaminate.rare_grams(logs[:0], 1.0, 1e-4, 4) == []
+    assert decontaminate.rare_grams(np.log(np.array([0.5, 0.5, 0.4])), 100.0, 1e-9, 4) == [(0, 3)]
 
 
 def test_word_helpers():

@@ -32,16 +32,18 @@ def word_codes(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter((known.get(w, 0) for w in words), np.uint64, len(words))
 
 
-def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
-    """A code of every n-gram of words; 0 if it has a word that the benchmark lacks."""
-    if len(codes) < n:
-        return np.empty(0, np.uint64)
-    out, known = np.zeros(len(codes) - n + 1, np.uint64), np.ones(len(codes) - n + 1, bool)
-    for k in range(n):
-        part = codes[k : len(codes) - n + 1 + k]
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + part
-        known &= part != 0
-    return np.where(known, out | np.uint64(1), np.uint64(0))
+def all_gram_codes(codes: np.ndarray, longest: int) -> list[np.ndarray]:
+    """The codes of the n-grams of words for n from 1 to ``longest``, each from those before; 0 if a word is one that the benchmark lacks."""
+    out, state, known = [], codes, codes != 0
+    for n in range(1, longest + 1):
+        if n > 1:
+            state = (state[:-1] ^ (state[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + codes[n - 1 :]
+            known = known[:-1] & known[1:]
+        out.append(np.where(known, state | np.uint64(1), np.uint64(0)))
+        if len(codes) <= n:
+            out += [np.empty(0, np.uint64)] * (longest - n)
+            break
+    return out
 
 
 def _code(word: str) -> int:
@@ -93,13 +95,15 @@ class Block:
     def leaks(self, text: str | None, min_score: float) -> list[tuple[int, float]]:
         """(item_id, score) of the items whose alignment near one of their seeds reaches ``min_score``."""
         codes = word_codes(item_words(text), self.known)
+        grams = all_gram_codes(codes, max(self.seeds, default=1))
         near: dict[int, list[int]] = {}
         for n, (seed, owner) in self.seeds.items():
-            mine = gram_codes(codes, n)
-            at = np.flatnonzero(mine)
-            lo, hi = np.searchsorted(seed, mine[at], "left"), np.searchsorted(seed, mine[at], "right")
-            hit = hi > lo
-            for p, s, e in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+            at = np.flatnonzero(grams[n - 1])
+            mine = grams[n - 1][at]
+            lo = np.searchsorted(seed, mine)
+            hit = np.flatnonzero(seed[np.minimum(lo, len(seed) - 1)] == mine)
+            hi = np.searchsorted(seed, mine[hit], "right")
+            for p, s, e in zip(at[hit].tolist(), lo[hit].tolist(), hi.tolist()):
                 for item in owner[s:e].tolist():
                     near.setdefault(item, []).append(p)
         scores = ((self.ids[item], _score(self.codes[item], codes, places, min_score)) for item, places in near.items())
@@ -120,9 +124,12 @@ def _score(item: np.ndarray, codes: np.ndarray, places: list[int], min_score: fl
             spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
         else:
             spans.append((s, e))
+    own, times = np.unique(item, return_counts=True)
     for s, e in spans:
-        # every word of the item that matches is in the window, so fewer matches than the score needs end it here
-        if min(int(np.isin(codes[s:e], item).sum()), len(item)) >= min_score * len(item) - 1e-9:
+        # a match uses up a word of the window and one of the item: if they share fewer than the score needs, it ends here
+        place = np.minimum(np.searchsorted(own, codes[s:e]), len(own) - 1)
+        shared = np.bincount(place[own[place] == codes[s:e]], minlength=len(own))
+        if np.minimum(shared, times).sum() >= min_score * len(item) - 1e-9:
             best = max(best, align(item, codes[s:e]))
     return best / (MATCH * len(item)) if len(item) else 0.0
 
@@ -156,11 +163,9 @@ def blocks(docs: DataFrame, items: DataFrame, gram: int = GRAM, rare: float = RA
         codes = [word_codes(ws, known) for _, ws in held]
         found: dict[int, list[tuple[int, int]]] = {}
         for k, (_, ws) in enumerate(held):
-            grams: dict[int, np.ndarray] = {}
+            grams = all_gram_codes(codes[k], gram)
             for at, n in rare_grams(np.array([share[w] for w in ws]), total / max(1, counts["\n"]), rare, gram):
-                if n not in grams:
-                    grams[n] = gram_codes(codes[k], n)
-                found.setdefault(n, []).append((int(grams[n][at]), k))
+                found.setdefault(n, []).append((int(grams[n - 1][at]), k))
         seeds = {}
         for n, pairs in found.items():
             pairs = sorted(set(pairs))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from html import unescape
 
 import numpy as np
@@ -44,20 +45,86 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Block:
-    """Text of one block element in page order, with its root-to-leaf tag path."""
+    """Text of one block element in page order, with the number of its root-to-leaf tag path."""
 
-    path: str
+    path: int
     parts: list[str] = field(default_factory=list)
     furniture: bool = False
-    marks: tuple[int, ...] = ()
-    main: str = ""
+    mark: int = -1
+    main: int = 0
     linked: int = 0
 
-    @property
+    @cached_property
     def text(self) -> str:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
 
 
+@dataclass
+class Element:
+    """An open element: its tag and path, what it inherits, and its innermost mark of furniture (-1: none)."""
+
+    tag: str
+    path: int
+    hidden: bool = False
+    main: int = 0
+    mark: int = -1
+    ended: bool = False
+
+
+class Paths:
+    """Tag paths as numbers: a path is its parent's number and a name, so that deep pages need no long strings."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple[int, str], int] = {}
+        self.parent = [0]
+
+    def below(self, parent: int, name: str) -> int:
+        own = self.number.setdefault((parent, name), len(self.parent))
+        if own == len(self.parent):
+            self.parent.append(parent)
+        return own
+
+
+class Stack:
+    """The open elements, with the places of each tag and of the blocks, so that no token looks through all of them."""
+
+    def __init__(self) -> None:
+        self.elements: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of open blocks but p
+        self.root = Element("", 0)
+
+    def top(self) -> Element:
+        return self.elements[-1] if self.elements else self.root
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of one of these tags; -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def last_block(self) -> int:
+        return max(self.blocks[-1] if self.blocks else -1, self.last("p"))
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.elements))
+        if element.tag in BLOCK and element.tag != "p":
+            self.blocks.append(len(self.elements))
+        self.elements.append(element)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at this place and all inside it."""
+        while len(self.elements) > place or (self.elements and self.elements[-1].ended):
+            gone = self.elements.pop()
+            if not gone.ended:
+                self.places[gone.tag].pop()
+                if self.blocks and self.blocks[-1] == len(self.elements):
+                    self.blocks.pop()
+
+    def end_alone(self, place: int) -> None:
+        """Ends the innermost element of its tag, while what is inside it stays open."""
+        self.elements[place].ended = True
+        self.places[self.elements[place].tag].pop()
+
+
 def _marks(tag: str, attrs: str) -> tuple[bool, bool, str]:
     """Whether an element looks like page furniture, whether it is hidden, and its name with its class for the tag path."""
     words, name, gone, hidden = set(), tag, tag in FURNITURE_TAGS, False
@@ -75,30 +142,44 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, str]:
     return gone, hidden, name
 
 
-def _judge(blocks: list[Block], holds_main: list[bool], main_outside: bool) -> None:
-    """Sets aside the blocks below a mark of furniture that holds.
+def _judge(blocks: list[Block], around: list[int], holds_main: list[bool], main_outside: bool) -> None:
+    """Sets aside the blocks below a mark of furniture that holds; ``around`` has the next mark outside of each.
 
     All marks hold if an article or main element stands outside of them. Else a mark does not hold for an element with most
     of the page's unlinked text, nor for one with an article or main element and at least as much text as outside of marks.
     """
-    inside, total, outside = [0] * len(holds_main), 0, 0
+    inside, total, outside = [0] * len(around), 0, 0
     for b in blocks:
         if not b.furniture:
             free = max(0, len(b.text) - b.linked)
             total += free
-            outside += free if not b.marks else 0
-            for k in b.marks:
-                inside[k] += free
-    holds = [main_outside or not (2 * x > total or (main and x >= outside)) for x, main in zip(inside, holds_main)]
+            if b.mark < 0:
+                outside += free
+            else:
+                inside[b.mark] += free
+    for k in range(len(around) - 1, -1, -1):  # marks are numbered from the outside
+        if around[k] >= 0:
+            inside[around[k]] += inside[k]
+            holds_main[around[k]] |= holds_main[k]
+    gone: list[bool] = []
+    for k, outer in enumerate(around):
+        holds = main_outside or not (2 * inside[k] > total or (holds_main[k] and inside[k] >= outside))
+        gone.append(holds or (outer >= 0 and gone[outer]))
     for b in blocks:
-        b.furniture |= any(holds[k] for k in b.marks)
+        b.furniture |= b.mark >= 0 and gone[b.mark]
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page with text, by one pass over its tokens; broken and cut markup is closed as browsers do."""
+def blocks_of(html: str, paths: Paths | None = None) -> list[Block]:
+    """The blocks of a page with text, by one pass over its tokens; broken and cut markup is closed as browsers do.
+
+    The work grows with the length of the page, however deep it is nested and however many elements stay open.
+    """
+    paths = paths or Paths()
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, name in the path, hidden, main, marks of furniture
-    holds_main: list[bool] = []  # of every mark
+    stack = Stack()
+    around: list[int] = []  # of every mark of furniture, the one around it
+    holds_main: list[bool] = []
+    endless: set[str] = set()  # raw elements that nothing ends any more
     main_outside = False
     now: Block | None = None
     at, n = 0, len(html)
@@ -113,22 +194,21 @@ def blocks_of(html: str) -> list[Block]:
             if piece == "<" and re.match(r"/?[a-zA-Z!]", html[at : at + 2]):
                 break  # a tag that the end of the page cut off
             if now is None:
-                top = stack[-1] if stack else ("", "", False, False, ())
-                names = [s[1] for s in stack if s[0] not in FORMATTING]
-                tags = [s[0] for s in stack if s[0] not in FORMATTING]
-                first = next((k for k, t in enumerate(tags) if t in MAIN_TAGS), None) if top[3] else None
-                now = Block("/".join(names), furniture=top[2], marks=top[4], main="" if first is None else "/".join(names[: first + 1]))
+                top = stack.top()
+                now = Block(top.path, furniture=top.hidden, mark=top.mark, main=top.main)
                 out.append(now)
             text = unescape(piece)
             now.parts.append(text)
-            if any(s[0] == "a" for s in stack):
+            if stack.places.get("a"):
                 now.linked += len(text)
             continue
         tag, closing = tag.lower(), m.group(1)
         if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             if end or tag in ("script", "style", "textarea", "title"):
                 at = end.end() if end else n
+            elif not end:
+                endless.add(tag)
             continue
         if tag == "br" or tag == "wbr":
             if now is not None and tag == "br":
@@ -137,35 +217,38 @@ def blocks_of(html: str) -> list[Block]:
         if tag in BLOCK or tag in RAW:
             now = None
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and (tag not in FORMATTING or not any(s[0] in BLOCK for s in stack[depth:])):
-                del stack[depth:]
-            elif depth is not None:
-                del stack[depth]
+            place = stack.last(tag)
+            if place >= 0 and (tag not in FORMATTING or stack.last_block() < place):
+                stack.cut(place)
+            elif place >= 0:
+                stack.end_alone(place)
             continue
         if tag in VOID:
             continue
         if tag in BLOCK:
-            while stack and any(s[0] == "p" for s in stack) and not any(s[0] in BLOCK and s[0] != "p" for s in stack[max(k for k, s in enumerate(stack) if s[0] == "p") :]):
-                del stack[max(k for k, s in enumerate(stack) if s[0] == "p") :]
+            while (place := stack.last("p")) >= 0 and (not stack.blocks or stack.blocks[-1] < place):
+                stack.cut(place)
         if tag in ENDS:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ENDS[tag] or stack[k][0] in ("ul", "ol", "dl", "table")), None)
-            if k is not None and stack[k][0] in ENDS[tag]:
-                del stack[k:]
+            place = stack.last(*ENDS[tag])
+            if place >= 0 and place > stack.last("ul", "ol", "dl", "table"):
+                stack.cut(place)
         gone, hidden, name = _marks(tag, m.group(3) or "")
-        up = stack[-1] if stack else ("", "", False, False, ())
-        in_main, marks = up[3] or (tag in MAIN_TAGS and not up[2]), up[4]
-        if tag in MAIN_TAGS and not up[2]:
-            main_outside |= not marks
-            for k in marks:
-                holds_main[k] = True
+        up = stack.top()
+        path, main, mark = up.path if tag in FORMATTING else paths.below(up.path, name), up.main, up.mark
+        if tag in MAIN_TAGS and not up.hidden:
+            main = main or path
+            main_outside |= mark < 0
+            if mark >= 0:
+                holds_main[mark] = True
         # a heading block of the article itself is no page header
-        if gone and not (tag == "header" and up[3]):
-            marks = (*marks, len(holds_main))
+        own_header = tag == "header" and up.main > 0
+        if gone and not own_header:
+            around.append(mark)
+            mark = len(holds_main)
             holds_main.append(False)
-        stack.append((tag, name, up[2] or (hidden and not (tag == "header" and up[3])), in_main, marks))
+        stack.push(Element(tag, path, up.hidden or (hidden and not own_header), main, mark))
     out = [b for b in out if b.text]
-    _judge(out, holds_main, main_outside)
+    _judge(out, around, holds_main, main_outside)
     return out
 
 
@@ -178,11 +261,12 @@ def content_blocks(html: str | None, smooth: float = 1.0, threshold: float = 0.2
     value reaches ``threshold`` times the page's mean, weighted by text. An article or main element is also judged as one
     path with all below it: if it passes, all its blocks are content, short ones too, and what stands outside is not.
     """
-    blocks = [(b, b.text) for b in blocks_of(html or "") if not b.furniture]
+    paths = Paths()
+    blocks = [(b, b.text) for b in blocks_of(html or "", paths) if not b.furniture]
     if not blocks:
         return []
-    sums: dict[str, np.ndarray] = {}
-    mains: dict[str, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
+    mains: dict[int, np.ndarray] = {}
     for b, text in blocks:
         own = np.array([len(text), len(_PUNCT.findall(text)) + 0.5, 1, min(b.linked, len(text))])
         sums[b.path] = sums.get(b.path, 0) + own
@@ -195,7 +279,7 @@ def content_blocks(html: str | None, smooth: float = 1.0, threshold: float = 0.2
         free = (1 - linked / np.maximum(length, 1)) / count
         return length * free, punct * free
 
-    parents = [p.rpartition("/")[0] for p in names]
+    parents = [paths.parent[p] for p in names]
     fused = np.ones(len(names))
     for r in ratios(list(sums.values())):
         level = r.copy()
@@ -217,7 +301,7 @@ def content_blocks(html: str | None, smooth: float = 1.0, threshold: float = 0.2
 def main_text(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` with text (blocks joined by two newlines, empty if none) and n_chars (its code points).
 
-    Each page is judged by itself, whole and whatever its length; null html gives an empty text; nothing is shuffled.
+    Each page is judged by itself, whole and whatever its length; null html gives an empty text; nothing is shuffled; an empty table stays empty.
     The new columns replace columns of the same name.
     """
     pages = pages.drop("text", "n_chars")

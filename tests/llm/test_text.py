@@ -188,6 +188,18 @@ def test_word_helpers():
     assert math.isclose(decontaminate._score(np.array([1, 2, 3], np.uint64), np.array([9, 1, 2, 3], np.uint64), [1]), 1.0)
 
 
+@pytest.mark.parametrize("page", [
+    "<article>" + "<b>" * 40_000 + "<p>One line, of text.</p>" * 20_000, "<div>" * 100_000 + "<p>One line, of text.", "<nav>" * 60_000 + "<p>One line, of text.</p>" + "</nav>" * 60_000 + "<p>Out.</p>",
+    "<div><p>One line, of text.</p>" * 30_000, "<svg>" * 100_000 + "<p>One line, of text.</p>", "<ul>" + "<li><i>One line, of text." * 30_000, "<b><p>" * 50_000 + "One line, of text." + "</b>" * 50_000,
+])
+def test_deep_pages_take_time_by_their_length(page):
+    import time
+
+    start = time.process_time()
+    got = pages.content_blocks(page)
+    assert time.process_time() - start < 10 and set(got) <= {"One line, of text.", "Out."} and got
+
+
 def test_stray_quotes_end_no_page():
     rest = "<p>two, it goes on.</p><p>three, and stops.</p>"
     want = ["one, a first line.", "two, it goes on.", "three, and stops."]

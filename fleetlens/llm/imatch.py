@@ -14,6 +14,8 @@ MOST_TERMS = 48
 COMMON_SHARE = 0.02
 #: The common terms number at most (distinct terms per document) / COMMON_SHARE; up to this many they are broadcast.
 BROADCAST_TERMS = 500_000
+#: Rows of one range of the ring of documents.
+ROWS_PER_RANGE = 20_000
 
 
 def terms(text: Column) -> Column:
@@ -102,57 +104,58 @@ def as_text(fp: Column) -> Column:
     return F.concat(fp["level"].cast("string"), F.lit(":"), F.array_join(numbers, "."))
 
 
-def next_rows(rows: DataFrame) -> DataFrame:
-    """For (h, c, doc_id, need): (h, c, need, next_h, next_c) in descending order of doc_id, the last one's next being the first.
+def next_rows(rows: DataFrame, folder: str) -> DataFrame:
+    """For distinct (h, g) with doc_id: all columns with next_h and next_g, in descending order of doc_id, the last one's next being the first.
 
-    Nulls come last, ties by (h, c). Ranges of doc_id, cut at its quantiles, are ordered each by itself; only the first
-    row of every range is looked at to join their ends, so no task orders the whole table.
+    Nulls come last, ties by (h, g). The rows are range-sorted by all three, so many rows of one id or of none are split too;
+    only the first row of every range is looked at to join their ends, so no task orders the whole table.
     """
-    n = rows.count()
-    pieces = min(1000, max(1, n // 20_000))
-    marks = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / pieces) for k in range(1, pieces)]), F.lit(10_000))).first()[0] if pieces > 1 else []
-    bounds = sorted(set(marks or []))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    ranged = rows.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("c")]
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("g")]
+    pieces = max(1, rows.count() // ROWS_PER_RANGE)
+    ranged = stored(rows.repartitionByRange(pieces, *order).withColumn("_range", F.spark_partition_id()), f"{folder}/ranges")
     inside = Window.partitionBy("_range").orderBy(*order)
-    led = ranged.select("*", F.lead(F.struct("h", "c")).over(inside).alias("_next"), F.row_number().over(inside).alias("_n"))
-    heads = led.filter("_n = 1").select("_range", F.struct("h", "c").alias("head"))
-    ring = Window.orderBy(F.desc("_range"))  # one row per range
+    led = ranged.select("*", F.lead(F.struct("h", "g")).over(inside).alias("_next"), F.row_number().over(inside).alias("_n"))
+    heads = led.filter("_n = 1").select("_range", F.struct("h", "g").alias("head"))
+    ring = Window.orderBy("_range")  # one row per range
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("_range", F.coalesce(F.lead("head").over(ring), F.first("head").over(whole)).alias("_after"))
     linked = led.join(heads, "_range").withColumn("_next", F.coalesce("_next", "_after"))
-    return linked.select("h", "c", "need", F.col("_next.h").alias("next_h"), F.col("_next.c").alias("next_c"))
+    return linked.select(*rows.columns, F.col("_next.h").alias("next_h"), F.col("_next.g").alias("next_g"))
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
     The edited text has its last third replaced by the start of the next document's text (descending doc_id, from the last to
-    the first). Null texts are empty; null ids come last; rows of equal id stand in the order of a hash, and equal rows
-    follow one another. Rows are spread by a hash of id and text, so neither copies nor hot sources meet in one task. Empty
-    input: empty result.
+    the first). Null texts are empty; null ids come last; rows of equal id stand in the order of a hash. Equal rows follow
+    one another: they are combined before the shuffle and go through as two rows, the last of them, whose next is another
+    document, and the others, whose next is an equal row, with their number; they are dealt out again at the end. Rows are
+    spread by 128 bits of hash of id and text, so neither copies nor hot sources meet in one task. Only doc_id and text are
+    read, so other columns clash with nothing. Empty input: empty result.
     """
     folder = shared_folder(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
-    keyed = keyed.withColumn("c", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")))
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h"), F.xxhash64(F.lit("g"), text, "doc_id").alias("g"))
+    keyed = keyed.groupBy("h", "g").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("rows"))
     need = F.floor(F.length("text") / 3).cast("int")
-    ring = stored(next_rows(stored(keyed.select("h", "c", "doc_id", need.alias("need")), f"{folder}/keys")), f"{folder}/ring")
-    asked = ring.select(F.col("next_h").alias("h"), F.col("next_c").alias("_c"), F.col("h").alias("for_h"), F.col("c").alias("for_c"), "need")
-    # c meets as a difference, so that both joins keep the layout by h that keyed has
-    starts = keyed.join(asked, "h").filter(F.col("c") - F.col("_c") == 0)
-    starts = starts.select(F.col("for_h").alias("h"), F.col("for_c").alias("_c"), F.substring("text", F.lit(1), F.col("need")).alias("start"), F.col("doc_id").alias("next_id"))
+    ring = next_rows(stored(keyed.select("h", "g", "doc_id", "rows", need.alias("need")), f"{folder}/keys"), folder)
+    itself = F.struct(F.col("h").alias("next_h"), F.col("g").alias("next_g"), (F.col("rows") - 1).alias("times"), F.lit(False).alias("last"))
+    other = F.struct("next_h", "next_g", F.lit(1).cast("long").alias("times"), F.lit(True).alias("last"))
+    ring = ring.select("h", "g", "need", F.explode(F.filter(F.array(other, itself), lambda x: x["times"] > 0)).alias("x")).select("h", "g", "need", "x.*")
+    ring = stored(ring, f"{folder}/ring")
+    asked = ring.select(F.col("next_h").alias("h"), F.col("next_g").alias("g"), F.col("h").alias("for_h"), F.col("g").alias("for_g"), "need", "times", "last")
+    back = [F.col("for_h").alias("h"), F.col("for_g").alias("g"), "last"]
+    starts = keyed.join(asked, ["h", "g"]).select(*back, "times", F.substring("text", F.lit(1), F.col("need")).alias("start"))
     n = F.length("text")
-    pairs = keyed.join(starts, "h").filter(F.col("c") - F.col("_c") == 0)
-    pairs = pairs.select("h", "c", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - need), F.col("start")).alias("edited"), "next_id")
+    pairs = keyed.join(starts, ["h", "g"])
+    pairs = pairs.select("h", "g", "last", "times", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - need), F.col("start")).alias("edited"))
     pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["h", "c", "doc_id", "n_chars", "edited_sha256", "next_id"]
+    keys = ["h", "g", "last", "times", "doc_id", "n_chars", "edited_sha256"]
     prints = fingerprint_arrays(pairs, keys, ["text", "edited"], stored(common_terms(docs), f"{folder}/common"))
     prints = stored(prints, f"{folder}/prints")
-    after = prints.select("h", "c", F.col("fp_text").alias("fp_next")).join(asked, "h").filter(F.col("c") - F.col("_c") == 0)
-    after = after.select(F.col("for_h").alias("h"), F.col("for_c").alias("_c"), "fp_next")
-    both = prints.join(after, "h").filter(F.col("c") - F.col("_c") == 0)
+    after = prints.filter("last").select("h", "g", F.col("fp_text").alias("fp_next")).join(asked.drop("need", "times"), ["h", "g"]).select(*back, "fp_next")
+    both = prints.join(after, ["h", "g", "last"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / ROWS_PER_RANGE))))
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(ROWS_PER_RANGE), F.col("times") - F.col("_part") * ROWS_PER_RANGE))))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp_text")).alias("fingerprint"), as_text(F.col("fp_edited")).alias("edited_fingerprint"),
         likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp_text"), F.col("fp_next")).alias("near_next"),

@@ -100,6 +100,20 @@ def test_edited_texts(odd_docs, no_docs):
     assert imatch.edited_likeness(no_docs).count() == 0
 
 
+def test_equal_rows_follow_one_another(spark):
+    rows = [(5, "five five words stand right here")] * 40 + [(7, "seven other words that stand over there")] + [(None, None)] * 5_000 + [(None, "without an id")] * 3 + [(3, f"copy {k} of three") for k in range(50)]
+    got = imatch.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "g": F.lit(1), "times": F.lit(1)})).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 5_003 and sum(r.doc_id == 3 for r in got) == 50
+    five = [r for r in got if r.doc_id == 5]
+    assert sum(r.near_next == 1.0 for r in five) == 39 and len({r.fingerprint for r in five}) == 1 and len({r.edited_sha256 for r in five}) == 2
+    text = rows[0][1]
+    inner = text[: len(text) - len(text) // 3] + text[: len(text) // 3]
+    assert sum(r.edited_sha256 == hashlib.sha256(inner.encode()).hexdigest() for r in five) == 39
+    seven = next(r for r in got if r.doc_id == 7)
+    first = rows[40][1]
+    assert seven.edited_sha256 == hashlib.sha256((first[: len(first) - len(first) // 3] + text[: len(first) // 3]).encode()).hexdigest()
+
+
 def test_likeness_tells_edits_from_others(spark):
     from tests_llm_text import prose
 

@@ -124,7 +124,7 @@ def training_sample(docs: DataFrame, learn: Column, per_class: int = PER_CLASS,
     raw = F.col("text").cast("binary")
     n = F.octet_length("text")
     spots = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda k: (F.greatest(n - WINDOW, F.lit(0)) * k / (WINDOWS_PER_DOC - 1)).cast("int"))
-    parts = docs.filter(learn & F.col("text").isNotNull()).join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    parts = docs.filter(learn & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     parts = parts.select("doc_id", "lang", F.transform(F.array_distinct(spots), lambda at: F.struct(at.alias("at"), F.substring(raw, at + 1, F.lit(WINDOW)).alias("part"))).alias("cuts"))
     parts = parts.groupBy("doc_id", "lang").agg(F.min("cuts").alias("cuts")).select("doc_id", "lang", F.inline("cuts"))
     rows = sorted((r.lang, r.doc_id, r.at, bytes(r.part or b"")) for r in parts.collect())
@@ -145,7 +145,7 @@ def predict_languages(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (0 to 1): the mean of the windows' log-probabilities, as a softmax.
 
     Every window of every text counts. Null texts and texts without a letter, and all texts if there is no network, are
-    ``und`` with score 0. The two new columns replace columns of the same name.
+    ``und`` with score 0; an empty table stays empty. The two new columns replace columns of the same name.
     """
     docs = docs.drop("lang_pred", "score")
     model, held = net, 32  # some 20 kB; travels with the function

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import SPACE, shared_folder, stored
+from fleetlens.llm.common import SPACE, free, shared_folder, stored
 from fleetlens.llm.components import components
 
 #: 64 bits in six blocks; with at most three differing bits at least three blocks agree.
@@ -320,5 +320,6 @@ def keep_one_per_class(docs: DataFrame, classes: DataFrame | None = None) -> Dat
     Rows without a doc_id cannot be told apart by id and stay; repeated rows of one kept id stay as they are.
     """
     classes = near_duplicate_classes(docs) if classes is None else classes
-    gone = classes.filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = free(docs, "_gone")
+    gone = classes.filter("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

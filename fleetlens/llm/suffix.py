@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import parts_for
+from fleetlens.llm.common import free, parts_for
 
 LENGTH = 50
 GRAM = 28
@@ -279,23 +279,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
 
     Null texts count as empty (and stay null); null ids come after every id; rows of one id do not remove each other.
     Bytes of a character that was cut in part are left out of ``text``, while kept_sha256 is over all bytes kept.
-    The new columns and ``_batch`` replace columns of the same name. Any table size, also none; texts of any length
+    The new columns replace columns of the same name. Any table size, also none; texts of any length
     (a text longer than ``batch_bytes`` is a batch of its own size).
     """
     if not 1 < gram < length <= gram + 62:
         raise ValueError("the anchor must be shorter than the string, by 62 at most")
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = docs.drop(*new, "_batch")
+    docs = docs.drop(*new)
+    (batch,) = free(docs, "_batch")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     n = parts_for(total, batch_bytes)
     kept = docs.schema
     extra = [F.col(f"`{c}`") for c in docs.columns]
-    batched = docs.select(*extra, F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.octet_length("text")), F.lit(n)).alias("_batch")).repartition(max(n, 1), "_batch")
-    by_batch = batched.groupBy("_batch")
+    batched = docs.select(*extra, F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.octet_length("text")), F.lit(n)).alias(batch)).repartition(max(n, 1), batch)
+    by_batch = batched.groupBy(batch)
 
     def send_contexts(table: pa.Table) -> pa.Table:
         b, rows = _Batch(table, n, length, gram), []
-        own = table.column("_batch")[0].as_py()
+        own = table.column(batch)[0].as_py()
         anchors, docs_of = b.anchor[b.sent], b.doc[b.head[b.sent]]
         for bucket in np.flatnonzero(np.diff(b.sent_cuts)).tolist():
             cut = slice(b.sent_cuts[bucket], b.sent_cuts[bucket + 1])
@@ -318,11 +319,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 if len(head):
                     lens = b.count[head] + length - 1
                     raw = b"".join(b.buf[s : s + m].tobytes() for s, m in zip(b.first[head].tolist(), lens.tolist()))
-                    rows.append((table.column("_batch")[0].as_py(), bucket, _pack(lens.astype(np.uint16)), zstandard.ZstdCompressor(level=1).compress(raw), _pack(b.doc[head]), None, None))
+                    rows.append((table.column(batch)[0].as_py(), bucket, _pack(lens.astype(np.uint16)), zstandard.ZstdCompressor(level=1).compress(raw), _pack(b.doc[head]), None, None))
             hashes, least, cuts, *_ = b.hot_windows(code)
             for bucket in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[bucket], cuts[bucket + 1])
-                rows.append((table.column("_batch")[0].as_py(), bucket, None, None, None, _pack(hashes[part]), _pack(least[part])))
+                rows.append((table.column(batch)[0].as_py(), bucket, None, None, None, _pack(hashes[part]), _pack(least[part])))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 7, kinds)], names=["batch", "bucket", "lens", "raw", "docs", "windows", "window_docs"])
 
     sent = by_batch.cogroup(codes.groupBy("batch")).applyInArrow(send_texts, "batch long, bucket long, lens binary, raw binary, docs binary, windows binary, window_docs binary")
@@ -366,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
             spans.append(int(g[:1].sum() + (np.diff(g.view(np.int8)) == 1).sum()) if lost else 0)
             shas.append(hashlib.sha256(left).hexdigest())
             texts.append(left.decode("utf-8", "ignore") if lost else old)
-        cols = {c: table.column(c) for c in table.column_names if c != "_batch"}
+        cols = {c: table.column(c) for c in table.column_names if c != batch}
         cols |= {"text": pa.array(texts, pa.string()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
         return pa.table({f.name: cols[f.name].cast(out_schema.field(f.name).type) if f.name in new + ["text"] else cols[f.name] for f in out_schema})
 

@@ -135,6 +135,58 @@ def test_registered_queries_run(spark, name):
         assert sorted_rows(df.select(*[c[0] for c in cursor.description]).collect()) == sorted_rows(cursor.fetchall())
 
 
+#: Columns named like those that operators add or use inside.
+INSIDE = ["_gone", "_GONE_", "_leak", "_id", "_lang", "_y", "_s", "_r", "_t", "_before", "_in_range", "_range", "_source", "_place", "_ahead", "_within", "_batch", "_Batch_", "_own_score", "_own_n_bytes", "_own__batch", "score", "lang_pred", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+INSIDE += ["h", "g", "c", "k", "n", "fp", "row", "node", "set", "root", "second", "part", "place", "anchor", "bucket", "batch", "word", "component_id", "item_id", "_sha", "_first", "_copy", "_one", "_two", "_part", "_n", "_next", "least", "_other", "_side", "at", "cuts", "times", "last", "start", "rows"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    from tests_llm_text import prose
+
+    rows = [(k, prose(k % 30, 60), "en" if k % 2 else "de", f"s{k % 3}", 1) for k in range(40)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("own") for c in INSIDE})
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_columns_of_any_name(spark, clashing, tmp_path, stage):
+    spark.createDataFrame([(1, clashing.filter("doc_id = 5").first().text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, clashing, str(tmp_path))
+    bare = run(spark, clashing.drop(*INSIDE), str(tmp_path))
+    own = [c for c in INSIDE if c in got.columns]
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in bare.select("doc_id").collect())
+    assert got.filter(" or ".join(f"`{c}` <> 'own' or `{c}` is null" for c in own)).count() == 0
+    assert stage == 4 or got.columns == clashing.columns
+    assert stage < 4 or set(INSIDE) <= set(got.columns)
+
+
+@pytest.mark.parametrize("operator", ["classes", "repeats", "leaks", "mix", "order", "toxicity", "quality", "language", "totals", "imatch"])
+def test_operators_take_columns_of_any_name(spark, clashing, operator):
+    from fleetlens.llm import decontaminate, langid, quality, toxicity
+
+    items = spark.createDataFrame([(1, clashing.filter("doc_id = 5").first().text)], "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int").withColumns({c: F.lit("own") for c in INSIDE})
+    run = {
+        "classes": simhash.near_duplicate_classes, "repeats": suffix.remove_repeats, "leaks": lambda d: decontaminate.contaminated(d, items), "mix": mixing.mix_words,
+        "order": lambda d: mixing.training_order(mixing.mix_words(d)), "toxicity": lambda d: toxicity.score_toxicity(d, labels, F.col("doc_id") % 3 != 1),
+        "quality": lambda d: quality.score_quality(d, labels, F.col("doc_id") % 3 != 1), "language": lambda d: langid.identify(d, F.col("doc_id") % 3 != 1),
+        "totals": lambda d: tokencounts.corpus_totals(spark, d), "imatch": imatch.edited_likeness,
+    }[operator]
+    bare = run(clashing.drop(*INSIDE))
+    assert sorted_rows(run(clashing).select(*bare.columns).collect()) == sorted_rows(bare.collect())
+
+
+def test_hot_ids_of_a_mix_are_spread(spark):
+    from tests_llm_text import prose
+
+    docs = spark.createDataFrame([(None, prose(k, 5), "s") for k in range(3000)] + [(7, prose(k, 6), "s") for k in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix_words(docs)
+    assert got.groupBy(F.substring("queue_key", 1, mixing.RANGE_DIGITS)).count().agg(F.max("count")).first()[0] < 30
+    first, again = (sorted_rows(d.select("text", "taken").collect()) for d in (got, mixing.mix_words(docs.repartition(5))))
+    assert first == again
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(1, odd_docs.filter("doc_id = 5").first().text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for docs in (odd_docs, no_docs):

@@ -31,11 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate class: five-word shingles, 0.8 alike or more.
+    """The document with the smallest id of every near-duplicate class: SimHashes that link at three differing bits or fewer.
 
     Rows without an id stay, and so do repeated rows of the id that is kept; null texts are empty ones.
     """
-    return simhash.keep_one_per_class(docs, simhash.like_classes(docs))
+    return simhash.keep_one_per_class(docs, simhash.near_duplicate_classes(docs))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The near-duplicate stage of the pipeline goes by SimHash."""
+"""The near-duplicate stage of the pipeline goes by SimHash; shingle sets that are alike follow."""
 
 from __future__ import annotations
 
@@ -6,18 +6,11 @@ import corpus_pipeline
 
 
 def test_near_duplicates_are_those_of_simhash(spark):
-    from test_dedup import classes, plain_simhash
+    from test_dedup import plain_simhash
     from tests_llm_text import prose
 
-    rows = []
-    for k in range(12):
-        words = prose(k, 90).split(" ")
-        rows.append((10 * k, " ".join(words)))
-        for n in (1, 3, 6):  # the last words are others: the sets of shingles stay alike, SimHashes differ in more and more bits
-            rows.append((10 * k + n, " ".join([*words[:-n], *[f"other{k}x{i}" for i in range(n)]])))
-    prints = dict((i, plain_simhash(t)) for i, t in rows)
-    expected = {i for i, _, c in classes([*prints.items()]) if i == c}
-    assert any((prints[10 * k] ^ prints[10 * k + n]).bit_count() > 3 for k in range(12) for n in (1, 3, 6))
-    assert {10 * k for k in range(12)} < expected < set(prints)
+    # one passage many times over decides the SimHash, the sets of shingles have little in common
+    rows = [(k, "a b c " * 300 + prose(k, 30)) for k in (1, 2)] + [(3, prose(3, 90))]
+    assert (plain_simhash(rows[0][1]) ^ plain_simhash(rows[1][1])).bit_count() <= 3
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == expected
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}

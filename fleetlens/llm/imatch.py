@@ -123,6 +123,29 @@ def next_rows(rows: DataFrame, folder: str) -> DataFrame:
     return linked.select(*rows.columns, F.col("_next.h").alias("next_h"), F.col("_next.g").alias("next_g"))
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h, g) of every row: null texts empty, and 128 bits of hash of id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h"), F.xxhash64(F.lit("g"), text, "doc_id").alias("g"))
+
+
+def _need(text: str) -> Column:
+    return F.floor(F.length(text) / 3).cast("int")
+
+
+def edited_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(h, g, last, times, doc_id, text, n_chars, edited): the distinct rows of ``docs`` with their edited texts.
+
+    ``asked`` names for each next row (h, g) the row (for_h, for_g) that takes its start. Id and text are combined as one value:
+    the rows that give a start and those that take one then read the same shuffle, as no column of either can be pruned.
+    """
+    keyed = _hashed(docs).groupBy("h", "g").agg(F.first(F.struct("doc_id", "text")).alias("x")).select("h", "g", "x.doc_id", "x.text")
+    starts = keyed.join(asked, ["h", "g"]).select(F.col("for_h").alias("h"), F.col("for_g").alias("g"), "last", "times", F.substring("text", F.lit(1), F.col("need")).alias("start"))
+    n = F.length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n - _need("text")), F.col("start")).alias("edited")
+    return keyed.join(starts, ["h", "g"]).select("h", "g", "last", "times", "doc_id", "text", n.cast("long").alias("n_chars"), edited)
+
+
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
@@ -134,22 +157,17 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     read, so other columns clash with nothing. Empty input: empty result.
     """
     folder = shared_folder(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h"), F.xxhash64(F.lit("g"), text, "doc_id").alias("g"))
-    keyed = keyed.groupBy("h", "g").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("rows"))
-    need = F.floor(F.length("text") / 3).cast("int")
-    ring = next_rows(stored(keyed.select("h", "g", "doc_id", "rows", need.alias("need")), f"{folder}/keys"), folder)
+    # the order needs no texts, so none are shuffled for it
+    keys = _hashed(docs).select("h", "g", "doc_id", _need("text").alias("need"))
+    keys = keys.groupBy("h", "g").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("need").alias("need"))
+    ring = next_rows(stored(keys, f"{folder}/keys"), folder)
     itself = F.struct(F.col("h").alias("next_h"), F.col("g").alias("next_g"), (F.col("rows") - 1).alias("times"), F.lit(False).alias("last"))
     other = F.struct("next_h", "next_g", F.lit(1).cast("long").alias("times"), F.lit(True).alias("last"))
     ring = ring.select("h", "g", "need", F.explode(F.filter(F.array(other, itself), lambda x: x["times"] > 0)).alias("x")).select("h", "g", "need", "x.*")
     ring = stored(ring, f"{folder}/ring")
     asked = ring.select(F.col("next_h").alias("h"), F.col("next_g").alias("g"), F.col("h").alias("for_h"), F.col("g").alias("for_g"), "need", "times", "last")
     back = [F.col("for_h").alias("h"), F.col("for_g").alias("g"), "last"]
-    starts = keyed.join(asked, ["h", "g"]).select(*back, "times", F.substring("text", F.lit(1), F.col("need")).alias("start"))
-    n = F.length("text")
-    pairs = keyed.join(starts, ["h", "g"])
-    pairs = pairs.select("h", "g", "last", "times", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - need), F.col("start")).alias("edited"))
-    pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
+    pairs = edited_texts(docs, asked).withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["h", "g", "last", "times", "doc_id", "n_chars", "edited_sha256"]
     prints = fingerprint_arrays(pairs, keys, ["text", "edited"], stored(common_terms(docs), f"{folder}/common"))
     prints = stored(prints, f"{folder}/prints")

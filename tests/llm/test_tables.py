@@ -114,6 +114,21 @@ def test_equal_rows_follow_one_another(spark):
     assert seven.edited_sha256 == hashlib.sha256((first[: len(first) - len(first) // 3] + text[: len(first) // 3]).encode()).hexdigest()
 
 
+def test_texts_are_shuffled_once_for_edits(spark):
+    docs = spark.createDataFrame([(k, f"text {k} of some words") for k in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([], "h long, g long, for_h long, for_g long, need int, times long, last boolean")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = imatch.edited_texts(docs, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("ReusedExchange") == 1
+
+
 def test_likeness_tells_edits_from_others(spark):
     from tests_llm_text import prose
 

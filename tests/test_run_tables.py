@@ -1,9 +1,12 @@
 """Steps that queries of one snapshot share: stored once, and without shuffles that carry what they need not."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.catalog import all_queries
+from fleetlens.operators import ranks as R
 from fleetlens.plans import fleet
+from fleetlens.skew import salted_join
 
 
 @pytest.fixture
@@ -44,3 +47,19 @@ def test_changed_analyses_are_another_run(spark, snapshot):
     orders = spark.createDataFrame([(3, 7)], "o_orderkey long, o_custkey long")
     orders.selectExpr("*", "DATE'2024-01-02' AS o_orderdate", "'F' AS o_orderstatus").write.mode("append").parquet(f"{snapshot}/orders.parquet")
     assert fleet.run(spark, snapshot) is not before
+
+
+def test_spans_of_an_issue_meet_a_version_once(spark):
+    spans = [("npm", "p", "A", 0, 5, 9), ("npm", "p", "A", 3, 7, 9), ("npm", "p", "A", 8, 9, 9), ("npm", "p", "B", 4, 6, 9)]
+    spans = spark.createDataFrame(spans, "ecosystem string, norm_name string, identifier string, lo long, hi long, n_ranks long")
+    rows = spark.range(9).selectExpr("'npm' AS ecosystem", "'p' AS norm_name", "id AS rank", "9L AS n_ranks")
+    got = R.covering(rows, R.union_spans(spans, ("identifier",)), ["identifier"]).collect()
+    assert sorted((r.identifier, r["rank"]) for r in got) == [("A", k) for k in (0, 1, 2, 3, 4, 5, 6, 8)] + [("B", 4), ("B", 5)]
+
+
+def test_join_without_hot_keys_is_plain(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 10)], "k string, w int")
+    got = salted_join(left, right, ["k"], right.select("k").filter(F.lit(False)), "left")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [("a", 1, 10), ("b", 2, None), (None, 3, None)]
+    assert "_salt" not in _plan(got) and got.columns == ["k", "v", "w"]

@@ -49,6 +49,14 @@ def test_changed_analyses_are_another_run(spark, snapshot):
     assert fleet.run(spark, snapshot) is not before
 
 
+def test_floors_and_candidates_are_stored_once(spark, snapshot):
+    own = fleet.run(spark, snapshot)
+    for name in ("minimum_fixed_version", "snap_to_release", "next_fixed_version", "deterministic_recommendation"):
+        plan = all_queries()[name](spark, snapshot)
+        assert not any(f"{own.folder.removeprefix('file:')}/hits/" in f for f in plan.inputFiles()), name
+    assert {"floors", "candidates", "candidate_hits"} <= set(own.tables)
+
+
 def test_spans_of_an_issue_meet_a_version_once(spark):
     spans = [("npm", "p", "A", 0, 5, 9), ("npm", "p", "A", 3, 7, 9), ("npm", "p", "A", 8, 9, 9), ("npm", "p", "B", 4, 6, 9)]
     spans = spark.createDataFrame(spans, "ecosystem string, norm_name string, identifier string, lo long, hi long, n_ranks long")
